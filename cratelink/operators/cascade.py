@@ -149,18 +149,15 @@ def resolve(hits: DataFrame, levels: Iterable[int]) -> DataFrame:
     """
     levels = sorted(set(levels))
     best = hits.groupBy("qid").agg(
-        *[F.min(F.when(F.col("level") == n, F.col("hit"))).alias(f"h{n}") for n in levels]
+        *[F.expr(f"min(hit) filter (where level = {n}) as h{n}") for n in levels]
     )
-    picked = F.coalesce(
-        *[
-            F.when(
-                F.col(f"h{n}.path") != "",
-                F.struct(F.lit(n).alias("level"), F.col(f"h{n}.seq"), F.col(f"h{n}.path")),
-            )
-            for n in levels
-        ]
+    picks = ", ".join(
+        f"if(h{n}.path <> '', struct({n} as level, h{n}.seq as seq, h{n}.path as path), null)"
+        for n in levels
+    )
+    return (
+        best.selectExpr("qid", f"coalesce({picks}) as p").filter("p is not null").select("qid", "p.*")
     )
-    return best.select("qid", picked.alias("p")).filter("p is not null").select("qid", "p.*")
 
 
 def equality_hits(

@@ -23,39 +23,31 @@ WINDOWS = (
 )
 
 
-def anchor(v: Column) -> Column:
-    """The longest prefix of *v* whose length is a window length."""
-    size = F.lit(WINDOWS[0])
-    for w in WINDOWS[1:]:
-        size = F.when(F.length(v) >= w, F.lit(w)).otherwise(size)
-    return F.substr(v, F.lit(1), size)
-
-
-def windows(v: Column, lengths: Column | None = None) -> Column:
-    """Distinct windows of *v*, of all window lengths that fit."""
-    lengths = F.array(*[F.lit(w) for w in WINDOWS]) if lengths is None else lengths
-    fitting = F.filter(lengths, lambda w: w <= F.length(v))
-    return F.array_distinct(
-        F.flatten(
-            F.transform(
-                fitting,
-                lambda w: F.transform(
-                    F.sequence(F.lit(1), F.length(v) - w + 1), lambda i: F.substr(v, i, w)
-                ),
-            )
-        )
+_LENGTHS = f"array({', '.join(map(str, WINDOWS))})"
+
+
+def anchor(v: str) -> Column:
+    """The longest prefix of column *v* whose length is a window length."""
+    return F.expr(f"substring({v}, 1, array_max(filter({_LENGTHS}, w -> w <= length({v}))))")
+
+
+def windows(v: str, lengths: str = _LENGTHS) -> Column:
+    """Distinct windows of column *v*, of all given lengths that fit."""
+    return F.expr(
+        f"array_distinct(flatten(transform(filter({lengths}, w -> w <= length({v})), "
+        f"w -> transform(sequence(1, length({v}) - w + 1), i -> substring({v}, i, w)))))"
     )
 
 
 def _inside(needles: DataFrame, hays: DataFrame) -> DataFrame:
     """(grp, needle, hay) for every needle found inside a hay of the same group."""
-    n = needles.select("grp", F.col("v").alias("needle"), anchor(F.col("v")).alias("piece"))
+    n = needles.select("grp", F.col("v").alias("needle"), anchor("v").alias("piece"))
     # Only lengths some needle asks for are cut from the hays.
     asked = n.agg(F.array_sort(F.collect_set(F.length("piece"))).alias("asked"))
     h = hays.withColumn("asked", asked.scalar()).select(
         "grp",
         F.col("v").alias("hay"),
-        F.explode(windows(F.col("v"), F.col("asked"))).alias("piece"),
+        F.explode(windows("v", "asked")).alias("piece"),
     )
     return n.join(h, ["grp", "piece"]).filter(F.contains("hay", "needle")).select("grp", "needle", "hay")
 
@@ -71,21 +63,18 @@ def contained_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return inside_right.unionByName(inside_left)
 
 
-def _segments(v: Column, threshold: Column) -> Column:
-    """Cut *v* into ``threshold + 1`` near-equal parts: array of (start, part), 1-based."""
-    parts = threshold + 1
-    n = F.length(v)
-
-    def cut(k: Column) -> Column:
-        start = F.floor(k * n / parts).cast("int")
-        end = F.floor((k + 1) * n / parts).cast("int")
-        return F.struct((start + 1).alias("start"), F.substr(v, start + 1, end - start).alias("part"))
-
-    return F.transform(F.sequence(F.lit(0), threshold), cut)
-
+#: The title cut into t+1 near-equal parts, each with its place (from 1).
+_PARTS = """
+transform(sequence(0, t), k -> struct(
+    cast(floor(k * length(l) / (t + 1)) as int) + 1 as start,
+    substring(l, cast(floor(k * length(l) / (t + 1)) as int) + 1,
+              cast(floor((k + 1) * length(l) / (t + 1)) as int)
+              - cast(floor(k * length(l) / (t + 1)) as int)) as part))
+"""
 
 #: Longest part a title can be cut into: n / (n // 5 + 1) stays below five.
 MAX_PART = 5
+EDIT_LIMIT = "cast(greatest(2, floor(length({0}) / 5)) as int)"
 
 
 def edit_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -95,38 +84,21 @@ def edit_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     moved by at most t places, so equality on (part, place) finds every pair. A title
     shorter than t+1 characters cannot be cut; it meets the few titles short enough.
     """
-    t = F.greatest(F.lit(2), F.floor(F.length("v") / 5)).cast("int")
-    l = left.select(F.col("v").alias("l"), t.alias("t"))
-    long_l = l.filter(F.length("l") > F.col("t"))
+    l = left.selectExpr("v as l", f"{EDIT_LIMIT.format('v')} as t")
     asked = (
-        long_l.select("l", "t", F.explode(_segments(F.col("l"), F.col("t"))).alias("s"))
-        .select(
-            "l",
-            "t",
-            F.col("s.part").alias("part"),
-            F.explode(
-                F.sequence(F.greatest(F.lit(1), F.col("s.start") - F.col("t")), F.col("s.start") + F.col("t"))
-            ).alias("place"),
-        )
+        l.filter("length(l) > t")
+        .select("l", "t", F.explode(F.expr(_PARTS)).alias("s"))
+        .selectExpr("l", "t", "s.part", "explode(sequence(greatest(1, s.start - t), s.start + t)) as place")
     )
-    lengths = F.array(*[F.lit(w) for w in range(1, MAX_PART + 1)])
-    offered = right.select(
-        F.col("v").alias("r"),
-        F.explode(
-            F.flatten(
-                F.transform(
-                    F.filter(lengths, lambda w: w <= F.length("v")),
-                    lambda w: F.transform(
-                        F.sequence(F.lit(1), F.length("v") - w + 1),
-                        lambda i: F.struct(i.alias("place"), F.substr(F.col("v"), i, w).alias("part")),
-                    ),
-                )
-            )
-        ).alias("w"),
-    ).select("r", F.col("w.part").alias("part"), F.col("w.place").alias("place"))
+    offered = right.selectExpr(
+        "v as r",
+        f"""explode(flatten(transform(filter(sequence(1, {MAX_PART}), w -> w <= length(v)),
+            w -> transform(sequence(1, length(v) - w + 1),
+                           i -> struct(i as place, substring(v, i, w) as part))))) as w""",
+    ).selectExpr("r", "w.part", "w.place")
     near = F.expr("abs(length(l) - length(r)) <= t and levenshtein(l, r, t) >= 0")
     cut = asked.join(offered, ["part", "place"]).filter(near).select("l", "r")
-    short_l = l.filter(F.length("l") <= F.col("t")).withColumn("w", F.explode(F.sequence(F.lit(1), F.lit(2) + F.length("l"))))
-    short_r = right.filter(F.length("v") <= 4).select(F.col("v").alias("r"), F.length("v").alias("w"))
+    short_l = l.filter("length(l) <= t").withColumn("w", F.expr("explode(sequence(1, 2 + length(l)))"))
+    short_r = right.selectExpr("v as r", "length(v) as w").filter("w <= 4")
     short = short_l.join(short_r, "w").filter(near).select("l", "r")
     return cut.unionByName(short).distinct()

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cratelink.operators.containment import contained_pairs, edit_pairs
-from cratelink.operators.strategies import RESIDUAL_RULES, album_fits, overlap
+from cratelink.operators.strategies import ALBUM_FITS, OVERLAP, RESIDUAL_RULES
 from cratelink.session import stage
 
 #: Catalog rows a query may meet through album or artist before its title is used.
@@ -34,19 +34,15 @@ _KEY = ("cls", "album", "artist", "clean")
 
 def _classed(queries: DataFrame) -> DataFrame:
     """Each open query once per class, without the dimension that class ignores."""
-    visits = F.array(
-        *[
-            F.struct(F.lit(c).alias("cls"), album.alias("album"), clean.alias("clean"))
-            for c, album, clean in (
-                (FULL, F.col("album"), F.col("clean")),
-                (NO_ALBUM, F.lit(""), F.col("clean")),
-                (NO_TITLE, F.col("album"), F.lit("")),
-                (NEITHER, F.lit(""), F.lit("")),
-            )
-        ]
-    )
-    return queries.select("qid", "artist", "names", F.explode(visits).alias("c")).select(
-        "qid", "artist", "names", "c.*"
+    return queries.selectExpr(
+        "qid",
+        "artist",
+        "names",
+        f"""inline(array(
+            struct({FULL} as cls, album, clean),
+            struct({NO_ALBUM} as cls, '' as album, clean),
+            struct({NO_TITLE} as cls, album, '' as clean),
+            struct({NEITHER} as cls, '' as album, '' as clean)))""",
     )
 
 
@@ -119,15 +115,14 @@ def residual_hits(
             rows.alias("r"),
             [F.col(f"q.{a}") == F.col(f"r.{b}") for a, b in (pair.split("=") for pair in on)],
         )
-        fits = (~F.col("q.cls").isin(FULL, NO_TITLE) | album_fits()) & overlap()
-        marks = [
-            F.when(rule(), F.struct(F.lit(level).alias("level"), F.col("r.best").alias("best")))
+        marks = ", ".join(
+            f"if({rule}, struct({level} as level, r.best as best), null)"
             for level, rule in RESIDUAL_RULES
             if level in levels
-        ]
-        met = met.filter(fits).select(
-            *[F.col(f"q.{k}").alias(k) for k in _KEY],
-            F.explode(F.filter(F.array(*marks), lambda m: m.isNotNull())).alias("m"),
+        )
+        met = met.filter(f"(q.cls in ({NO_ALBUM}, {NEITHER}) or {ALBUM_FITS}) and {OVERLAP}").selectExpr(
+            *[f"q.{k} as {k}" for k in _KEY],
+            f"explode(filter(array({marks}), m -> m is not null)) as m",
         )
         return met.select(*_KEY, "m.level", "m.best")
 

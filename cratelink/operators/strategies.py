@@ -154,38 +154,24 @@ def names_by_level(strategies: tuple[Strategy, ...] = STRATEGIES) -> dict[int, s
     return {s.level: s.name for s in strategies}
 
 
-# --- residual predicates over a (q, r) pair; also the standalone s09 ---------
+# --- predicates over a pair aliased (q, r) ----------------------------------
 
 
-def overlap(q: str = "q", r: str = "r") -> Column:
-    return text.names_overlap(F.col(f"{q}.names"), F.col(f"{r}.names"))
-
-
-def album_fits(q: str = "q", r: str = "r") -> Column:
-    return text.album_compatible(F.col(f"{r}.album"), F.col(f"{q}.album"))
-
-
-def title_prefix(q: str = "q", r: str = "r") -> Column:
-    a, b = F.col(f"{q}.clean"), F.col(f"{r}.clean")
-    return F.startswith(a, b) | F.startswith(b, a)
-
-
-def title_near(q: str = "q", r: str = "r") -> Column:
-    a, b = f"{q}.clean", f"{r}.clean"
-    limit = f"greatest(2, floor(length({a}) / 5))"
-    return F.expr(
-        f"{b} <> '' and abs(length({a}) - length({b})) <= {limit} "
-        f"and levenshtein({a}, {b}, cast({limit} as int)) >= 0"
-    )
-
-
-def title_inside(q: str = "q", r: str = "r") -> Column:
-    a, b = F.col(f"{q}.clean"), F.col(f"{r}.clean")
-    return (b != "") & (F.contains(a, b) | F.contains(b, a))
-
+OVERLAP = (
+    "(arrays_overlap(q.names, r.names) or exists(q.names, x -> "
+    "exists(r.names, y -> contains(x, y) or contains(y, x))))"
+)
+ALBUM_FITS = "(contains(q.album, r.album) or contains(r.album, q.album))"
+_LIMIT = "cast(greatest(2, floor(length(q.clean) / 5)) as int)"
+TITLE_PREFIX = "(startswith(q.clean, r.clean) or startswith(r.clean, q.clean))"
+TITLE_NEAR = (
+    f"(r.clean <> '' and abs(length(q.clean) - length(r.clean)) <= {_LIMIT} "
+    f"and levenshtein(q.clean, r.clean, {_LIMIT}) >= 0)"
+)
+TITLE_INSIDE = "(r.clean <> '' and (contains(q.clean, r.clean) or contains(r.clean, q.clean)))"
 
-RESIDUAL_RULES: tuple[tuple[int, Callable[..., Column]], ...] = (
-    (110, title_prefix),
-    (120, title_near),
-    (130, title_inside),
+RESIDUAL_RULES: tuple[tuple[int, str], ...] = (
+    (110, TITLE_PREFIX),
+    (120, TITLE_NEAR),
+    (130, TITLE_INSIDE),
 )
