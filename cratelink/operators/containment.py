@@ -39,7 +39,7 @@ def windows(v: str, lengths: str = _LENGTHS) -> Column:
     )
 
 
-def _inside(needles: DataFrame, hays: DataFrame) -> DataFrame:
+def inside_pairs(needles: DataFrame, hays: DataFrame) -> DataFrame:
     """(grp, needle, hay) for every needle found inside a hay of the same group."""
     n = needles.select("grp", F.col("v").alias("needle"), anchor("v").alias("piece"))
     # Only lengths some needle asks for are cut from the hays.
@@ -54,9 +54,9 @@ def _inside(needles: DataFrame, hays: DataFrame) -> DataFrame:
 
 def contained_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """(grp, l, r) where one text holds the other; inputs are distinct (grp, v), v not blank."""
-    inside_right = _inside(left, right).select("grp", F.col("needle").alias("l"), F.col("hay").alias("r"))
+    inside_right = inside_pairs(left, right).select("grp", F.col("needle").alias("l"), F.col("hay").alias("r"))
     inside_left = (
-        _inside(right, left)
+        inside_pairs(right, left)
         .filter(F.col("needle") != F.col("hay"))
         .select("grp", F.col("hay").alias("l"), F.col("needle").alias("r"))
     )
