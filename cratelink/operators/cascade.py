@@ -23,7 +23,7 @@ from cratelink.operators.keys import (
     query_keys,
     with_query_id,
 )
-from cratelink.operators.strategies import SEP, STRATEGIES, Strategy
+from cratelink.operators.strategies import ALBUM_FITS, OVERLAP, SEP, STRATEGIES, Strategy
 from cratelink.session import stage
 
 #: Distinct values per equality group up to which pairs are compared directly.
@@ -177,6 +177,48 @@ def equality_hits(
     return hits
 
 
+def album_title_hits(queries: DataFrame, catalog: DataFrame, fan_limit: int = residual.FAN_LIMIT) -> DataFrame:
+    """Hits of the level that cannot decide (equal title, fitting album, artists overlap).
+
+    Kept for explaining a link. A title held by more than *fan_limit* distinct catalog
+    rows is narrowed by album first.
+    """
+    q = queries.filter("album <> '' and clean <> '' and artist <> ''").select("qid", "album", "clean", "names")
+    rows = stage(
+        first_rows(catalog.filter("clean <> ''"), "artist", "album", "clean", "names"), "titled"
+    )
+    crowded = rows.groupBy("clean").count().filter(F.col("count") > fan_limit).select("clean")
+    test = f"({ALBUM_FITS} and {OVERLAP})"
+    columns = ["q.qid", "r.best"]
+    if crowded.isEmpty():
+        met = q.alias("q").join(rows.alias("r"), F.col("q.clean") == F.col("r.clean")).filter(test).select(*columns)
+    else:
+        calm = q.join(crowded, "clean", "left_anti").alias("q")
+        met = calm.join(rows.alias("r"), F.col("q.clean") == F.col("r.clean")).filter(test).select(*columns)
+        busy = q.join(crowded, "clean", "left_semi")
+        busy_rows = rows.join(crowded, "clean", "left_semi")
+
+        def albums(df: DataFrame) -> DataFrame:
+            return df.select(F.col("clean").alias("grp"), F.col("album").alias("v")).filter("v <> ''").distinct()
+
+        pairs = contained_pairs(albums(busy), albums(busy_rows))
+        pairs = pairs.unionByName(albums(busy).selectExpr("grp", "v as l", "'' as r"))
+        asked = busy.join(
+            pairs.selectExpr("grp as clean", "l as album", "r as r_album"), ["clean", "album"]
+        ).alias("q")
+        met = met.unionByName(
+            asked.join(
+                busy_rows.alias("r"),
+                (F.col("q.clean") == F.col("r.clean")) & (F.col("q.r_album") == F.col("r.album")),
+            )
+            .filter(test)
+            .select(*columns)
+        )
+    return met.groupBy("qid").agg(F.min("best").alias("best")).select(
+        "qid", F.lit(90).alias("level"), F.struct(F.lit(0).alias("sub"), "best.seq", "best.path").cast(HIT).alias("hit")
+    )
+
+
 def link_keys(
     queries: DataFrame,
     catalog: DataFrame,
@@ -226,6 +268,19 @@ def link(
     return out.drop("qid", "_path", "_level")
 
 
+def strategy_hits(queries: DataFrame, catalog: DataFrame, name: str, **options) -> DataFrame:
+    """What one strategy alone finds: (qid, level, seq, path)."""
+    chosen = [s for s in STRATEGIES if s.name == name]
+    levels = [s.level for s in chosen]
+    if chosen[0].kind == "residual":
+        hits = residual.residual_hits(queries, catalog, levels, **options)
+    elif chosen[0].kind == "never":
+        hits = album_title_hits(queries, catalog, **options)
+    else:
+        hits = equality_hits(queries, catalog, chosen, **options)
+    return resolve(hits, levels)
+
+
 def match_counts(linked: DataFrame, path_column: str = "Local File Path") -> DataFrame:
     """Matched and unmatched rows; their sum is the input."""
     path = F.col(f"`{path_column}`")
