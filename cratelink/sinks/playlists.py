@@ -46,7 +46,7 @@ def name_single_parts(spark: SparkSession, root: str) -> list[str]:
 def track_xml(columns=("TrackID", "Name", "Artist", "Album", "Location", "TotalTime", "Kind")) -> Column:
     """A collection track as one element with attributes."""
     attributes = F.struct(*[F.col(c).cast("string").alias(f"_{c}") for c in columns])
-    return F.to_xml(attributes, {"rowTag": "TRACK", "indent": ""})
+    return F.rtrim(F.to_xml(attributes, {"rowTag": "TRACK", "indent": ""}), F.lit("\n"))
 
 
 def write_collection(tracks: DataFrame, path: str, mode: str = "errorifexists") -> None:

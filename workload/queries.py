@@ -269,7 +269,7 @@ def clean_query(spark, sf):
         "seq",
         search.clean_search_title(F.col("raw"), F.col("artist")).alias("title"),
         search.clean_search_artist(F.concat("artist", F.lit(" www.example.com"))).alias("artist"),
-        search.drop_featuring(F.concat("title", F.lit(" (feat. Guest)"))).alias("bare"),
+        search.drop_featuring(F.concat("raw", F.lit(" (feat. Guest)"))).alias("bare"),
     )
 
 
@@ -418,7 +418,9 @@ def search_top10(spark, sf):
         F.upper("title").alias("s_title"),
         F.when(F.col("seq") % 4 == 0, F.lit("mix")).otherwise(F.lit("")).alias("s_mix"),
     )
-    return search_candidates(asks, view(spark, sf, "fx_candidates")).select("s_artist", "s_title", "s_mix", "place", "id")
+    return search_candidates(asks, view(spark, sf, "fx_candidates")).select(
+        "s_artist", "s_title", "s_mix", F.col("place").cast("bigint").alias("place"), "id"
+    )
 
 
 def _joint_files(spark, sf) -> DataFrame:
