@@ -29,7 +29,15 @@ from cratelink.session import stage
 #: Distinct values per equality group up to which pairs are compared directly.
 GROUP_LIMIT = 64
 
-HIT = "struct<sub:int,seq:bigint,path:string>"
+# A hit is one long: preference, then insertion order, then whether the path is blank.
+# Longs keep every reduction a hash aggregate and keep paths out of the shuffles; the
+# path is fetched once, at the end, by ``seq``.
+_SUB_SHIFT = 61
+
+
+def rank_code(seq: str = "seq", path: str = "path") -> Column:
+    """A catalog row's place as a long. ``seq`` is unique and below 2**60."""
+    return F.expr(f"shiftleft({seq}, 1) + if({path} = '', 1, 0)")
 
 
 def _tagged(level: int, keys: Column) -> Column:
@@ -56,21 +64,22 @@ def _select(kind: str, strategies: Iterable[Strategy]) -> list[Strategy]:
 
 
 def first_rows(catalog: DataFrame, *keys: str) -> DataFrame:
-    """The first catalog row per key as ``best`` (seq, path): insertion order wins."""
-    return catalog.groupBy(*keys).agg(F.min(F.struct("seq", "path")).alias("best"))
+    """The first catalog row per key as its rank code ``best``: insertion order wins."""
+    return catalog.groupBy(*keys).agg(F.min("code").alias("best"))
 
 
 def lookup_hits(queries: DataFrame, catalog: DataFrame, strategies: Iterable[Strategy]) -> DataFrame:
     """Hits of all lookup levels as (qid, level, hit)."""
     chosen = _select("lookup", strategies)
     offered = catalog.select(
-        "seq", "path", F.explode(F.concat(*[_tagged(s.level, s.catalog()) for s in chosen])).alias("o")
-    ).select("seq", "path", F.col("o.level").alias("level"), F.col("o.k").alias("k"))
+        rank_code().alias("code"),
+        F.explode(F.concat(*[_tagged(s.level, s.catalog()) for s in chosen])).alias("o"),
+    ).select("code", F.col("o.level").alias("level"), F.col("o.k").alias("k"))
     asked = queries.select(
         "qid", F.explode(F.concat(*[_ranked(s) for s in chosen])).alias("o")
     ).select("qid", F.col("o.level").alias("level"), F.col("o.k").alias("k"), F.col("o.sub").alias("sub"))
     return asked.join(first_rows(offered, "level", "k"), ["level", "k"]).select(
-        "qid", "level", F.struct("sub", "best.seq", "best.path").cast(HIT).alias("hit")
+        "qid", "level", F.expr(f"shiftleft(cast(sub as bigint), {_SUB_SHIFT}) + best").alias("hit")
     )
 
 
@@ -101,7 +110,7 @@ def grouped_hits(
     asked = spread(queries, "query", "qid")
     wanted = asked.select("grp").distinct()
     offered = first_rows(
-        spread(catalog, "catalog", "seq", "path").join(wanted, "grp", "left_semi"), "grp", "v"
+        spread(catalog.withColumn("code", rank_code()), "catalog", "code").join(wanted, "grp", "left_semi"), "grp", "v"
     )
     offered = stage(offered, "grouped")
     crowded = offered.groupBy("grp").count().filter(F.col("count") > group_limit).select("grp")
@@ -134,15 +143,11 @@ def grouped_hits(
         hits = hits.unionByName(busy_q.join(best, ["grp", "v"]).select("qid", "grp", "best"))
         hits = hits.unionByName(busy_q.join(blank, "grp").select("qid", "grp", "best"))
     level = F.substring_index("grp", SEP, 1).cast("int")
-    return hits.select(
-        "qid",
-        level.alias("level"),
-        F.struct(F.lit(0).alias("sub"), "best.seq", "best.path").cast(HIT).alias("hit"),
-    )
+    return hits.select("qid", level.alias("level"), F.col("best").alias("hit"))
 
 
 def resolve(hits: DataFrame, levels: Iterable[int]) -> DataFrame:
-    """First level whose first row has a path, as (qid, level, seq, path).
+    """First level whose first row has a path, as (qid, level, seq).
 
     All levels are reduced in one aggregation, so a query with many hits is combined
     before the shuffle. A level whose first row has a blank path is a miss.
@@ -151,12 +156,13 @@ def resolve(hits: DataFrame, levels: Iterable[int]) -> DataFrame:
     best = hits.groupBy("qid").agg(
         *[F.expr(f"min(hit) filter (where level = {n}) as h{n}") for n in levels]
     )
-    picks = ", ".join(
-        f"if(h{n}.path <> '', struct({n} as level, h{n}.seq as seq, h{n}.path as path), null)"
-        for n in levels
-    )
+    sound = ", ".join(f"if(h{n} & 1 = 0, {n}, null)" for n in levels)
+    codes = " ".join(f"when {n} then h{n}" for n in levels)
+    mask = (1 << _SUB_SHIFT) - 1
     return (
-        best.selectExpr("qid", f"coalesce({picks}) as p").filter("p is not null").select("qid", "p.*")
+        best.withColumn("level", F.expr(f"coalesce({sound}, null)"))
+        .filter("level is not null")
+        .selectExpr("qid", "level", f"shiftright((case level {codes} end) & {mask}, 1) as seq")
     )
 
 
@@ -185,7 +191,8 @@ def album_title_hits(queries: DataFrame, catalog: DataFrame, fan_limit: int = re
     """
     q = queries.filter("album <> '' and clean <> '' and artist <> ''").select("qid", "album", "clean", "names")
     rows = stage(
-        first_rows(catalog.filter("clean <> ''"), "artist", "album", "clean", "names"), "titled"
+        first_rows(catalog.filter("clean <> ''").withColumn("code", rank_code()), "artist", "album", "clean", "names"),
+        "titled",
     )
     crowded = rows.groupBy("clean").count().filter(F.col("count") > fan_limit).select("clean")
     test = f"({ALBUM_FITS} and {OVERLAP})"
@@ -215,7 +222,7 @@ def album_title_hits(queries: DataFrame, catalog: DataFrame, fan_limit: int = re
             .select(*columns)
         )
     return met.groupBy("qid").agg(F.min("best").alias("best")).select(
-        "qid", F.lit(90).alias("level"), F.struct(F.lit(0).alias("sub"), "best.seq", "best.path").cast(HIT).alias("hit")
+        "qid", F.lit(90).alias("level"), F.col("best").alias("hit")
     )
 
 
@@ -227,7 +234,7 @@ def link_keys(
     fan_limit: int = residual.FAN_LIMIT,
     strict: bool = False,
 ) -> DataFrame:
-    """Resolve distinct query keys against catalog keys: (qid, level, seq, path).
+    """Resolve distinct query keys against catalog keys: (qid, level, seq).
 
     *strict* keeps untitled catalog rows out of the residual levels.
     """
@@ -246,6 +253,11 @@ def link_keys(
     return rest if found is None else found.unionByName(rest)
 
 
+def with_path(found: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Links with the path of their catalog row."""
+    return found.join(catalog.select("seq", "path"), "seq")
+
+
 def link(
     purchases: DataFrame,
     catalog: DataFrame,
@@ -258,7 +270,7 @@ def link(
     """Purchases plus the path of the catalog row each one links to (``''`` if none)."""
     queries = stage(query_keys(purchases, query_fields), "queries")
     rows = stage(catalog_keys(catalog, catalog_fields), "catalog")
-    linked = link_keys(queries, rows, **options).select(
+    linked = with_path(link_keys(queries, rows, **options), rows).select(
         "qid", F.col("path").alias("_path"), F.col("level").alias("_level")
     )
     joined = with_query_id(purchases, query_fields).join(linked, "qid", "left")
@@ -269,7 +281,7 @@ def link(
 
 
 def strategy_hits(queries: DataFrame, catalog: DataFrame, name: str, **options) -> DataFrame:
-    """What one strategy alone finds: (qid, level, seq, path)."""
+    """What one strategy alone finds: (qid, level, seq)."""
     chosen = [s for s in STRATEGIES if s.name == name]
     levels = [s.level for s in chosen]
     if chosen[0].kind == "residual":

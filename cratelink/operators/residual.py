@@ -21,6 +21,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cratelink.functions.text import artist_names
 from cratelink.operators.containment import contained_pairs, edit_pairs
 from cratelink.operators.strategies import ALBUM_FITS, OVERLAP, RESIDUAL_RULES
 from cratelink.session import stage
@@ -53,7 +54,8 @@ def _reduced_catalog(catalog: DataFrame, strict: bool) -> DataFrame:
         rows = rows.filter("clean <> ''")
     return (
         rows.groupBy("artist", "album", "clean")
-        .agg(F.min(F.struct("seq", "path")).alias("best"), F.first("names").alias("names"))
+        .agg(F.min(F.expr("shiftleft(seq, 1) + if(path = '', 1, 0)")).alias("best"))
+        .withColumn("names", artist_names(F.col("artist")))
         .withColumn("cls", blank + 1)
     )
 
@@ -146,13 +148,7 @@ def residual_hits(
         met = met.unionByName(candidates(with_titles, ["cls=cls", "r_clean=clean"], r))
 
     best = met.groupBy(*_KEY, "level").agg(F.min("best").alias("best"))
-    return visits.join(best, list(_KEY)).select(
-        "qid",
-        "level",
-        F.struct(F.lit(0).alias("sub"), "best.seq", "best.path")
-        .cast("struct<sub:int,seq:bigint,path:string>")
-        .alias("hit"),
-    )
+    return visits.join(best, list(_KEY)).select("qid", "level", F.col("best").alias("hit"))
 
 
 def _title_pairs(q: DataFrame, r: DataFrame) -> DataFrame:

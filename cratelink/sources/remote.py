@@ -37,12 +37,16 @@ def recordings(answers: DataFrame, key: str, column: str = "value", rank: str =
     )
 
 
-def release_results(answers: DataFrame, key: str, column: str = "value") -> DataFrame:
-    """A search answer's ``results`` array, one row per result with its rank."""
+def release_results(answers: DataFrame, key: str, column: str = "value", page: str | None = None) -> DataFrame:
+    """A search answer's ``results`` array, one row per result with its rank.
+
+    An answer landed as several pages names its page column.
+    """
     results = F.from_json(F.col(column), f"struct<results:array<{RELEASE_RESULT}>>")["results"]
-    return answers.select(key, F.posexplode(results).alias("rank", "r")).select(
+    number = (F.col(page) if page else F.lit(0)).cast("bigint")
+    return answers.select(key, number.alias("page"), F.posexplode(results).alias("place", "r")).select(
         key,
-        "rank",
+        F.struct("page", "place").alias("rank"),
         F.col("r.id").alias("result_id"),
         F.col("r.type").alias("result_type"),
         _words(F.col("r.title")).alias("result_title"),

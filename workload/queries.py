@@ -90,7 +90,7 @@ def _key_tables(spark, sf) -> tuple[DataFrame, DataFrame]:
 def _link_one(name: str) -> Query:
     def run(spark, sf):
         q, r = _key_tables(spark, sf)
-        hits = cascade.strategy_hits(q, r, name)
+        hits = cascade.with_path(cascade.strategy_hits(q, r, name), r)
         return q.join(hits, "qid").select("isrc", "artist", "album", "clean", "path")
 
     return run
@@ -569,9 +569,8 @@ def _release_tables(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     )
     shown = F.when(F.col("id") % 11 == 0, F.lit("Other - X")).otherwise(shown)
     kind = F.when(F.col("id") % 8 == 0, F.lit("artist")).when(F.col("id") % 8 == 1, F.lit(None)).otherwise(F.lit("release"))
-    # A file's own candidates; a search answer holds a page of them, ten in all.
     one = F.struct(F.col("id"), kind.alias("type"), shown.alias("title"))
-    answer = met.groupBy("seq").agg(F.to_json(F.struct(F.array_sort(F.collect_list(one)).alias("results"))).alias("value"))
+    answer = met.select("seq", F.col("id").alias("page"), F.to_json(F.struct(F.array(one).alias("results"))).alias("value"))
     c = view(spark, sf, "fx_candidates")
     listed = F.when(F.col("length_ms") == 0, F.lit("")).otherwise(times.duration_text(F.col("length_ms")))
     details = c.select(
@@ -600,7 +599,7 @@ def _release_tables(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
 def _release_match(spark, sf) -> DataFrame:
     files, answers, details = _release_tables(spark, sf)
     return waterfall.releases_match(
-        files, remote.release_results(answers, "seq"), remote.releases(details), "seq"
+        files, remote.release_results(answers, "seq", page="page"), remote.releases(details), "seq"
     )
 
 
