@@ -82,11 +82,26 @@ RELEASE = (
     "images:array<struct<type:string,uri:string>>>"
 )
 
-MANIFEST = T.StructType.fromDDL(
-    "path string, artist string, title string, album string, genre string, date string, "
-    "duration_ms bigint, missing array<string>, candidate_id bigint, snapshot map<string,string>"
+_TEXT = T.StringType()
+_MAP = T.MapType(_TEXT, _TEXT)
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
+
+MANIFEST = _struct(
+    path=_TEXT,
+    artist=_TEXT,
+    title=_TEXT,
+    album=_TEXT,
+    genre=_TEXT,
+    date=_TEXT,
+    duration_ms=T.LongType(),
+    missing=T.ArrayType(_TEXT),
+    candidate_id=T.LongType(),
+    snapshot=_MAP,
 )
-RESULT_LOG = T.StructType.fromDDL(
-    "path string, status string, candidate_id bigint, applied map<string,string>, "
-    "source string, snapshot map<string,string>"
+RESULT_LOG = _struct(
+    path=_TEXT, status=_TEXT, candidate_id=T.LongType(), applied=_MAP, source=_TEXT, snapshot=_MAP
 )
