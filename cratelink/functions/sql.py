@@ -11,20 +11,25 @@ def _quoted(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _fold_body() -> str:
-    src, dst, longer = text._fold_tables()
-    pairs = _quoted("\x02".join(f"{k}\x03{v}" for k, v in longer.items()))
+def _translated(src: str, dst: str) -> str:
+    """Folding by one translate, with the several-character cases written out first."""
+    pairs = _quoted("\x02".join(f"{k}\x03{v}" for k, v in text._fold_tables()[2].items()))
     expanded = (
         f"if(v rlike {_quoted(text._longer_class())}, array_join(transform(split(v, ''), c -> "
         f"coalesce(try_element_at(str_to_map({pairs}, '\x02', '\x03'), c), c)), ''), v)"
     )
-    ascii_only = _quoted(r"[^\x00-\x7F]")
-    folded = f"regexp_replace(translate({expanded}, {_quoted(src)}, {_quoted(dst)}), {ascii_only}, '')"
-    return f"if(v rlike {ascii_only}, {folded}, v)"
+    table = f"{_quoted(src)}, {_quoted(dst)}"
+    foreign = _quoted(r"[^\x00-\x7F]+")
+    return (
+        f"if(v rlike {foreign}, regexp_replace(translate({expanded}, {table}), {foreign}, ''), translate(v, {table}))"
+    )
+
+
+def _squeezed(body: str) -> str:
+    return f"trim(regexp_replace({body}, '  +', ' '))"
 
 
 def _bodies() -> dict[str, str]:
-    squeeze = _quoted(r"[\t-\r\x1c-\x20]+")
     stripped = f"btrim(v, {_quoted(text.SPACE_CHARS)})"
     suffixes = stripped
     for pattern in (text.MIX_GROUP, text.BARE_MIX, text.DASH_MIX, text.ANY_GROUP, text.FEATURING):
@@ -33,11 +38,9 @@ def _bodies() -> dict[str, str]:
         f"when contains(lower(v), {_quoted(s)}) then {_quoted('promo-domain:' + s)}" for s in quality.PROMO_SITES
     )
     return {
-        "cl_fold": _fold_body(),
-        "cl_normalize": "trim(regexp_replace(regexp_replace(replace(replace(lower(cl_fold(v)), '-', ' '), "
-        f"'&', ' and '), {_quoted(r'[^a-z0-9_\t-\r\x1c-\x20]')}, ''), {squeeze}, ' '))",
-        "cl_norm_artist": "trim(regexp_replace(regexp_replace(lower(cl_fold(v)), "
-        f"{_quoted(r'[^a-z0-9_&,\t-\r\x1c-\x20]')}, ''), {squeeze}, ' '))",
+        "cl_fold": _translated(*text._fold_tables()[:2]),
+        "cl_normalize": _squeezed(f"replace({_translated(*text._key_tables('&', ' '))}, '&', ' and ')"),
+        "cl_norm_artist": _squeezed(_translated(*text._key_tables("&,", ""))),
         "cl_clean_title": f"cl_normalize({suffixes})",
         "cl_declared_mix": f"btrim(regexp_extract({stripped}, {_quoted(text.TITLE_AND_GROUP)}, 2), "
         f"{_quoted(text.SPACE_CHARS)})",

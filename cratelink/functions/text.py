@@ -51,7 +51,6 @@ TITLE_AND_GROUP = (
 NAME_SEPARATORS = ",|&|feat|vs| x "
 
 _NON_ASCII = r"[^\x00-\x7F]"
-_ASCII_WS = r"[\t-\r\x1c-\x20]"
 
 
 @lru_cache(maxsize=1)
@@ -92,37 +91,58 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACE_CHARS))
 
 
-def fold(c: Column) -> Column:
-    """Drop accents and keep only what decomposes to ASCII."""
-    src, dst, longer = _fold_tables()
+def _expanded(c: Column) -> Column:
+    """Code points that decompose to several ASCII characters, written out."""
     pairs = F.str_to_map(
-        F.lit("\x02".join(f"{k}\x03{v}" for k, v in longer.items())),
+        F.lit("\x02".join(f"{k}\x03{v}" for k, v in _fold_tables()[2].items())),
         F.lit("\x02"),
         F.lit("\x03"),
     )
-    expanded = F.when(
-        c.rlike(_longer_class()),
-        F.array_join(
-            F.transform(
-                F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(pairs, ch), ch)
-            ),
-            "",
-        ),
-    ).otherwise(c)
-    folded = F.regexp_replace(F.translate(expanded, src, dst), _NON_ASCII, "")
+    spelled = F.transform(
+        F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(pairs, ch), ch)
+    )
+    return F.when(c.rlike(_longer_class()), F.array_join(spelled, "")).otherwise(c)
+
+
+def fold(c: Column) -> Column:
+    """Drop accents and keep only what decomposes to ASCII."""
+    src, dst, _ = _fold_tables()
+    folded = F.regexp_replace(F.translate(_expanded(c), src, dst), _NON_ASCII + "+", "")
     return F.when(c.rlike(_NON_ASCII), folded).otherwise(c)
 
 
-def normalize_folded(c: Column) -> Column:
-    """The comparison form of text that is already folded."""
-    t = F.replace(F.replace(F.lower(c), F.lit("-"), F.lit(" ")), F.lit("&"), F.lit(" and "))
-    t = F.regexp_replace(t, r"[^a-z0-9_\t-\r\x1c-\x20]", "")
-    return F.trim(F.regexp_replace(t, _ASCII_WS + "+", " "))
+@lru_cache(maxsize=4)
+def _key_tables(keep: str, dash: str) -> tuple[str, str]:
+    """One ``translate`` that folds, lower-cases, blanks whitespace and drops punctuation.
+
+    Kept are ASCII letters, digits, ``_`` and *keep*; ``-`` becomes *dash*. Characters
+    to drop come last and have no counterpart.
+    """
+    src, dst, _ = _fold_tables()
+    ascii_text = "".join(map(chr, range(0x80)))
+    kept, dropped = [], []
+    for ch, to in zip(src + ascii_text, dst + ascii_text):
+        to = " " if to in SPACE_CHARS else dash if to == "-" else to.lower()
+        if not (to and (to.isalnum() or to in "_ " or to in keep)):
+            dropped.append(ch)
+        elif to != ch:
+            kept.append((ch, to))
+    return "".join(k for k, _ in kept) + "".join(dropped), "".join(v for _, v in kept)
+
+
+def _key_form(c: Column, keep: str, dash: str) -> Column:
+    table = _key_tables(keep, dash)
+    foreign = F.regexp_replace(F.translate(_expanded(c), *table), _NON_ASCII + "+", "")
+    return F.when(c.rlike(_NON_ASCII), foreign).otherwise(F.translate(c, *table))
+
+
+def _squeezed(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, "  +", " "))
 
 
 def normalize(c: Column) -> Column:
-    """Fold, lower-case, drop punctuation, collapse blanks."""
-    return normalize_folded(fold(c))
+    """Fold, lower-case, drop punctuation, collapse blanks; ``&`` reads as ``and``."""
+    return _squeezed(F.replace(_key_form(c, "&", " "), F.lit("&"), F.lit(" and ")))
 
 
 def drop_suffixes(c: Column) -> Column:
@@ -143,14 +163,9 @@ def condensed(clean: Column) -> Column:
     return F.replace(clean, F.lit(" "), F.lit(""))
 
 
-def norm_artist_folded(c: Column) -> Column:
-    t = F.regexp_replace(F.lower(c), r"[^a-z0-9_&,\t-\r\x1c-\x20]", "")
-    return F.trim(F.regexp_replace(t, _ASCII_WS + "+", " "))
-
-
 def norm_artist(c: Column) -> Column:
     """Artist key: like :func:`normalize`, but ``&`` and ``,`` survive and hyphens go."""
-    return norm_artist_folded(fold(c))
+    return _squeezed(_key_form(c, "&,", ""))
 
 
 def artist_names(artist_key: Column) -> Column:

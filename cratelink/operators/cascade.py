@@ -20,8 +20,9 @@ from cratelink.operators.keys import (
     CATALOG_FIELDS,
     QUERY_FIELDS,
     catalog_keys,
-    query_keys,
-    with_query_id,
+    join_links,
+    keys_of,
+    raw_keys,
 )
 from cratelink.operators.strategies import ALBUM_FITS, OVERLAP, SEP, STRATEGIES, Strategy
 from cratelink.session import stage
@@ -268,16 +269,17 @@ def link(
     **options,
 ) -> DataFrame:
     """Purchases plus the path of the catalog row each one links to (``''`` if none)."""
-    queries = stage(query_keys(purchases, query_fields), "queries")
+    raw = stage(raw_keys(purchases, query_fields), "raw")
+    queries = stage(keys_of(raw), "queries")
     rows = stage(catalog_keys(catalog, catalog_fields), "catalog")
-    linked = with_path(link_keys(queries, rows, **options), rows).select(
+    links = with_path(link_keys(queries, rows, **options), rows).select(
         "qid", F.col("path").alias("_path"), F.col("level").alias("_level")
     )
-    joined = with_query_id(purchases, query_fields).join(linked, "qid", "left")
+    joined = join_links(purchases, raw, links, query_fields)
     out = joined.withColumn(path_column, F.coalesce("_path", F.lit("")))
     if level_column:
         out = out.withColumn(level_column, F.coalesce("_level", F.lit(0)))
-    return out.drop("qid", "_path", "_level")
+    return out.drop("_path", "_level")
 
 
 def strategy_hits(queries: DataFrame, catalog: DataFrame, name: str, **options) -> DataFrame:

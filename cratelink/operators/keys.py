@@ -19,24 +19,15 @@ def _field(name: str) -> Column:
 
 
 def _key_steps(df: DataFrame, fields: dict[str, str]) -> DataFrame:
-    # Each step is its own projection so that a rule is evaluated once per row
-    # although the next rule refers to its result several times.
-    df = df.withColumns(
-        {
-            "_t": text.drop_suffixes(_field(fields["title"])),
-            "_a": text.fold(_field(fields["artist"])),
-            "_al": text.fold(_field(fields["album"])),
-        }
+    # Suffixes are dropped in a projection of their own, so that the long rule runs once
+    # per row although folding refers to its result several times.
+    return df.withColumn("_t", text.drop_suffixes(_field(fields["title"]))).select(
+        *df.columns,
+        text.strip(_field(fields["isrc"])).alias("_isrc"),
+        text.norm_artist(_field(fields["artist"])).alias("_artist"),
+        text.normalize(_field(fields["album"])).alias("_album"),
+        text.normalize(F.col("_t")).alias("_clean"),
     )
-    df = df.withColumns(
-        {
-            "_isrc": text.strip(_field(fields["isrc"])),
-            "_artist": text.norm_artist_folded(F.col("_a")),
-            "_album": text.normalize_folded(F.col("_al")),
-            "_clean": text.normalize_folded(text.fold(F.col("_t"))),
-        }
-    )
-    return df.drop("_t", "_a", "_al")
 
 
 def _named(df: DataFrame) -> DataFrame:
@@ -51,22 +42,37 @@ def query_id(isrc: Column, artist: Column, album: Column, clean: Column) -> Colu
     return F.md5(F.concat_ws("\x1f", isrc, artist, album, clean))
 
 
-def with_query_id(purchases: DataFrame, fields: dict[str, str] = QUERY_FIELDS) -> DataFrame:
-    """Purchases plus ``qid``, the id of their key tuple."""
-    keyed = _key_steps(purchases, fields)
-    keyed = keyed.withColumn(
-        "qid", query_id(F.col("_isrc"), F.col("_artist"), F.col("_album"), F.col("_clean"))
+def raw_keys(purchases: DataFrame, fields: dict[str, str] = QUERY_FIELDS) -> DataFrame:
+    """Distinct raw (isrc, artist, album, title) with their keys and ``qid``.
+
+    Copies of a purchase collapse before any rule runs, with map-side combine, and the
+    rules then run on the shuffled side, on all cores whatever the input's splits are.
+    """
+    parts = ("isrc", "artist", "album", "title")
+    raw = purchases.select(*[_field(fields[p]).alias(f"raw_{p}") for p in parts]).distinct()
+    keyed = _key_steps(raw, {p: f"raw_{p}" for p in parts})
+    keyed = keyed.select(
+        *[f"raw_{p}" for p in parts], *[F.col(f"_{k}").alias(k) for k in KEY_COLUMNS]
     )
-    return keyed.drop("_isrc", "_artist", "_album", "_clean")
+    return keyed.withColumn("qid", query_id(*[F.col(k) for k in KEY_COLUMNS]))
+
+
+def keys_of(raw: DataFrame) -> DataFrame:
+    """One row per distinct key tuple of a :func:`raw_keys` table."""
+    return _named(raw.select(*KEY_COLUMNS, "qid").distinct())
 
 
 def query_keys(purchases: DataFrame, fields: dict[str, str] = QUERY_FIELDS) -> DataFrame:
-    """One row per distinct key tuple; repeated purchases of a track collapse here."""
-    keyed = _key_steps(purchases, fields).select(
-        *[F.col(f"_{k}").alias(k) for k in KEY_COLUMNS]
-    )
-    distinct = keyed.distinct().withColumn("qid", query_id(*[F.col(k) for k in KEY_COLUMNS]))
-    return _named(distinct)
+    """One row per distinct key tuple of the purchases."""
+    return keys_of(raw_keys(purchases, fields))
+
+
+def join_links(purchases: DataFrame, raw: DataFrame, links: DataFrame, fields: dict[str, str] = QUERY_FIELDS) -> DataFrame:
+    """Every purchase with the columns its key tuple was linked to (null when none)."""
+    parts = ("isrc", "artist", "album", "title")
+    found = raw.join(links, "qid").drop("qid", *KEY_COLUMNS)
+    condition = [_field(fields[p]) == F.col(f"raw_{p}") for p in parts]
+    return purchases.join(found, condition, "left").drop(*[f"raw_{p}" for p in parts])
 
 
 def catalog_keys(catalog: DataFrame, fields: dict[str, str] = CATALOG_FIELDS) -> DataFrame:
