@@ -11,7 +11,7 @@ import sys
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values: must equal the linked tool's for equal results -----------
@@ -153,9 +153,50 @@ def drop_suffixes(c: Column) -> Column:
     return t
 
 
+def once(c: Column, rule) -> Column:
+    """*rule* applied to *c* evaluated once, however often the rule refers to it."""
+    return F.element_at(F.transform(F.array(c), lambda v: rule(v)), 1)
+
+
 def clean_title(c: Column) -> Column:
     """Title key: suffixes removed, then normalised."""
-    return normalize(drop_suffixes(c))
+    return once(drop_suffixes(c), normalize)
+
+
+def _closed(t: Column) -> Column:
+    return F.endswith(t, F.lit(")")) | F.endswith(t, F.lit("]"))
+
+
+def _mix_like(t: Column) -> Column:
+    return F.lower(F.right(t, F.lit(1))).isin("x", "l", "t", "k")
+
+
+def _featuring_like(t: Column) -> Column:
+    return F.contains(F.lower(t), F.lit("feat")) | F.contains(F.lower(t), F.lit("ft."))
+
+
+#: Suffix steps with a cheap test that is true whenever the pattern can match. Every
+#: step leaves text that does not end in whitespace, so the last character decides.
+_STEPS = (
+    (MIX_GROUP, _closed),
+    (BARE_MIX, _mix_like),
+    (DASH_MIX, _mix_like),
+    (ANY_GROUP, _closed),
+    (FEATURING, _featuring_like),
+)
+
+
+def with_title_key(df: DataFrame, source: Column, out: str) -> DataFrame:
+    """*df* plus the title key of *source* as column *out*.
+
+    The same rule as :func:`clean_title`, one projection per step, so that each step's
+    cheap test can spare the pattern without evaluating earlier steps again.
+    """
+    df = df.withColumn(out, strip(source))
+    for pattern, possible in _STEPS:
+        t = F.col(out)
+        df = df.withColumn(out, F.when(possible(t), F.regexp_replace(t, pattern, "")).otherwise(t))
+    return df.withColumn(out, normalize(F.col(out)))
 
 
 def condensed(clean: Column) -> Column:

@@ -19,14 +19,12 @@ def _field(name: str) -> Column:
 
 
 def _key_steps(df: DataFrame, fields: dict[str, str]) -> DataFrame:
-    # Suffixes are dropped in a projection of their own, so that the long rule runs once
-    # per row although folding refers to its result several times.
-    return df.withColumn("_t", text.drop_suffixes(_field(fields["title"]))).select(
+    return text.with_title_key(df, _field(fields["title"]), "_clean").select(
         *df.columns,
         text.strip(_field(fields["isrc"])).alias("_isrc"),
         text.norm_artist(_field(fields["artist"])).alias("_artist"),
         text.normalize(_field(fields["album"])).alias("_album"),
-        text.normalize(F.col("_t")).alias("_clean"),
+        "_clean",
     )
 
 

@@ -51,6 +51,13 @@ def test_clean_title(spark):
     assert apply(spark, text.clean_title, CLEAN) == list(CLEAN.values())
 
 
+def test_title_key_steps_equal_the_rule(spark):
+    values = [*CLEAN, "A remix (x) [y] ", "Song Ft. X (Remix)", "K (EDIT) \u212a", "x rewor\u212a", "ends ]", "feat. only", " feat. y"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    rows = text.with_title_key(df, F.col("v"), "k").withColumn("want", text.clean_title(F.col("v"))).collect()
+    assert [r.k for r in rows] == [r.want for r in rows]
+
+
 def test_normalize_and_artist(spark):
     assert apply(spark, text.normalize, ["  Meera   (NO), Tripolism!", "A & B-c_d", "ﬁne ½ Ⅷ ﷺ ø"]) == [
         "meera no tripolism",

@@ -58,10 +58,10 @@ def keys_catalog(spark, sf):
 @query
 def keys_documents(spark, sf):
     """Title key of the first line and a digest of the whole normalised text."""
-    first_line = F.substring_index("text", "\n", 1)
-    return table(spark, sf, "documents").select(
+    docs = text.with_title_key(table(spark, sf, "documents"), F.substring_index("text", "\n", 1), "title_key")
+    return docs.select(
         "doc_id",
-        text.clean_title(first_line).alias("title_key"),
+        "title_key",
         text.norm_artist(F.col("source")).alias("source_key"),
         F.md5(text.normalize(F.col("text"))).alias("text_key"),
     )
