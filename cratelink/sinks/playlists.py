@@ -90,3 +90,56 @@ def tree_lines(refs: DataFrame) -> DataFrame:
         F.lit("</NODE>").alias("line"),
     )
     return track.unionByName(opening).unionByName(closing).unionByName(folder).unionByName(folder_end)
+
+
+#: Name the document gives for its maker.
+PRODUCT = "cratelink"
+
+
+def document_lines(tracks: DataFrame, refs: DataFrame) -> DataFrame:
+    """The whole library document as rows to be sorted by (section, year, rank, period, step, ordinal).
+
+    Every element is a row, so no task ever holds the document.
+    """
+    spark = tracks.sparkSession
+    place = ["section", "year", "rank", "period", "step", "ordinal"]
+
+    def fixed(rows: list[tuple[int, str]]) -> DataFrame:
+        df = spark.createDataFrame(rows, "section int, line string")
+        return df.select(
+            "section", F.lit("").alias("year"), F.lit(0).alias("rank"), F.lit("").alias("period"),
+            F.lit(0).alias("step"), F.lit(0).cast("bigint").alias("ordinal"), "line",
+        )
+
+    head = fixed(
+        [
+            (0, '<?xml version="1.0" encoding="utf-8"?>'),
+            (1, '<DJ_PLAYLISTS Version="1.0.0">'),
+            (2, f'<PRODUCT Name="{PRODUCT}" Version="1.0" Company=""/>'),
+            (5, "</COLLECTION>"),
+            (6, "<PLAYLISTS>"),
+            (7, '<NODE Type="0" Name="ROOT">'),
+            (9, "</NODE>"),
+            (10, "</PLAYLISTS>"),
+            (11, "</DJ_PLAYLISTS>"),
+        ]
+    )
+    blank = [
+        F.lit("").alias("year"), F.lit(0).alias("rank"), F.lit("").alias("period"), F.lit(0).alias("step")
+    ]
+    opening = tracks.agg(F.count("*").alias("n")).select(
+        F.lit(3).alias("section"), *blank, F.lit(0).cast("bigint").alias("ordinal"),
+        F.concat(F.lit('<COLLECTION Entries="'), F.col("n").cast("string"), F.lit('">')).alias("line"),
+    )
+    rows = tracks.select(
+        F.lit(4).alias("section"), *blank, F.col("TrackID").cast("bigint").alias("ordinal"), track_xml().alias("line")
+    )
+    tree = tree_lines(refs).select(F.lit(8).alias("section"), *place[1:], "line")
+    return head.unionByName(opening).unionByName(rows).unionByName(tree)
+
+
+def write_document(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Document lines as text parts that read in name order as one XML document."""
+    place = ["section", "year", "rank", "period", "step", "ordinal"]
+    ordered = lines.repartitionByRange(*place).sortWithinPartitions(*place)
+    ordered.select("line").write.mode(mode).text(path)

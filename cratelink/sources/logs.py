@@ -17,9 +17,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path)
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of JSON manifests that name a path; other elements are skipped."""
-    df = spark.read.schema(MANIFEST).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+def read_manifest(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
+    """Entries of JSON manifests that name a path; other elements are skipped.
+
+    A manifest is one entry per line, which splits over tasks. *array* reads the form of
+    one JSON array per file, each file in one task.
+    """
+    df = spark.read.schema(MANIFEST).option("multiLine", array).option("mode", "PERMISSIVE").json(path)
     return df.filter(F.coalesce("path", F.lit("")) != "")
 
 

@@ -228,7 +228,7 @@ from (select page_id, url, {_TITLE} as t from pages)"""
 _TAGS = f"""
 {_BASE},
 tags as (
-  select seq, artist, case when seq % 6 = 0 then title || ' 128' else title end as title, album, genre, date,
+  select seq, artist, case when seq % 6 = 0 then title || ' 128' else title end as title, album, genre, date, duration_ms,
     seq % 23 <> 0 as readable,
     '/mnt/' || (case when seq % 3 = 0 then 'c' else 'g' end) || '/music/' || cast(seq as varchar)
       || (case when seq % 5 = 0 then '.ogg' else '.mp3' end) as path from fx_files),
@@ -448,6 +448,44 @@ with {_RECORDINGS}, {_RELEASES}, {_best(_GATE)}, decided as (
 select seq, source, case when source <> '' then 'matched' when met is not null then 'ambiguous' else 'no-candidates' end as status
 from decided"""
 
+# --- the whole flow: who a file is follows from how its path and tags were made -----
+
+_FLOW = f"""
+{_BASE},
+raw as (
+  select f.seq, f.artist as a, f.title as t, f.duration_ms,
+    case f.seq % 7 when 0 then f.artist || ' & Guest' when 1 then 'Guest feat. ' || f.artist else f.artist end as tag_artist,
+    case f.seq % 5 when 0 then f.title || ' (Extended Mix)' when 1 then f.title || ' (feat. Guest)' else f.title end as tag_title,
+    f.seq % 6 = 0 as untagged,
+    case when f.seq % 5 = 0 then 'UnknownArtist' when f.seq % 5 = 1 then 'www.example.com' else f.artist end as folder,
+    case f.seq % 4 when 0 then '03 - ' || f.artist || ' - ' || f.title
+      when 1 then cast(f.seq + 14000000 as varchar) || '_' || replace(f.title, ' ', '_')
+      when 2 then f.title else '1-07. ' || f.title end as stem
+  from fx_files f),
+joint as (
+  select seq, '/mnt/g/music/' || folder || '/' || stem || '.mp3' as path, duration_ms,
+    case when not untagged then seq % 7 else 2 end as w, case when not untagged then seq % 5 else 2 end as d, a, t,
+    case when not untagged then tag_artist when seq % 4 = 0 then a when seq % 5 in (0, 1) then null else a end as artist,
+    case when not untagged then tag_title when seq % 4 = 0 then t when seq % 5 in (0, 1) then null else t end as title
+  from raw),
+known as (select * from joint where artist is not null)
+"""
+_FLOW_SEARCH = (
+    _VARIANTS[_VARIANTS.index("shaped as (") :]
+    .replace("from joint)", "from known)")
+)
+ORACLES["enrich_resolve"] = f"""
+with {_FLOW}, {_FLOW_SEARCH}, {_search('variants')},
+passing as (
+  select seq, ordinal, id, publish_date, length_ms, duration_ms from variants join found using (s_artist, s_title, s_mix)
+  where {length_fits('length_ms', 'duration_ms')} and (not gated or s_title = '' or {title_agrees('s_title', 'name', 'mix_name')})),
+usable as (select * from passing qualify rank() over (partition by seq order by ordinal) = 1),
+picks as (select seq, arg_min(id, ({_AGE}, id)) as pick from usable group by seq)
+select path, coalesce(artist, '') as artist, coalesce(title, '') as title,
+  case when artist is null then 'skipped' when pick is not null then 'matched' else 'no-candidates' end as status,
+  case when pick is not null then 'catalog' else '' end as source, coalesce(pick, -1) as id
+from joint left join picks using (seq)"""
+
 # --- merge ------------------------------------------------------------------------
 
 _MERGE = f"""
@@ -568,6 +606,25 @@ with rows as (
 select cast(o_orderkey as varchar) as track_id, d as purchase_date from rows where o_orderkey <= half + 10
 union all select cast(o_orderkey as varchar), d from rows where o_orderkey > half"""
 
+ORACLES["csv_roundtrip"] = f"""
+with {_BASE} select case when id = 0 then '' else cast(id as varchar) end as track_id,
+  name || chr(13) || chr(10) || '"x", y' as title, case when id % 2 = 0 then 'House' else '' end as genre,
+  case when id % 4 = 0 then '' else cast(id % 4 as varchar) end as bpm from fx_candidates"""
+ORACLES["log_roundtrip"] = f"""
+with {_BASE} select cast(seq as varchar) as path, status, case when seq % 2 = 0 then seq else 0 end as candidate_id,
+  case when seq % 4 = 1 then '9' else '' end as snapshot_id from fx_run_log
+where status = 'matched' and ((seq % 2 = 0 and seq <> 0) or seq % 4 = 1)"""
+ORACLES["manifest_roundtrip"] = f"""
+with {_TAGS} select path, artist, title, duration_ms, array_to_string(missing, '|') as missing
+from profile join tags using (path) where len(missing) > 0"""
+ORACLES["merge_publish"] = ORACLES["merge_result"].rsplit("select f.seq,", 1)[0] + """
+select f.seq, case when f.seq % 10 = 0 then f.artist else coalesce(w.artist, f.artist) end as artist,
+  case when f.seq % 10 = 0 then f.title else coalesce(w.title, f.title) end as title,
+  case when f.seq % 10 = 0 then f.album else coalesce(w.album, f.album) end as album,
+  case when f.seq % 10 = 0 then f.genre else coalesce(w.genre, f.genre) end as genre,
+  case when f.seq % 10 = 0 then f.date else coalesce(w.date, f.date) end as date
+from fx_files f left join wide w using (seq)"""
+
 # --- playlists --------------------------------------------------------------------
 
 _PLAY = f"""

@@ -17,6 +17,7 @@ from cratelink.operators.strategies import STRATEGIES, names_by_level
 from cratelink.plans import enrich
 from cratelink.session import new_path, stage
 from cratelink.sinks import playlists as playlist_sink
+from cratelink.sinks import tables as table_sink
 from cratelink.sources import candidates as candidate_source
 from cratelink.sources import catalog as catalog_source
 from cratelink.sources import logs, purchases, remote
@@ -899,6 +900,57 @@ def purchases_resorted(spark, sf):
     return both.select(F.col("`Track ID`").alias("track_id"), F.col("`Purchase Date`").alias("purchase_date"))
 
 
+@query
+def csv_roundtrip(spark, sf):
+    """Purchases written with their 17 columns and read back; blanks and breaks survive."""
+    rows = purchases.parse_tracks(_track_json(spark, sf))
+    rows = rows.withColumn("Title", F.concat("Title", F.lit('\r\n"x", y')))
+    path = new_path(spark, "purchases-csv")
+    table_sink.write_purchases(rows, path)
+    back = purchases.read_csv(spark, path)
+    return back.select(
+        F.col("`Track ID`").alias("track_id"), F.col("Title").alias("title"), F.col("Genre").alias("genre"), F.col("BPM").alias("bpm")
+    )
+
+
+@query
+def log_roundtrip(spark, sf):
+    """Results appended to a log in two parts; the matches with an id are read back."""
+    log = _run_log(spark, sf).select(
+        F.col("seq").cast("string").alias("path"),
+        "status",
+        F.when(F.col("seq") % 2 == 0, F.col("seq")).otherwise(F.lit(0)).alias("candidate_id"),
+        F.create_map(F.lit("genre"), F.lit("House")).alias("applied"),
+        F.lit("catalog").alias("source"),
+        F.when(F.col("seq") % 4 == 1, F.create_map(F.lit("id"), F.lit("9"))).alias("snapshot"),
+    )
+    root = new_path(spark, "result-log")
+    logs.append_log(log.filter("cast(path as bigint) % 3 = 0"), root)
+    logs.append_log(log.filter("cast(path as bigint) % 3 <> 0"), root)
+    rows = logs.matched_rows(logs.read_log(spark, root))
+    return rows.select("path", "status", "candidate_id", F.coalesce(F.try_element_at("snapshot", F.lit("id")), F.lit("")).alias("snapshot_id"))
+
+
+@query
+def manifest_roundtrip(spark, sf):
+    """Sparse entries written as a manifest and read back."""
+    entries = enrich.sparse(_tag_table(spark, sf)).select("path", "artist", "title", "duration_ms", "missing")
+    root = new_path(spark, "manifest")
+    table_sink.write_manifest(entries, root)
+    back = logs.read_manifest(spark, root)
+    return back.select("path", "artist", "title", "duration_ms", _joined("missing").alias("missing"))
+
+
+@query
+def merge_publish(spark, sf):
+    """Rows as published: merged where the check passed, as before where it did not."""
+    current, new = _merge_tables(spark, sf)
+    after = merge.merged(current, new, "seq").drop("updated")
+    verdict = current.select("seq", (F.col("seq") % 10 != 0).alias("ok"))
+    out = merge.publishable(current, after, verdict, "seq")
+    return out.select("seq", "artist", "title", "album", "genre", "date")
+
+
 # --- playlists --------------------------------------------------------------------
 
 
