@@ -2,9 +2,9 @@
 
 ``needle`` is inside ``hay`` exactly when some window of ``hay`` equals it. Every
 hay emits its windows of a fixed set of lengths and every needle emits the one
-longest prefix of such a length, so the join is an equality on text. Needles of up
-to ``EXACT`` characters are matched outright; longer ones are verified. A hay of n
-characters emits O(n) rows, whatever the data looks like.
+longest prefix of such a length, so the join is an equality of window hashes. Every
+met pair is then verified, so neither a long needle's tail nor a hash collision can
+slip through. A hay of n characters emits O(n) small rows, whatever the data looks like.
 """
 
 from __future__ import annotations
@@ -26,24 +26,25 @@ WINDOWS = (
 _LENGTHS = f"array({', '.join(map(str, WINDOWS))})"
 
 
-def anchor(v: str) -> Column:
-    """The longest prefix of column *v* whose length is a window length."""
-    return F.expr(f"substring({v}, 1, array_max(filter({_LENGTHS}, w -> w <= length({v}))))")
+def anchor_length(v: str) -> Column:
+    """The longest window length that fits column *v*."""
+    return F.expr(f"array_max(filter({_LENGTHS}, w -> w <= length({v})))")
 
 
 def windows(v: str, lengths: str = _LENGTHS) -> Column:
-    """Distinct windows of column *v*, of all given lengths that fit."""
+    """Hashes of the distinct windows of column *v*, of all given lengths that fit."""
     return F.expr(
         f"array_distinct(flatten(transform(filter({lengths}, w -> w <= length({v})), "
-        f"w -> transform(sequence(1, length({v}) - w + 1), i -> substring({v}, i, w)))))"
+        f"w -> transform(sequence(1, length({v}) - w + 1), i -> xxhash64(substring({v}, i, w))))))"
     )
 
 
 def inside_pairs(needles: DataFrame, hays: DataFrame) -> DataFrame:
     """(grp, needle, hay) for every needle found inside a hay of the same group."""
-    n = needles.select("grp", F.col("v").alias("needle"), anchor("v").alias("piece"))
-    # Only lengths some needle asks for are cut from the hays.
-    asked = n.agg(F.array_sort(F.collect_set(F.length("piece"))).alias("asked"))
+    n = needles.select("grp", F.col("v").alias("needle"), anchor_length("v").alias("size"))
+    # Only lengths some needle asks for are cut from the hays: at most len(WINDOWS) numbers.
+    asked = n.agg(F.array_sort(F.collect_set("size")).alias("asked"))
+    n = n.select("grp", "needle", F.expr("xxhash64(substring(needle, 1, size))").alias("piece"))
     h = hays.withColumn("asked", asked.scalar()).select(
         "grp",
         F.col("v").alias("hay"),

@@ -85,7 +85,26 @@ def query_variants(files: DataFrame, key: str, artist: str = "artist", title: st
     return first.select(key, "o.ordinal", *_ASK, "o.gated")
 
 
+def search_table(candidates: DataFrame, page: int = PAGE) -> DataFrame:
+    """Candidates ready to be searched: lower-cased, and of each copy only what can count.
+
+    A query that meets one copy of a (name, artists, mix) meets all of them, so only the
+    oldest page of each can reach any answer.
+    """
+    c = candidates.withColumns(
+        {"_name": F.lower("name"), "_artists": F.lower("artists"), "_mix": F.lower("mix_name")}
+    )
+    copies = Window.partitionBy("_name", "_artists", "_mix").orderBy(age_order(F.col("publish_date"), F.col("id")))
+    c = c.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= page)
+    return stage(c.drop("_copy"), "candidates")
+
+
 def search(asks: DataFrame, candidates: DataFrame, page: int = PAGE) -> DataFrame:
+    """:func:`search_in` over a candidate table used once."""
+    return search_in(asks, search_table(candidates, page), page)
+
+
+def search_in(asks: DataFrame, c: DataFrame, page: int = PAGE) -> DataFrame:
     """Up to *page* candidates per distinct (s_artist, s_title, s_mix), oldest first.
 
     Case-insensitive containment in artist, name and (when asked) mix. Title and
@@ -97,9 +116,8 @@ def search(asks: DataFrame, candidates: DataFrame, page: int = PAGE) -> DataFram
     low = {a: F.lower(F.col(a)) for a in _ASK}
     q = asks.select(*_ASK).distinct().withColumns({f"_{a}": c for a, c in low.items()})
     q = stage(q.filter("s_artist <> '' or s_title <> ''"), "asks")
-    c = candidates.withColumns(
-        {"_name": F.lower("name"), "_artists": F.lower("artists"), "_mix": F.lower("mix_name")}
-    )
+    age = age_order(F.col("publish_date"), F.col("id"))
+    fields = [f for f in c.columns if f not in ("_name", "_artists", "_mix")]
 
     def texts(df: DataFrame, col: str) -> DataFrame:
         return df.select(F.lit("").alias("grp"), F.col(col).alias("v")).filter("v <> ''").distinct()
@@ -124,23 +142,23 @@ def search(asks: DataFrame, candidates: DataFrame, page: int = PAGE) -> DataFram
     )
     through_title = routed.filter("way = 'title'").join(titles.drop("n"), "_s_title").join(c, "_name")
     through_artist = routed.filter("way = 'artist'").join(artists.drop("n"), "_s_artist").join(c, "_artists")
-    columns = [*_ASK, "_s_artist", "_s_title", "_s_mix", "_name", "_artists", "_mix", *candidates.columns]
+    columns = [*_ASK, "_s_artist", "_s_title", "_s_mix", "_name", "_artists", "_mix", *fields]
     met = (
         through_title.select(*columns)
         .unionByName(through_artist.select(*columns))
         .filter("contains(_name, _s_title) and contains(_artists, _s_artist) and contains(_mix, _s_mix)")
     )
-    order = Window.partitionBy(*_ASK).orderBy(age_order(F.col("publish_date"), F.col("id")))
+    order = Window.partitionBy(*_ASK).orderBy(age)
     return (
         met.withColumn("place", F.row_number().over(order))
         .filter(F.col("place") <= page)
-        .select(*_ASK, "place", *candidates.columns)
+        .select(*_ASK, "place", *fields)
     )
 
 
-def _usable(variants: DataFrame, candidates: DataFrame, files: DataFrame, key: str, page: int) -> DataFrame:
+def _usable(variants: DataFrame, prepared: DataFrame, files: DataFrame, key: str, page: int) -> DataFrame:
     """Survivors of each file's first variant that has any."""
-    found = search(variants, candidates, page)
+    found = search_in(variants, prepared, page)
     rows = variants.join(found, list(_ASK)).join(files.select(key, "duration_ms"), key)
     agrees = title_agrees(F.col("s_title"), F.col("name"), F.col("mix_name"))
     rows = rows.filter(
@@ -165,6 +183,7 @@ def first_usable(
     Loose variants are searched only for files the exact ones left open.
     """
     variants = stage(query_variants(files, key, artist, title), "variants")
-    exact = stage(_usable(variants.filter("not gated"), candidates, files, key, page), "exact")
+    prepared = search_table(candidates, page)
+    exact = stage(_usable(variants.filter("not gated"), prepared, files, key, page), "exact")
     open_variants = variants.filter("gated").join(exact.select(key).distinct(), key, "left_anti")
-    return exact.unionByName(_usable(open_variants, candidates, files, key, page))
+    return exact.unionByName(_usable(open_variants, prepared, files, key, page))

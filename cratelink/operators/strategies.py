@@ -19,16 +19,20 @@ from cratelink.functions import text
 SEP = "\x1f"
 
 
+#: Longer key texts travel as their digest.
+KEY_WIDTH = 32
+
+
+def compact(k: Column) -> Column:
+    return F.when(F.length(k) > KEY_WIDTH, F.md5(k)).otherwise(k)
+
+
 def _key(*parts: Column) -> Column:
     return F.concat_ws(SEP, *parts)
 
 
 def _one(key: Column, when: Column) -> Column:
-    return F.when(when, F.array(key))
-
-
-def _blank(name: str) -> Column:
-    return F.col(name) == ""
+    return F.when(when, F.array(compact(key)))
 
 
 def _present(*names: str) -> Column:
@@ -38,18 +42,27 @@ def _present(*names: str) -> Column:
     return cond
 
 
-def _title_openings() -> Column:
-    """Every opening of the title key that ends before a blank."""
+def _openings(owner: str) -> Column:
+    """Keys of *owner* with every opening of the title that ends before a blank."""
     words = F.split(F.col("clean"), " ")
     return F.when(
-        F.size(words) > 1,
+        (F.col(owner) != "") & (F.size(words) > 1),
         F.transform(
             F.sequence(F.lit(1), F.size(words) - 1),
-            lambda n: F.array_join(F.slice(words, F.lit(1), n), " "),
+            # Digested one by one, so a long title never holds all its openings as text.
+            lambda n: compact(_key(F.col(owner), F.array_join(F.slice(words, F.lit(1), n), " "))),
         ),
     )
 
 
+def _artist_keys() -> Column:
+    """Title under the whole artist text, then under the first name."""
+    return F.when(
+        _present("artist", "clean"),
+        F.transform(_first_names(), lambda a: compact(_key(a, F.col("clean")))),
+    )
+
+
 @dataclass(frozen=True)
 class Strategy:
     """One rung. ``catalog`` and ``query`` give arrays of key texts (null = none).
@@ -93,10 +106,7 @@ STRATEGIES: tuple[Strategy, ...] = (
     Strategy(
         "s04", 40, "lookup",
         lambda: _one(_key(F.col("artist"), F.col("clean")), _present("artist", "clean")),
-        lambda: F.when(
-            _present("artist", "clean"),
-            F.transform(_first_names(), lambda a: _key(a, F.col("clean"))),
-        ),
+        _artist_keys,
         ranked=True,
     ),
     Strategy(
@@ -106,20 +116,13 @@ STRATEGIES: tuple[Strategy, ...] = (
     ),
     Strategy(
         "s06", 60, "lookup",
-        lambda: F.when(
-            _present("album"), F.transform(_title_openings(), lambda t: _key(F.col("album"), t))
-        ),
+        lambda: _openings("album"),
         lambda: _one(_key(F.col("album"), F.col("clean")), _present("album", "clean")),
     ),
     Strategy(
         "s07", 70, "lookup",
-        lambda: F.when(
-            _present("artist"), F.transform(_title_openings(), lambda t: _key(F.col("artist"), t))
-        ),
-        lambda: F.when(
-            _present("artist", "clean"),
-            F.transform(_first_names(), lambda a: _key(a, F.col("clean"))),
-        ),
+        lambda: _openings("artist"),
+        _artist_keys,
     ),
     Strategy(
         "s08", 80, "grouped",
