@@ -148,7 +148,9 @@ def normalize(c: Column) -> Column:
 def drop_suffixes(c: Column) -> Column:
     """Remove mix names, trailing bracket groups and featuring clauses, in that order."""
     t = strip(c)
-    for pattern in (MIX_GROUP, BARE_MIX, DASH_MIX, ANY_GROUP, FEATURING):
+    # Only closed text can end in a group; open brackets would be tried one by one.
+    t = F.when(_closed(t), F.regexp_replace(t, MIX_GROUP, "")).otherwise(t)
+    for pattern in (BARE_MIX, DASH_MIX, ANY_GROUP, FEATURING):
         t = F.regexp_replace(t, pattern, "")
     return t
 
