@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 #: Text bytes handled at once by vectorised code; a longer text is one batch of its own.
 SLICE_BYTES = 1 << 20
@@ -33,7 +34,7 @@ def prepare(spark: SparkSession) -> None:
 
 
 def map_text(
-    df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
+    df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType
 ) -> DataFrame:
     """``mapInArrow`` whose input batches are cut to about SLICE_BYTES of text."""
     prepare(df.sparkSession)
@@ -151,3 +152,17 @@ def bucket_of(doc_id: Column | str, parts: int) -> Column:
     """crc32 of the id as text, modulo *parts*; a null id counts as an empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % parts
+
+
+def row_of(keep: Sequence[str]) -> Column:
+    """The named columns as one struct ``row``, so that they cannot clash with results."""
+    quoted = ((c, "`" + c.replace("`", "``") + "`") for c in keep)
+    return F.struct(*[F.col(q).alias(c) for c, q in quoted]).alias("row")
+
+
+def schema_of(**fields: DataType | str) -> StructType:
+    """A schema of named types; a text is a type as SQL writes it."""
+    out = StructType()
+    for name, kind in fields.items():
+        out.add(name, StructType.fromDDL(f"x {kind}").fields[0].dataType if isinstance(kind, str) else kind)
+    return out

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cratelink.llm import bpe
+from cratelink.llm import bpe, decontam, langid, licenses, pii, toxic
+from cratelink.llm.common import bucket_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,6 +24,79 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op1_decontamination(spark, sf):
+    """Words of every document that benchmark windows hit, and the items they come from."""
+    out = decontam.scan(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select(
+        "row.doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+@query
+def op2_personal_data(spark, sf):
+    """Base spans of every document, and those that learned contexts add."""
+    out = pii.find(table(spark, sf, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return out.select(
+        "row.doc_id",
+        *[count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)],
+        F.sha2(pii.span_texts("base"), 256).alias("base_sha256"),
+        pii.span_texts("spans").alias("spans"),
+    )
+
+
+@query
+def op3_licenses(spark, sf):
+    """Places of the fixed phrases, and all license labels of every document."""
+    out = licenses.scan(table(spark, sf, "documents"))
+    starts = F.flatten(F.map_values("starts"))
+    base = F.map_keys(F.map_filter("starts", lambda _, p: F.size(p) > 0))
+    both = F.array_union(base, F.transform("blocks", lambda b: b["label"]))
+    return out.select(
+        "row.doc_id",
+        "n_words",
+        F.size(starts).cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"),
+        F.array_join(F.array_sort(base), ",").alias("base_labels"),
+        F.array_join(F.array_sort(both), ",").alias("labels"),
+        "score",
+    )
+
+
+@query
+def op4_toxicity(spark, sf):
+    """Toxicity of every document; a fifth of the labels is held out."""
+    docs = table(spark, sf, "documents")
+    lexicon = toxic.learn(docs, table(spark, sf, "labels").where(bucket_of("doc_id", 5) != 0))
+    return toxic.score(docs, lexicon).select(
+        "row.doc_id",
+        (bucket_of("row.doc_id", 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op5_language(spark, sf):
+    """Language of every document; a third of the documents is held out of learning."""
+    docs = table(spark, sf, "documents")
+    model = langid.learn(docs.where(bucket_of("doc_id", 3) != 1))
+    return langid.identify(docs, model).select(
+        "row.doc_id",
+        (bucket_of("row.doc_id", 3) == 1).alias("held_out"),
+        F.col("lang").alias("lang_pred"),
+        "score",
+    )
+
+
 @query
 def op9_bpe(spark, sf):
     """Ids of every document and the digests of ids and decoded bytes."""
