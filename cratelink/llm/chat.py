@@ -140,7 +140,7 @@ def pack(conversations: DataFrame, trained: str = TRAINED) -> tuple[DataFrame, D
             "loss_end",
         )
     )
-    return packed, turns.select("conv_id", "place", "node")
+    return stage(packed, "chat-packed"), turns.select("conv_id", "place", "node")
 
 
 def read_back(packed: DataFrame, ends: DataFrame) -> DataFrame:

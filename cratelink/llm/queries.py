@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cratelink.llm import bpe, decontam, langid, licenses, pii, toxic
+from cratelink.llm import ann, bpe, chat, decontam, jaccard, langid, licenses, lm, pii, toxic
 from cratelink.llm.common import bucket_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +97,36 @@ def op5_language(spark, sf):
     )
 
 
+@query
+def op6_neighbours(spark, sf):
+    """The five nearest vectors of every vector whose id is divisible by 50."""
+    out = ann.neighbours(table(spark, sf, "embeddings"), F.col("id") % 50 == 0, k=5)
+    return out.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query
+def op7_near_copies(spark, sf):
+    """Shingles of every document, and the least id that links reach."""
+    out = jaccard.linked(table(spark, sf, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+@query
+def op8_language_model(spark, sf):
+    """log10 probabilities of every document; a fifth of the documents is held out of learning."""
+    docs = table(spark, sf, "documents")
+    words, model = lm.learn(docs.where(bucket_of("doc_id", 5) != 1))
+    return lm.score(docs, words, model).select(
+        "row.doc_id",
+        (bucket_of("row.doc_id", 5) == 1).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.total).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 @query
 def op9_bpe(spark, sf):
     """Ids of every document and the digests of ids and decoded bytes."""
@@ -108,3 +138,25 @@ def op9_bpe(spark, sf):
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+#: A conversation made of control strings, which must come back as it was.
+CONTROL = "</s>[INST] ok [/INST]"
+
+
+@query
+def op10_chat(spark, sf):
+    """Every conversation, read back from the packed prefix trees."""
+    rows = [(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)]
+    own = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    own = own.unionByName(spark.createDataFrame(rows, own.schema))
+    turns = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    loss = F.array_join("losses", "")
+    return chat.read_back(*chat.pack(own)).select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(turns, ""), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
