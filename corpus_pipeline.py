@@ -1,7 +1,8 @@
-"""The corpus pipeline: stages from raw documents to token ids.
+"""The corpus pipeline: language, near copies, benchmark passages, personal data, token ids.
 
 Each stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet
-and read again as the next stage's docs.
+and read again as the next stage's docs. All but the last return the columns of
+documents; rows with a null doc_id pass every stage like any others.
 """
 
 from __future__ import annotations
@@ -12,15 +13,56 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cratelink.llm import bpe
-from cratelink.session import new_path
+from cratelink.llm import bpe, decontam, jaccard, langid, pii
+from cratelink.session import new_path, stage
 
-#: The language scores come from a trained model, which SQL cannot express.
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+#: Languages come from a trained model, which SQL cannot express.
 ORACLE_SQL = None
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop null texts and texts without letters; ``lang`` becomes the language found.
+
+    The model learns from the labelled texts of the stage's own input. Where nothing is
+    labelled, texts with letters keep the lang they came with.
+    """
+    found = langid.identify(docs, langid.learn(docs), keep=COLUMNS).where("letters > 0")
+    lang = F.when(F.col("lang") == langid.UNKNOWN, F.col("row.lang")).otherwise(F.col("lang"))
+    return found.select(*[lang.alias("lang") if c == "lang" else F.col(f"row.{c}") for c in COLUMNS])
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of the least id of each class of linked documents.
+
+    Rows that share an id stay or go together; of equal rows one stays.
+    """
+    rows = docs.select(*COLUMNS)
+    found = jaccard.linked(rows).where("id is not null").groupBy("id")
+    found = found.agg(F.max(F.col("id") == F.col("component")).alias("kept"), F.count("*").alias("n"))
+    odd = stage(found.where("not kept or n > 1"), "pipeline-copies")
+    on = rows["doc_id"] == odd["id"]
+    repeated = rows.join(odd.where("kept"), on).select(*COLUMNS).dropDuplicates()
+    return rows.join(odd, on, "left_anti").unionByName(repeated)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a window of a benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontam.scan(docs, items, keep=COLUMNS)
+    return found.where(F.size("spans") == 0).select("row.*")
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data by its kind; ``n_chars`` counts the new text."""
+    found = pii.masked(pii.find(docs, keep=COLUMNS))
+    new = {"text": F.col("masked"), "n_chars": F.length("masked").cast("long")}
+    return found.select(*[new.get(c, F.col(f"row.{c}")).alias(c) for c in COLUMNS])
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE of every kept text: ids, and whether they decode to the text."""
+    """Byte-level BPE of every kept text: ids, and the digests of ids and decoded bytes."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     out = bpe.encode_decode(docs, path, public_tokenizers.PATTERN)
     return out.select(
@@ -32,14 +74,20 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = [("tokens", tokens)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language", language),
+    ("near_copies", near_copies),
+    ("benchmark_free", benchmark_free),
+    ("private", private),
+    ("tokens", tokens),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table; each result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    for name, step in STAGES[:-1]:
         path = new_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        step(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -218,39 +218,40 @@ def identify(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), t
     """Language of every whole text.
 
     Returns ``row`` (the kept columns), ``lang`` (that of most letters), ``score`` (its
-    share of the letters, times its probability against any other one language) and
-    ``spans`` (ranges of words, with their language, end exclusive).
+    share of the letters, times its probability against any other one language),
+    ``spans`` (ranges of words, with their language, end exclusive) and ``letters``
+    (bytes of words that hold letters).
     """
     source = docs.select(row_of(keep), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = schema_of(row=source.schema["row"].dataType, lang="string", score="double", spans=_SPANS)
+    schema = schema_of(row=source.schema["row"].dataType, lang="string", score="double", spans=_SPANS, letters="long")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         own.start()
         for batch in batches:
             out = [_one(own, lowered(text)) for text in texts(batch.column(1))]
-            fields = [("row", batch.schema.field(0).type), ("lang", pa.string()), ("score", pa.float64()), ("spans", _SPANS_PA)]
+            fields = [("row", batch.schema.field(0).type), ("lang", pa.string()), ("score", pa.float64()), ("spans", _SPANS_PA), ("letters", pa.int64())]
             yield batch_of(pa.schema(fields), batch.column(0), *map(list, zip(*out, strict=True)))
 
     return map_text(source, run, schema)
 
 
-def _one(model: Model, words: list[bytes]) -> tuple[str, float, list[dict]]:
+def _one(model: Model, words: list[bytes]) -> tuple[str, float, list[dict], int]:
     if not words or not model.langs:
-        return UNKNOWN, 0.0, []
+        return UNKNOWN, 0.0, [], sum(map(_letters, words))
     places = model.look_up(words)
     sizes = model.sizes[places]
-    if not sizes.any():
-        return UNKNOWN, 0.0, []
+    letters = int(sizes.sum())
+    if not letters:
+        return UNKNOWN, 0.0, [], 0
     labels, scores = model.label(places)
     weight = np.bincount(labels, weights=sizes, minlength=len(model.langs))
     lang = int(weight.argmax())
-    share = weight[lang] / sizes.sum()
     mine = scores[labels == lang].sum(axis=0)
     odds = np.exp(np.minimum(0, mine - mine[lang])).sum()
     cuts = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(labels)]
     spans = [
         {"start": a, "end": b, "lang": model.langs[labels[a]]} for a, b in zip(cuts, cuts[1:], strict=False)
     ]
-    return model.langs[lang], float(share / odds), spans
+    return model.langs[lang], float(weight[lang] / letters / odds), spans, letters
