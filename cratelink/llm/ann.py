@@ -323,7 +323,7 @@ def _answered(index: DataFrame, asked: DataFrame, matrix: np.ndarray, k: int, fa
 
     def answer(rows: pd.DataFrame, wants: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or wants.empty:
-            return pd.DataFrame({"query": [], "score": [], "ids": []})
+            return pd.DataFrame([], columns=["query", "score", "ids"], dtype=object)
         vectors = np.frombuffer(b"".join(rows["vector"]), dtype=np.float64).reshape(len(rows), -1)
         asking = np.frombuffer(b"".join(wants["vector"]), dtype=np.float64).reshape(len(wants), -1)
         ids = rows["ids"].to_list()

@@ -2,9 +2,10 @@
 
 Folding lower-cases, turns look-alike letters of other scripts into Latin ones and undoes
 digit substitutions inside words, then parts words by single blanks. The lexicon is
-learned: the weight of a word is the lower bound of its log odds between toxic and other
-labelled documents. Exception phrases take back the hits they cover. Weight per document
-and per hundred words go through a logistic function fitted on the labelled documents.
+learned, words and beginnings of words: a weight is the log odds of a term between toxic
+and other labelled documents, less one standard error. Exception phrases take back the
+hits they cover. Weight per document and per hundred words go through a logistic function
+fitted on the labelled documents.
 
 Null and empty texts have no hits and score as such. Documents without a label, or with
 a null one, teach nothing; of repeated labels each counts. Without any labels all scores
@@ -32,7 +33,7 @@ TERMS = 4096
 #: Labelled documents that are learned from; of more, a sample of this expected size.
 SAMPLE = 200_000
 #: Least toxic documents of a word of the lexicon, and its least weight.
-LEAST_DOCS = 5
+LEAST_DOCS = 3
 LEAST_WEIGHT = 1.5
 #: Harmless phrases around words that are often meant badly.
 EXCEPTIONS = (
@@ -45,6 +46,8 @@ EXCEPTIONS = (
     "not stupid",
     "not worthless",
 )
+#: Letters of the beginnings that can be terms.
+STEMS = (4, 5, 6)
 #: Longest word that can be a term.
 _LONGEST = 40
 
@@ -98,8 +101,19 @@ def _letters_back(text: str) -> str:
     return "".join(out) + text[done:]
 
 
+def terms_of(words: list[bytes]) -> set[str]:
+    """The words, and their beginnings with a star: inflected and compound words share them."""
+    out: set[str] = set()
+    for word in set(words):
+        if len(word) <= _LONGEST:
+            text = word.decode("utf-8", "replace")
+            out.add(text)
+            out.update([text[:n] + "*" for n in STEMS if n < len(text)])
+    return out
+
+
 class Lexicon:
-    """Terms with weights, exception phrases, and the fitted logistic function."""
+    """Terms with weights (a star ends a beginning), exception phrases, and the fitted logistic function."""
 
     def __init__(self, weights: dict[str, float], exceptions: Sequence[str]):
         self.weights = weights
@@ -113,7 +127,8 @@ class Lexicon:
         for phrase in self.exceptions:
             self.automaton.add_word(f" {phrase} ", (len(phrase) + 2, None))
         for term, weight in self.weights.items():
-            self.automaton.add_word(f" {term} ", (len(term) + 2, weight))
+            pattern = f" {term[:-1]}" if term.endswith("*") else f" {term} "
+            self.automaton.add_word(pattern, (len(pattern), weight))
         if len(self.automaton):
             self.automaton.make_automaton()
 
@@ -134,7 +149,7 @@ class Lexicon:
             starts = [a for a, _ in excepted]
             reach = list(accumulate((b for _, b in excepted), max))
             hits = [h for h in hits if (i := bisect_right(starts, h[0])) == 0 or reach[i - 1] < h[1]]
-        return len(words), sum(h[2] for h in hits), [(a + 1, b - 1) for a, b, _ in hits]
+        return len(words), sum(h[2] for h in hits), [(a + 1, b - (line[b - 1] == " ")) for a, b, _ in hits]
 
     def score(self, n_words: int, weight: float) -> float:
         x = shaped(np.array([n_words]), np.array([weight]))
@@ -181,8 +196,8 @@ def learn(
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for text, toxic in zip(strings(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                seen[toxic].update({w for w in folded(text) if len(w) <= _LONGEST})
-                seen[toxic][b""] += 1  # the number of documents
+                seen[toxic].update(terms_of(folded(text)))
+                seen[toxic][""] += 1  # the number of documents
             if len(seen[0]) + len(seen[1]) > COUNTER_KEYS:
                 yield _counts(schema, seen)
         yield _counts(schema, seen)
@@ -196,9 +211,9 @@ def learn(
         return Lexicon({}, exceptions)
     a, b = F.col("bad") + 0.5, F.col("good") + 0.5
     odds = F.log(a / (bad + 1 - a)) - F.log(b / (good + 1 - b))
-    lower = odds - 2 * F.sqrt(1 / a + 1 / b)
+    lower = odds - F.sqrt(1 / a + 1 / b)
     top = (
-        words.where("word <> '' and bad < %d" % bad)
+        words.where("word <> ''")
         .select("word", lower.alias("weight"))
         .where(F.col("weight") >= LEAST_WEIGHT)
         .orderBy(F.col("weight").desc(), "word")
@@ -212,9 +227,7 @@ def learn(
 def _counts(schema: pa.Schema, seen: tuple[Counter, Counter]) -> pa.RecordBatch:
     good, bad = seen
     words = list(good.keys() | bad.keys())
-    out = batch_of(
-        schema, [w.decode("utf-8", "replace") for w in words], [bad[w] for w in words], [good[w] for w in words]
-    )
+    out = batch_of(schema, words, [bad[w] for w in words], [good[w] for w in words])
     good.clear()
     bad.clear()
     return out
