@@ -68,8 +68,9 @@ def edited(rng, words, rate):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_planted_groups(spark, seed):
+@pytest.mark.parametrize(("seed", "crowd"), [(1, 16), (2, 1)])
+def test_planted_groups(spark, monkeypatch, seed, crowd):
+    monkeypatch.setattr(jaccard, "CROWD", crowd)
     rng = random.Random(seed)
     word = lambda: f"w{rng.randrange(3000)}"
     passage = [word() for _ in range(60)]
