@@ -9,8 +9,8 @@ prefix, decides. A pair is a candidate if it shares as many prefix shingles as t
 m of both, and if lengths and places of a common shingle leave room for the overlap needed.
 
 Groups of thousands of near copies are not expanded into pairs. Before the join, nodes
-that agree in min-hashes are compared with one changing member of each such group; the
-links found make classes, and the join then only looks at pairs across classes. This
+that share a min-hash with many others are compared with one changing member of each such
+group; the links found make classes, and the join then only looks at pairs across classes. This
 loses no link between classes, so the classes are exact: prefixes only skip pairs that
 cannot reach the threshold or are in one class already.
 
@@ -44,6 +44,8 @@ MATCHES = 4
 VERIFY = 20
 #: Min-hashes of a set, and how many two sets must agree in to be compared early.
 KEYS, AGREE = 6, 3
+#: Nodes of one min-hash above which they are compared early; fewer are left to the join.
+CROWD = 16
 #: Frequent shingles that the order knows; shingles counted together before counts of one are dropped.
 FREQUENT = 1 << 18
 COUNTED = 1 << 22
@@ -251,11 +253,12 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _early_links(nodes: DataFrame, docs: DataFrame, percent: int) -> tuple[DataFrame | None, DataFrame]:
+def _early_links(nodes: DataFrame, docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links between nodes that agree in min-hashes, enough to hold large groups together."""
     own = nodes.select("node", F.posexplode("keys").alias("j", "key"))
     seat = F.struct(F.xxhash64("node", "j").alias("h"), F.col("node").alias("rep"))
-    groups = own.groupBy("j", "key").agg(F.count("*").alias("n"), F.min(seat).alias("seat")).where("n > 1")
+    groups = own.groupBy("j", "key").agg(F.count("*").alias("n"), F.min(seat).alias("seat"))
+    groups = groups.where(F.col("n") > CROWD)
     groups = stage(groups.select("j", "key", F.col("seat.rep").alias("rep")), "join-groups")
     met = own.join(groups, ["j", "key"]).where("node <> rep").groupBy("node", "rep")
     met = met.agg(F.count("*").alias("agree"), F.min("j").alias("j")).where(F.col("agree") >= AGREE)
@@ -265,14 +268,13 @@ def _early_links(nodes: DataFrame, docs: DataFrame, percent: int) -> tuple[DataF
     wanted = met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct()
     sets = stage(gathered(docs, wanted.join(nodes.select("node", "rep"), "node")), "join-sets")
     edges = labels = None
-    for j in range(KEYS):
-        pairs = met.where(F.col("j") == j).select("a", "b")
+    for j in range(0, KEYS, 2):
+        pairs = met.where(F.col("j").isin(j, j + 1)).select("a", "b")
         if labels is not None:
             pairs = _across(pairs, labels)
         found = stage(verified(pairs, sets, percent), "join-links")
         edges = found if edges is None else edges.unionByName(found)
-        if j in (0, 2, KEYS - 1):
-            labels = components(edges)
+        labels = components(edges)
     return edges, labels
 
 
