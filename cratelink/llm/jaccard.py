@@ -6,7 +6,8 @@ Jaccard similarity t share at least m shingles among the first n - ceil(t n) + m
 either. Each set picks its own m: a longer prefix meets more, but asks for more common
 shingles before anything is verified; the estimated cost, from the frequencies of the
 prefix, decides. A pair is a candidate if it shares as many prefix shingles as the smaller
-m of both, and if lengths and places of a common shingle leave room for the overlap needed.
+m of both, and if lengths, places, and what comes after the prefix that ends first leave
+room for the overlap needed.
 
 Groups of thousands of near copies are not expanded into pairs. Before the join, nodes
 that share a min-hash with many others are compared with one changing member of each such
@@ -223,8 +224,9 @@ def gathered(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield batch_of(schema, part.column(0), [node_of(own) for own in sets], items)
 
     found = map_text(docs.where("id is not null"), run, "rep long, found long, items array<long>")
+    once = found.dropDuplicates(["rep", "found"])  # repeated rows; the join needs no other exchange of the sets
     same = (F.col("rep") == F.col("w_rep")) & (F.col("found") == F.col("node"))
-    return found.join(wanted.select("node", F.col("rep").alias("w_rep")), same).select("node", "items").dropDuplicates(["node"])
+    return once.join(wanted.select("node", F.col("rep").alias("w_rep")), same).select("node", "items")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -308,8 +310,9 @@ def _candidates(docs: DataFrame, nodes: DataFrame, order: Order, labels: DataFra
     met = map_text(docs.where("id is not null"), prefixes, "shingle long, node long").groupBy("shingle")
     met = met.agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     bits = spark.sparkContext.broadcast(_bits(met, "shingle", SHINGLE_BITS))
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-    names = ("rep", "node", "n", "matches", "shingles", "places")
+    long = pa.int64()
+    kinds = [long, long, long, pa.int32(), long, long, long, pa.list_(long), pa.list_(pa.int32())]
+    names = ("rep", "node", "n", "matches", "size", "end_count", "end_shingle", "shingles", "places")
     schema = pa.schema(list(zip(names, kinds, strict=True)))
 
     def shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,20 +322,21 @@ def _candidates(docs: DataFrame, nodes: DataFrame, order: Order, labels: DataFra
                 if len(own):
                     prefix, matches = known.value.prefix(own, percent)
                     at = np.flatnonzero(_held(bits.value, prefix, SHINGLE_BITS))
-                    if len(at) >= 1:
-                        rows.append((rep, node_of(own), len(own), matches, prefix[at], at.astype(np.int32)))
+                    if len(at):
+                        end = (int(known.value.frequency(prefix[-1:])[0]), int(prefix[-1]))
+                        rows.append((rep, node_of(own), len(own), matches, len(prefix), *end, prefix[at], at.astype(np.int32)))
             if rows:
                 yield batch_of(schema, *map(list, zip(*rows, strict=True)))
 
-    sql = "rep long, node long, n long, matches int, shingles array<long>, places array<int>"
+    sql = "rep long, node long, n long, matches int, size long, end_count long, end_shingle long, shingles array<long>, places array<int>"
     rows = map_text(docs.where("id is not null"), shared, sql)
     comp = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     rows = rows.join(stage(comp, "join-comps"), ["node", "rep"])
-    entries = rows.select("node", "n", "matches", "comp", F.explode(F.arrays_zip("shingles", "places")).alias("z"))
-    entries = stage(
-        entries.select("node", "n", "matches", "comp", F.col("z.shingles").alias("shingle"), F.col("z.places").alias("place")),
-        "join-entries",
-    )
+    # Where a prefix ends in the order, and how much of the set comes after it.
+    end = F.struct("end_count", "end_shingle", (F.col("n") - F.col("size")).alias("rest")).alias("end")
+    rows = rows.select("node", "n", "matches", end, "comp", F.explode(F.arrays_zip("shingles", "places")).alias("z"))
+    entries = rows.select("node", "n", "matches", "end", "comp", F.col("z.shingles").alias("shingle"), F.col("z.places").alias("place"))
+    entries = stage(entries, "join-entries")
     sizes = entries.groupBy("shingle", "comp").agg(F.count("*").alias("c"))
     tops = sizes.groupBy("shingle").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("classes"))
     tops = stage(tops.where("classes > 1").select("shingle", F.col("top.comp").alias("top")), "join-shared")
@@ -350,9 +354,15 @@ def _candidates(docs: DataFrame, nodes: DataFrame, order: Order, labels: DataFra
         F.least(x("node"), y("node")).alias("a"),
         F.greatest(x("node"), y("node")).alias("b"),
         F.least(x("matches"), y("matches")).alias("matches"),
+        need.alias("need"),
+        F.least(x("end"), y("end")).alias("end"),
+    )
+    sums = pairs.groupBy("a", "b").agg(
+        F.count("*").alias("shared"), F.max("matches").alias("matches"), F.max("need").alias("need"), F.max("end").alias("end")
     )
-    shared_n = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("matches").alias("matches"))
-    return stage(shared_n.where("shared >= matches").select("a", "b"), "join-candidates")
+    # Up to where the first of the two prefixes ends, both sets were looked at whole.
+    enough = (F.col("shared") >= F.col("matches")) & (F.col("shared") + F.col("end.rest") >= F.col("need"))
+    return stage(sums.where(enough).select("a", "b"), "join-candidates")
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
