@@ -60,8 +60,3 @@ def findings(row: dict[str, Column], readable: Column | None = None) -> Column:
     if readable is None:
         return found
     return F.when(readable, found).otherwise(F.array(F.lit("unreadable")))
-
-
-def keep_existing(existing: Column, overwrite: bool) -> Column:
-    """True when a present, sound value must survive a merge."""
-    return F.lit(not overwrite) & (existing != "") & ~is_junk(existing)

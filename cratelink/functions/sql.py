@@ -29,11 +29,28 @@ def _squeezed(body: str) -> str:
     return f"trim(regexp_replace({body}, '  +', ' '))"
 
 
+#: The steps of the title rule, each behind a test that is true whenever its pattern can match.
+_STEP_TESTS = (
+    (text.MIX_GROUP, "right(v, 1) in (')', ']')"),
+    (text.BARE_MIX, "lower(right(v, 1)) in ('x', 'l', 't', 'k')"),
+    (text.DASH_MIX, "lower(right(v, 1)) in ('x', 'l', 't', 'k')"),
+    (text.ANY_GROUP, "right(v, 1) in (')', ']')"),
+    (text.FEATURING, "contains(lower(v), 'feat') or contains(lower(v), 'ft.')"),
+)
+
+
+def _step(pattern: str, test: str) -> str:
+    return f"if({test}, regexp_replace(v, {_quoted(pattern)}, ''), v)"
+
+
+def _nested(body: str) -> str:
+    for i in range(len(_STEP_TESTS)):
+        body = f"cl_drop_{i}({body})"
+    return body
+
+
 def _bodies() -> dict[str, str]:
     stripped = f"btrim(v, {_quoted(text.SPACE_CHARS)})"
-    suffixes = stripped
-    for pattern in (text.MIX_GROUP, text.BARE_MIX, text.DASH_MIX, text.ANY_GROUP, text.FEATURING):
-        suffixes = f"regexp_replace({suffixes}, {_quoted(pattern)}, '')"
     sites = " ".join(
         f"when contains(lower(v), {_quoted(s)}) then {_quoted('promo-domain:' + s)}" for s in quality.PROMO_SITES
     )
@@ -41,7 +58,8 @@ def _bodies() -> dict[str, str]:
         "cl_fold": _translated(*text._fold_tables()[:2]),
         "cl_normalize": _squeezed(f"replace({_translated(*text._key_tables('&', ' '))}, '&', ' and ')"),
         "cl_norm_artist": _squeezed(_translated(*text._key_tables("&,", ""))),
-        "cl_clean_title": f"cl_normalize({suffixes})",
+        **{f"cl_drop_{i}": _step(pattern, test) for i, (pattern, test) in enumerate(_STEP_TESTS)},
+        "cl_clean_title": f"cl_normalize({_nested(stripped)})",
         "cl_declared_mix": f"btrim(regexp_extract({stripped}, {_quoted(text.TITLE_AND_GROUP)}, 2), "
         f"{_quoted(text.SPACE_CHARS)})",
         "cl_junk_reason": f"case when v = '' then '' when {stripped} rlike {_quoted(search.WEB_ADDRESS)} then "

@@ -240,17 +240,21 @@ def link_keys(
     *strict* keeps untitled catalog rows out of the residual levels.
     """
     strategies = tuple(strategies)
-    levels = [s.level for s in strategies]
-    early = [n for n in levels if n <= 100]
+    equal = [s for s in strategies if s.kind in ("lookup", "grouped")]
+    rules = [(s.level, s.title) for s in _select("residual", strategies)]
+    if not rules:
+        return resolve(equality_hits(queries, catalog, equal, group_limit), [s.level for s in equal])
+    first = min(level for level, _ in rules)
+    early = [s for s in equal if s.level < first]
+    late = [s for s in equal if s.level > first]
     found = None
-    if any(s.kind in ("lookup", "grouped") for s in strategies):
-        found = stage(resolve(equality_hits(queries, catalog, strategies, group_limit), early), "found")
+    if early:
+        found = stage(resolve(equality_hits(queries, catalog, early, group_limit), [s.level for s in early]), "found")
         queries = queries.join(found.select("qid"), "qid", "left_anti")
-    late = [s.level for s in _select("residual", strategies)]
-    if not late:
-        return found
-    rest = residual.residual_hits(queries, catalog, late, fan_limit=fan_limit, strict=strict)
-    rest = resolve(rest, late)
+    rest = residual.residual_hits(queries, catalog, rules, fan_limit=fan_limit, strict=strict)
+    if late:
+        rest = rest.unionByName(equality_hits(queries, catalog, late, group_limit))
+    rest = resolve(rest, [level for level, _ in rules] + [s.level for s in late])
     return rest if found is None else found.unionByName(rest)
 
 
@@ -287,7 +291,7 @@ def strategy_hits(queries: DataFrame, catalog: DataFrame, name: str, **options)
     chosen = [s for s in STRATEGIES if s.name == name]
     levels = [s.level for s in chosen]
     if chosen[0].kind == "residual":
-        hits = residual.residual_hits(queries, catalog, levels, **options)
+        hits = residual.residual_hits(queries, catalog, [(s.level, s.title) for s in chosen], **options)
     elif chosen[0].kind == "never":
         hits = album_title_hits(queries, catalog, **options)
     else:

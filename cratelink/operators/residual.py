@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from cratelink.functions.text import artist_names
 from cratelink.operators.containment import contained_pairs, edit_pairs
-from cratelink.operators.strategies import ALBUM_FITS, OVERLAP, RESIDUAL_RULES
+from cratelink.operators.strategies import ALBUM_FITS, OVERLAP, TITLE_INSIDE, TITLE_NEAR, TITLE_PREFIX
 from cratelink.session import stage
 
 #: Catalog rows a query may meet through album or artist before its title is used.
@@ -70,12 +70,17 @@ def _pairs(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
 def residual_hits(
     queries: DataFrame,
     catalog: DataFrame,
-    levels: Iterable[int],
+    rules: Iterable[tuple[int, str]],
     fan_limit: int = FAN_LIMIT,
     strict: bool = False,
 ) -> DataFrame:
-    """Hits of the residual levels as (qid, level, hit)."""
-    levels = set(levels)
+    """Hits of the residual levels as (qid, level, hit); *rules*: level and title condition.
+
+    The title way meets prefixes, near and contained titles only, so it is closed to a
+    job that brings another condition.
+    """
+    rules = tuple(rules)
+    by_title_too = {rule for _, rule in rules} <= {TITLE_PREFIX, TITLE_NEAR, TITLE_INSIDE}
     open_q = queries.filter("album <> '' and clean <> ''").filter(F.size("names") > 0)
     visits = stage(_classed(open_q), "visits")
     q = visits.drop("qid").dropDuplicates(list(_KEY))
@@ -103,7 +108,7 @@ def residual_hits(
         .filter(~has_album | F.col("by_album").isNotNull())
         .withColumn(
             "way",
-            F.when(has_title & (least > fan_limit), "title")
+            F.when(has_title & (least > fan_limit) & F.lit(by_title_too), "title")
             .when(has_album & (F.col("by_album") <= F.col("by_name")), "album")
             .otherwise("name"),
         )
@@ -119,8 +124,7 @@ def residual_hits(
         )
         marks = ", ".join(
             f"if({rule}, struct({level} as level, r.best as best), null)"
-            for level, rule in RESIDUAL_RULES
-            if level in levels
+            for level, rule in rules
         )
         met = met.filter(f"(q.cls in ({NO_ALBUM}, {NEITHER}) or {ALBUM_FITS}) and {OVERLAP}").selectExpr(
             *[f"q.{k} as {k}" for k in _KEY],

@@ -19,12 +19,9 @@ from cratelink.functions import text
 SEP = "\x1f"
 
 
-#: Longer key texts travel as their digest.
-KEY_WIDTH = 32
-
-
 def compact(k: Column) -> Column:
-    return F.when(F.length(k) > KEY_WIDTH, F.md5(k)).otherwise(k)
+    """Key texts travel as their digest, whatever their length."""
+    return F.md5(k)
 
 
 def _key(*parts: Column) -> Column:
@@ -68,7 +65,8 @@ class Strategy:
     """One rung. ``catalog`` and ``query`` give arrays of key texts (null = none).
 
     ``query`` keys are listed in order of preference when ``ranked``; ``values`` name
-    the columns compared for containment by a grouped strategy.
+    the columns compared for containment by a grouped strategy. ``title`` is the SQL
+    condition on the titles of a pair aliased (q, r) of a residual strategy.
     """
 
     name: str
@@ -78,6 +76,23 @@ class Strategy:
     query: Callable[[], Column] | None = None
     ranked: bool = False
     values: Callable[[], Column] | None = None
+    title: str | None = None
+
+
+# --- predicates over a pair aliased (q, r) ----------------------------------
+
+OVERLAP = (
+    "(arrays_overlap(q.names, r.names) or exists(q.names, x -> "
+    "exists(r.names, y -> contains(x, y) or contains(y, x))))"
+)
+ALBUM_FITS = "(contains(q.album, r.album) or contains(r.album, q.album))"
+_LIMIT = "cast(greatest(2, floor(length(q.clean) / 5)) as int)"
+TITLE_PREFIX = "(startswith(q.clean, r.clean) or startswith(r.clean, q.clean))"
+TITLE_NEAR = (
+    f"(r.clean <> '' and abs(length(q.clean) - length(r.clean)) <= {_LIMIT} "
+    f"and levenshtein(q.clean, r.clean, {_LIMIT}) >= 0)"
+)
+TITLE_INSIDE = "(r.clean <> '' and (contains(q.clean, r.clean) or contains(r.clean, q.clean)))"
 
 
 def _first_names() -> Column:
@@ -147,34 +162,11 @@ STRATEGIES: tuple[Strategy, ...] = (
         lambda: _one(F.col("condensed"), _present("condensed", "album") & _SPACED()),
         values=lambda: F.array("album"),
     ),
-    Strategy("s11", 110, "residual"),
-    Strategy("s12", 120, "residual"),
-    Strategy("s13", 130, "residual"),
+    Strategy("s11", 110, "residual", title=TITLE_PREFIX),
+    Strategy("s12", 120, "residual", title=TITLE_NEAR),
+    Strategy("s13", 130, "residual", title=TITLE_INSIDE),
 )
 
 
 def names_by_level(strategies: tuple[Strategy, ...] = STRATEGIES) -> dict[int, str]:
     return {s.level: s.name for s in strategies}
-
-
-# --- predicates over a pair aliased (q, r) ----------------------------------
-
-
-OVERLAP = (
-    "(arrays_overlap(q.names, r.names) or exists(q.names, x -> "
-    "exists(r.names, y -> contains(x, y) or contains(y, x))))"
-)
-ALBUM_FITS = "(contains(q.album, r.album) or contains(r.album, q.album))"
-_LIMIT = "cast(greatest(2, floor(length(q.clean) / 5)) as int)"
-TITLE_PREFIX = "(startswith(q.clean, r.clean) or startswith(r.clean, q.clean))"
-TITLE_NEAR = (
-    f"(r.clean <> '' and abs(length(q.clean) - length(r.clean)) <= {_LIMIT} "
-    f"and levenshtein(q.clean, r.clean, {_LIMIT}) >= 0)"
-)
-TITLE_INSIDE = "(r.clean <> '' and (contains(q.clean, r.clean) or contains(r.clean, q.clean)))"
-
-RESIDUAL_RULES: tuple[tuple[int, str], ...] = (
-    (110, TITLE_PREFIX),
-    (120, TITLE_NEAR),
-    (130, TITLE_INSIDE),
-)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cratelink.functions.search import compare_key, split_artists
 from cratelink.functions.text import strip
 from cratelink.functions.times import parse_duration
+from cratelink.session import stage
 
 #: Fixed values.
 MIN_SCORE = 80
@@ -173,26 +174,26 @@ def status_or(reason: Column, default: str = "no-candidates") -> Column:
     return F.when(reason.isin(*STATUSES), reason).otherwise(F.lit(default))
 
 
-def waterfall(files: DataFrame, sources: Sequence[tuple[str, DataFrame | None]], key: str) -> DataFrame:
+#: Conformed candidates by key, or how to find them for the files that are still open.
+Source = DataFrame | Callable[[DataFrame], DataFrame] | None
+
+
+def waterfall(files: DataFrame, sources: Sequence[tuple[str, Source]], key: str) -> DataFrame:
     """First source that resolves each file: (key, source, pick).
 
-    *sources* is an ordered list of (name, conformed candidates by *key*); a disabled
-    source is ``None``. Sources hold one row per file, so one aggregation decides.
+    *sources* is an ordered list of (name, source), one row per file at most; a disabled
+    source is ``None``. A source is only asked for files that none before it resolved.
     """
-    stacked = None
-    for rank, (name, rows) in enumerate(sources):
-        if rows is None:
+    still_open = files
+    found = None
+    for name, source in sources:
+        if source is None:
             continue
-        part = rows.select(
-            key,
-            F.lit(rank).alias("_rank"),
-            F.lit(name).alias("source"),
-            F.struct(*CANDIDATE_FIELDS).alias("pick"),
-        )
-        stacked = part if stacked is None else stacked.unionByName(part)
-    if stacked is None:
+        rows = source(still_open) if callable(source) else source.join(still_open.select(key), key, "left_semi")
+        part = rows.select(key, F.lit(name).alias("source"), F.struct(*CANDIDATE_FIELDS).alias("pick"))
+        part = stage(part, f"source-{name}")
+        still_open = stage(still_open.join(part, key, "left_anti"), "still-open")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
         return files.select(key, F.lit("").alias("source")).withColumn("pick", F.lit(None))
-    first = stacked.groupBy(key).agg(F.min_by(F.struct("source", "pick"), "_rank").alias("_w"))
-    return files.select(key).join(first, key, "left").select(
-        key, F.coalesce("_w.source", F.lit("")).alias("source"), F.col("_w.pick").alias("pick")
-    )
+    return files.select(key).join(found, key, "left").select(key, F.coalesce("source", F.lit("")).alias("source"), "pick")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cratelink.functions.paths import TAGGED_EXTENSIONS, guard_drives, has_extension
+from cratelink.functions.paths import drive_to_mount, guard_drives, has_extension, TAGGED_EXTENSIONS
 from cratelink.functions.quality import findings
 from cratelink.functions.search import id_from_name, resolve_identity
 from cratelink.operators.gates import by_id, pick_best
@@ -41,12 +41,15 @@ def sparse_counts(tags: DataFrame, extensions: str | None = None) -> DataFrame:
 def needing_work(
     manifest: DataFrame, tags: DataFrame, allow_drives: str | None = None, force: bool = False
 ) -> DataFrame:
-    """Manifest paths that exist, may be written, are taggable and have a finding (or *force*)."""
+    """Manifest paths that exist, may be written, are taggable and have a finding (or *force*).
+
+    A manifest may name a file in drive, mount or ``file://`` form; either form meets the tags.
+    """
     rows = tags.filter(has_extension(F.col("path"), None, TAGGED_EXTENSIONS))
     if not force:
         rows = sparse(rows)
-    wanted = guard_drives(manifest, allow_drives).select("path").distinct()
-    return rows.join(wanted, "path", "left_semi")
+    wanted = guard_drives(manifest, allow_drives).select(drive_to_mount(F.col("path")).alias("_mount")).distinct()
+    return rows.withColumn("_mount", drive_to_mount(F.col("path"))).join(wanted, "_mount", "left_semi").drop("_mount")
 
 
 def identified(files: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,19 +12,27 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (a bare local session in a test) is a
-    private folder made and remembered as the checkpoint folder.
+    Where the setting is absent, a session whose master is local may use a private
+    folder, remembered as its checkpoint folder. On a cluster that is an error: executors
+    would write to disks of their own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        check_private(spark.sparkContext.master)
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
 
 
+def check_private(master: str) -> None:
+    """Fail unless driver and executors are one process."""
+    if not re.match(r"local($|\[)", master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder; nothing is created yet."""
     app = spark.sparkContext.applicationId
@@ -52,6 +61,7 @@ def local_session(cores: str = "8", app: str = "cratelink", **conf: str) -> Spar
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)

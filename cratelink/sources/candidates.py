@@ -60,27 +60,20 @@ def to_snapshot() -> Column:
     return F.to_json(F.struct(*CANDIDATE_FIELDS))
 
 
-def from_snapshot(snapshots: DataFrame, column: str = "snapshot", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Snapshots with loose types (a text map) to candidate rows; junk numbers become 0."""
+def parse_snapshots(texts: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Snapshot JSON text with loose types to candidate rows.
 
-    def get(name: str) -> Column:
-        return F.try_element_at(F.col(column), F.lit(name))
+    Numbers lose their fraction and flags count as 0 and 1; a text is a number only if it
+    is written as a whole one. Everything else is 0, or an empty text.
+    """
+    parsed = texts.withColumn("_s", F.try_parse_json(column))
 
     def field(name: str, kind: str) -> Column:
-        raw = get(name)
-        if kind == "string":
-            return F.coalesce(raw, F.lit(""))
-        flag = F.when(F.lower(raw) == "true", F.lit(1)).when(F.lower(raw) == "false", F.lit(0))
-        whole = raw.try_cast("bigint")
-        return F.coalesce(flag, whole, F.lit(0)).cast(kind)
-
-    return snapshots.select(*keep, *[field(n, k).alias(n) for n, k in CANDIDATE_FIELDS.items()])
+        wanted = "string" if kind == "string" else "bigint"
+        blank = F.lit("") if kind == "string" else F.lit(0)
+        return F.coalesce(F.try_variant_get("_s", f"$.{name}", wanted), blank).cast(kind)
 
-
-def parse_snapshots(texts: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Snapshot JSON text to candidate rows."""
-    as_map = texts.withColumn("_s", F.from_json(column, "map<string,string>"))
-    return from_snapshot(as_map, "_s", keep)
+    return parsed.select(*keep, *[field(n, k).alias(n) for n, k in CANDIDATE_FIELDS.items()])
 
 
 def wanted_ids(ids: DataFrame, cache: DataFrame, key: str = "id") -> DataFrame:

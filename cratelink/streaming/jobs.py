@@ -141,7 +141,3 @@ def stuck_stream(
 def counts_stream(results: DataFrame) -> DataFrame:
     """Running count per status (for complete or update mode)."""
     return results.groupBy("status").agg(F.count("*").alias("n"))
-
-
-def failures_only(results: DataFrame) -> DataFrame:
-    return results.filter(F.col("status").isin(*FAILURES))

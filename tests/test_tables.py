@@ -96,6 +96,9 @@ def test_snapshots_take_loose_types(spark):
     row = candidates.parse_snapshots(values(spark, json.dumps(loose), "{}")).collect()
     assert (row[0].id, row[0].name, row[0].bpm, row[0].release_id, row[0].length_ms) == (9, "7", 128, 1, 0)
     assert (row[0].publish_date, row[0].artwork_url, row[1].id) == ("", "5", 0)
+    odd = ['{"bpm": 7.9, "id": "7.9", "length_ms": "true"}', '{"bpm": -7.9, "id": " 5 ", "length_ms": 1e3}', "no json"]
+    rows = [(r.bpm, r.id, r.length_ms) for r in candidates.parse_snapshots(values(spark, *odd)).collect()]
+    assert rows == [(7, 0, 0), (-7, 5, 1000), (0, 0, 0)]
 
 
 def test_pick_reasons(spark):

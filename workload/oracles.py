@@ -126,10 +126,10 @@ _KEY_OUT = _KEY_OUT.replace("list_distinct(names)", "names")
 ORACLES["keys_purchase"] = f"with {_KEYS} select {_KEY_OUT} from q"
 ORACLES["keys_catalog"] = f"with {_KEYS} select seq, path, {_KEY_OUT} from r"
 ORACLES["keys_documents"] = f"""
-select doc_id, {clean_title("split_part(text, chr(10), 1)")} as title_key, {norm_artist('source')} as source_key,
+select doc_id, md5({clean_title("text")}) as title_key, {norm_artist('source')} as source_key,
   md5({normalize('text')}) as text_key from documents"""
 ORACLES["keys_sql_functions"] = f"""
-select conv_id, turn, {clean_title("split_part(text, '.', 1)")} as clean, md5({normalize('text')}) as text_key,
+select conv_id, turn, {clean_title("text")} as clean, md5({normalize('text')}) as text_key,
   md5({norm_artist('text')}) as artist_key from conversations"""
 
 # --- linkage: every pair, every rule -------------------------------------------
@@ -202,6 +202,15 @@ ORACLES["link_exact"] = (
     "select track_id, file_path, strategy from linked"
 )
 ORACLES["link_full"] = f"{_LINK} select track_id, file_path, strategy from linked"
+ORACLES["link_full_title_way"] = ORACLES["link_full_grouped_windows"] = ORACLES["link_full"]
+_OWN = [n for n in _RULES if n != "s05"] + ["s14", "s15"]
+_RULES |= {
+    "s14": _RULES["s05"],
+    "s15": [(0, f"{_FUZZY} and ov.ov and {_ALB} and length(q.clean) = length(r.clean)")],
+}
+ORACLES["link_custom"] = (
+    f"with {_KEYS}, {_OV}, {_hits(_OWN)}, {_LINKED} select track_id, file_path, strategy from linked"
+)
 ORACLES["link_strategy_counts"] = f"""
 {_LINK} select {_LABEL} as strategy, count(*) as n from q left join hits using (isrc, artist, album, clean) group by 1"""
 ORACLES["match_counts"] = f"""
@@ -247,6 +256,7 @@ ORACLES["sparse_counts"] = (
     f"with {_TAGS} select count(*) filter (where len(missing) > 0) as sparse, count(*) as total from profile"
 )
 ORACLES["needs_work"] = f"with {_TAGS} select path from profile where len(missing) > 0"
+ORACLES["needs_work_drives"] = ORACLES["needs_work"]
 
 # --- search texts and paths -------------------------------------------------------
 
@@ -404,7 +414,7 @@ ORACLES["snapshot_roundtrip"] = (
 )
 ORACLES["props_snapshot"] = """
 select cast(json_extract_string(props, '$.k') as bigint) as id, arg_max(event_type, event_id) as name,
-  cast(arg_max(case event_id % 3 when 0 then 1 when 1 then 0 else cast(json_extract_string(props, '$.k') as int) end, event_id) as integer) as bpm,
+  cast(arg_max(case event_id % 6 when 0 then 1 when 2 then 7 when 5 then cast(json_extract_string(props, '$.k') as int) else 0 end, event_id) as integer) as bpm,
   max(event_id) as length_ms, max(event_id) as version from events group by 1"""
 ORACLES["snapshot_lookup"] = """
 with c as (select o_orderkey as id from orders where o_orderkey % 5 <> 0)
@@ -490,7 +500,7 @@ from joint left join picks using (seq)"""
 
 _MERGE = f"""
 {_OFFERS}, {_best(_GATE)},
-new as (
+new as materialized (
   select b.seq, c.id, case when c.mix_name <> '' then c.name || ' (' || c.mix_name || ')' else c.name end as n_title,
     c.artists as n_artist, 'Rel' as n_album,
     case when c.id % 4 = 0 then 'Hard Techno' when c.id % 2 = 0 then 'Techno' else '' end as n_genre,
@@ -502,14 +512,14 @@ fields as (
     unnest([f.artist, f.title, f.album, f.genre, f.date, '']) as old,
     unnest([n_artist, n_title, n_album, n_genre, n_date, n_bpm]) as new
   from fx_files f join new using (seq)),
-plan as (
-  select seq, field, old, new, {junk('old')} as reason from fields
-  where new <> '' and (old = '' or {junk('old')} <> '') and old <> new)
+judged as materialized (select *, {junk('old')} as reason from fields),
+plan as materialized (
+  select seq, field, old, new, reason from judged where new <> '' and (old = '' or reason <> '') and old <> new)
 """
 ORACLES["merge_plan"] = f"with {_MERGE} select * from plan"
 ORACLES["merge_plan_maps"] = f"""
-with {_MERGE} select n.seq, cast(count(p.field) as integer) as n_updates,
-  cast(count(*) filter (where p.reason <> '') as integer) as n_reasons,
+with {_MERGE} select n.seq, coalesce(string_agg(p.field || '=' || p.new, '|' order by p.field), '') as updates,
+  coalesce(string_agg(p.field || '=' || p.reason, '|' order by p.field) filter (where p.reason <> ''), '') as reasons,
   n.art <> '' and n.seq % 2 <> 0 as embed_artwork
 from new n left join plan p on p.seq = n.seq and p.field in ('genre', 'date', 'bpm') group by n.seq, n.art"""
 ORACLES["merge_result"] = f"""
@@ -577,9 +587,9 @@ from (select seq, row_number() over (order by ts, seq) as position from fx_run_l
 ORACLES["first_results"] = f"with {_BASE} select seq, status from fx_run_log order by ts, seq limit 100"
 _DONE_AT = "ts + to_seconds(cast(floor(value * 10) as bigint))"
 ORACLES["stuck_batch"] = f"""
-select event_id as item from events where ts < timestamp '2024-01-11'
-  and (event_type = 'error' or {_DONE_AT} >= timestamp '2024-01-11')
-  and epoch(timestamp '2024-01-11') - floor(epoch(ts)) > 300"""
+with last as (select max(ts) as now from events)
+select event_id as item from events cross join last
+where (event_type = 'error' or {_DONE_AT} > now) and floor(epoch(now)) - floor(epoch(ts)) > 300"""
 ORACLES["result_records"] = f"""
 with {_BASE} select seq, '{{"path":"' || cast(seq as varchar) || '","status":"' || status || '","error":""}}' as record from fx_run_log"""
 
@@ -610,6 +620,17 @@ ORACLES["csv_roundtrip"] = f"""
 with {_BASE} select case when id = 0 then '' else cast(id as varchar) end as track_id,
   name || chr(13) || chr(10) || '"x", y' as title, case when id % 2 = 0 then 'House' else '' end as genre,
   case when id % 4 = 0 then '' else cast(id % 4 as varchar) end as bpm from fx_candidates"""
+ORACLES["matched_roundtrip"] = f"""
+with {_BASE} select t as track_id, '/m/' || t as path, 18 as n_columns
+from (select case when id = 0 then '' else cast(id as varchar) end as t from fx_candidates)"""
+ORACLES["catalog_build"] = f"""
+with {_BASE} select seq, '/m/' || cast(seq as varchar) || '.mp3' as file_path, case when seq % 3 <> 0 then artist else '' end as artist,
+  '' as album_artist, case when seq % 3 <> 0 then title else '' end as title, case when seq % 3 <> 0 then genre else '' end as genre,
+  case when seq % 3 <> 0 then cast(duration_ms // 60000 as varchar) || ':' || lpad(cast((duration_ms // 1000) % 60 as varchar), 2, '0')
+    else '0:00' end as duration, cast(seq * 10 as varchar) as file_size from fx_files"""
+ORACLES["done_paths"] = f"with {_BASE} select distinct cast(seq % 500 as varchar) as path from fx_run_log"
+ORACLES["plan_allowed_fields"] = f"""
+with {_MERGE} select seq, field, new from plan where field in ('genre', 'date', 'bpm')"""
 ORACLES["log_roundtrip"] = f"""
 with {_BASE} select cast(seq as varchar) as path, status, case when seq % 2 = 0 then seq else 0 end as candidate_id,
   case when seq % 4 = 1 then '9' else '' end as snapshot_id from fx_run_log

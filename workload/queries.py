@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from cratelink.operators.containment import contained_pairs
 from cratelink.operators.keys import catalog_keys, query_keys
 from cratelink.operators.search import first_usable, query_variants
 from cratelink.operators.search import search as search_candidates
-from cratelink.operators.strategies import STRATEGIES, names_by_level
+from cratelink.operators.strategies import STRATEGIES, Strategy, names_by_level
 from cratelink.plans import enrich
 from cratelink.session import new_path, stage
 from cratelink.sinks import playlists as playlist_sink
@@ -58,11 +59,11 @@ def keys_catalog(spark, sf):
 
 @query
 def keys_documents(spark, sf):
-    """Title key of the first line and a digest of the whole normalised text."""
-    docs = text.with_title_key(table(spark, sf, "documents"), F.substring_index("text", "\n", 1), "title_key")
+    """Digests of the title key and of the normalised form, both of the whole text."""
+    docs = text.with_title_key(table(spark, sf, "documents"), F.col("text"), "title_key")
     return docs.select(
         "doc_id",
-        "title_key",
+        F.md5("title_key").alias("title_key"),
         text.norm_artist(F.col("source")).alias("source_key"),
         F.md5(text.normalize(F.col("text"))).alias("text_key"),
     )
@@ -74,7 +75,7 @@ def keys_sql_functions(spark, sf):
     sql.register(spark)
     table(spark, sf, "conversations").createOrReplaceTempView("cl_turns")
     return spark.sql(
-        "select conv_id, turn, cl_clean_title(substring_index(text, '.', 1)) as clean, "
+        "select conv_id, turn, cl_clean_title(text) as clean, "
         "md5(cl_normalize(text)) as text_key, md5(cl_norm_artist(text)) as artist_key from cl_turns"
     )
 
@@ -103,9 +104,9 @@ for _n in range(1, 14):
 _NAMES = names_by_level()
 
 
-def _strategy_name(level: str = "level") -> Column:
+def _strategy_name(level: str = "level", names: dict[int, str] | None = None) -> Column:
     out = F.lit("")
-    for number, name in _NAMES.items():
+    for number, name in (names or _NAMES).items():
         out = F.when(F.col(level) == number, F.lit(name)).otherwise(out)
     return out
 
@@ -134,6 +135,30 @@ def link_full(spark, sf):
     return linked(spark, sf).select("track_id", "file_path", _strategy_name().alias("strategy"))
 
 
+@query
+def link_full_title_way(spark, sf):
+    """Full linkage with every residual query forced over title pairs."""
+    return linked(spark, sf, fan_limit=0).select("track_id", "file_path", _strategy_name().alias("strategy"))
+
+
+@query
+def link_full_grouped_windows(spark, sf):
+    """Full linkage with every containment group forced over windows."""
+    return linked(spark, sf, group_limit=0).select("track_id", "file_path", _strategy_name().alias("strategy"))
+
+
+@query
+def link_custom(spark, sf):
+    """A job's own ladder: the equal-title rule moved below the residual rules, and a rule of its own last."""
+    s05 = next(s for s in STRATEGIES if s.name == "s05")
+    own = tuple(s for s in STRATEGIES if s is not s05) + (
+        replace(s05, name="s14", level=140),
+        Strategy("s15", 150, "residual", title="length(q.clean) = length(r.clean)"),
+    )
+    name = _strategy_name(names=names_by_level(own))
+    return linked(spark, sf, strategies=own).select("track_id", "file_path", name.alias("strategy"))
+
+
 @query
 def link_strategy_counts(spark, sf):
     q, r = _key_tables(spark, sf)
@@ -231,6 +256,15 @@ def needs_work(spark, sf):
     return enrich.needing_work(tags.select("path"), tags, "c, g:").select("path")
 
 
+@query
+def needs_work_drives(spark, sf):
+    """The same by a manifest that names files in drive and address form."""
+    tags = _tag_table(spark, sf)
+    drive = paths.mount_to_drive(F.col("path"))
+    named = F.when(F.length("path") % 2 == 0, drive).otherwise(F.concat(F.lit("file://"), drive))
+    return enrich.needing_work(tags.select(named.alias("path")), tags, "c, g:").select("path")
+
+
 # --- search texts and paths -------------------------------------------------------
 
 
@@ -498,13 +532,15 @@ def props_snapshot(spark, sf):
     """Loose snapshots out of the event properties; the latest per id stays in the cache."""
     events = table(spark, sf, "events")
     k = F.get_json_object("props", "$.k")
-    loose = F.create_map(
-        F.lit("id"), k,
-        F.lit("name"), F.col("event_type"),
-        F.lit("bpm"), F.when(F.col("event_id") % 3 == 0, F.lit("true")).when(F.col("event_id") % 3 == 1, F.lit("bad")).otherwise(k),
-        F.lit("length_ms"), F.col("event_id").cast("string"),
-    )
-    rows = candidate_source.from_snapshot(events.select("event_id", loose.alias("snapshot")), keep=("event_id",))
+    forms = ["true", '"bad"', "7.9", '"7.9"', '"true"']
+    bpm = F.concat(F.lit('"'), k, F.lit('"'))
+    for i, form in enumerate(forms):
+        bpm = F.when(F.col("event_id") % 6 == i, F.lit(form)).otherwise(bpm)
+    name = F.concat(F.lit('"'), "event_type", F.lit('"'))
+    parts = [("id", k), ("name", name), ("bpm", bpm), ("length_ms", F.col("event_id").cast("string"))]
+    body = F.concat_ws(", ", *[F.concat(F.lit(f'"{n}": '), v) for n, v in parts])
+    loose = F.concat(F.lit("{"), body, F.lit("}"))
+    rows = candidate_source.parse_snapshots(events.select("event_id", loose.alias("value")), keep=("event_id",))
     cache = rows.filter("event_id % 2 = 0").select("id", "name", "bpm", "length_ms", F.col("event_id").alias("version"))
     landed = rows.filter("event_id % 2 = 1").select("id", "name", "bpm", "length_ms", F.col("event_id").alias("version"))
     return candidate_source.merge_cache(cache, landed)
@@ -529,9 +565,8 @@ def wanted_ids(spark, sf):
 # --- fallback sources ---------------------------------------------------------------
 
 
-def _recording_answers(spark, sf) -> DataFrame:
+def _recording_answers(met: DataFrame) -> DataFrame:
     """Per file an answer of ranked recordings, as JSON, drawn from its candidates."""
-    _, met = _offers(spark, sf)
     doc = F.to_json(
         F.struct(
             F.col("id").cast("string").alias("id"),
@@ -551,19 +586,19 @@ def _recording_answers(spark, sf) -> DataFrame:
     return met.select("seq", F.col("id").alias("rank"), doc.alias("value"))
 
 
-def _recording_match(spark, sf) -> DataFrame:
-    files, _ = _offers(spark, sf)
-    return waterfall.recordings_match(files, remote.recordings(_recording_answers(spark, sf), "seq"), "seq")
+def _recording_match(files: DataFrame, met: DataFrame) -> DataFrame:
+    met = met.join(files.select("seq"), "seq", "left_semi")
+    return waterfall.recordings_match(files, remote.recordings(_recording_answers(met), "seq"), "seq")
 
 
 @query
 def mb_gate(spark, sf):
-    return _recording_match(spark, sf).select("seq", "name", "artists", "release_name", "publish_date", "label")
+    return _recording_match(*_offers(spark, sf)).select("seq", "name", "artists", "release_name", "publish_date", "label")
 
 
-def _release_tables(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _release_tables(spark, sf, files: DataFrame, met: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Files with base titles, one search answer per file, and landed release details."""
-    files, met = _offers(spark, sf)
+    met = met.join(files.select("seq"), "seq", "left_semi")
     files = files.withColumn("base", F.col("title"))
     shown = F.when(F.col("id") % 3 == 0, F.concat(F.col("artists"), F.lit(" - Some Album"))).otherwise(
         F.concat(F.col("artists"), F.lit(" - "), F.col("name"))
@@ -597,8 +632,8 @@ def _release_tables(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     return files, answer, details
 
 
-def _release_match(spark, sf) -> DataFrame:
-    files, answers, details = _release_tables(spark, sf)
+def _release_match(spark, sf, files: DataFrame, met: DataFrame) -> DataFrame:
+    files, answers, details = _release_tables(spark, sf, files, met)
     return waterfall.releases_match(
         files, remote.release_results(answers, "seq", page="page"), remote.releases(details), "seq"
     )
@@ -606,22 +641,24 @@ def _release_match(spark, sf) -> DataFrame:
 
 @query
 def discogs_gate(spark, sf):
-    return _release_match(spark, sf).select("seq", "name", "artists", "release_name", "publish_date", "label", "genre", "artwork_url")
+    return _release_match(spark, sf, *_offers(spark, sf)).select("seq", "name", "artists", "release_name", "publish_date", "label", "genre", "artwork_url")
 
 
 @query
 def source_waterfall(spark, sf):
     files, met = _offers(spark, sf)
-    best = gates.pick_best(files, met, "seq").filter("pick is not null")
-    primary = waterfall.conform(best.select("seq", "pick.*"), ["seq"])
-    decided = waterfall.waterfall(
-        files,
-        [("catalog", primary), ("recordings", _recording_match(spark, sf)), ("off", None), ("releases", _release_match(spark, sf))],
-        "seq",
-    )
-    reasons = gates.pick_best(files, met, "seq").select("seq", "reason")
+    met = stage(met, "offers")
+    best = stage(gates.pick_best(files, met, "seq"), "best")
+    primary = waterfall.conform(best.filter("pick is not null").select("seq", "pick.*"), ["seq"])
+    sources = [
+        ("catalog", primary),
+        ("recordings", lambda left: _recording_match(left, met)),
+        ("off", None),
+        ("releases", lambda left: _release_match(spark, sf, left, met)),
+    ]
+    decided = waterfall.waterfall(files, sources, "seq")
     status = F.when(F.col("source") != "", F.lit("matched")).otherwise(waterfall.status_or(F.col("reason")))
-    return decided.join(reasons, "seq").select("seq", "source", status.alias("status"))
+    return decided.join(best.select("seq", "reason"), "seq").select("seq", "source", status.alias("status"))
 
 
 @query
@@ -672,7 +709,8 @@ def merge_plan(spark, sf):
 def merge_plan_maps(spark, sf):
     current, new = _merge_tables(spark, sf)
     p = merge.plans(current, new, "seq", fields=["genre", "date", "bpm"])
-    return p.select("seq", F.size("updates").alias("n_updates"), F.size("reasons").alias("n_reasons"), "embed_artwork")
+    entries = lambda m: F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"]))), "|")
+    return p.select("seq", entries("updates").alias("updates"), entries("reasons").alias("reasons"), "embed_artwork")
 
 
 @query
@@ -802,11 +840,10 @@ def _finishes(events: DataFrame) -> DataFrame:
 
 @query
 def stuck_batch(spark, sf):
-    """Items of the first ten days that never finished, seen at the end of them."""
+    """Items of the whole log that never finished, seen at its last start."""
     starts, finishes = _timed(spark, sf)
-    cut = F.lit("2024-01-11 00:00:00").cast("timestamp")
-    open_items = runs.stuck(starts.filter(F.col("started_at") < cut), finishes.filter(F.col("finished_at") < cut), "item", cut)
-    return open_items.select("item")
+    now = F.lit(starts.agg(F.max("started_at")).first()[0])
+    return runs.stuck(starts, finishes.filter(F.col("finished_at") <= now), "item", now).select("item")
 
 
 @query
@@ -913,6 +950,56 @@ def csv_roundtrip(spark, sf):
     )
 
 
+@query
+def matched_roundtrip(spark, sf):
+    """Purchases with their path written as the matched table and read back."""
+    rows = purchases.parse_tracks(_track_json(spark, sf)).withColumn("Local File Path", F.concat(F.lit("/m/"), "`Track ID`"))
+    path = new_path(spark, "matched-csv")
+    table_sink.write_matched(rows, path)
+    back = spark.read.option("header", True).csv(path)
+    return back.select(
+        F.coalesce("`Track ID`", F.lit("")).alias("track_id"),
+        F.col("`Local File Path`").alias("path"),
+        F.lit(len(back.columns)).alias("n_columns"),
+    )
+
+
+@query
+def catalog_build(spark, sf):
+    """Catalog rows of files of which a third has no tags."""
+    files = view(spark, sf, "fx_files")
+    path = F.concat(F.lit("/m/"), "seq", F.lit(".mp3")).alias("path")
+    tags = files.filter("seq % 3 <> 0").select(path, "artist", "title", "genre", (F.col("duration_ms") / 1000).alias("seconds"))
+    rows = catalog_source.catalog_rows(files.select(path, (F.col("seq") * 10).alias("size"), "seq"), tags)
+    names = ["File Path", "Artist", "Album Artist", "Title", "Genre", "Duration", "File Size"]
+    return rows.select("seq", *[F.col(f"`{n}`").alias(n.lower().replace(" ", "_")) for n in names])
+
+
+@query
+def done_paths(spark, sf):
+    """Paths that any log line names, after a log was written in two parts."""
+    log = _run_log(spark, sf).select(
+        (F.col("seq") % 500).cast("string").alias("path"),
+        "status",
+        F.lit(0).cast("bigint").alias("candidate_id"),
+        F.create_map().cast("map<string,string>").alias("applied"),
+        F.lit("").alias("source"),
+        F.lit(None).cast("map<string,string>").alias("snapshot"),
+    )
+    root = new_path(spark, "done-log")
+    logs.append_log(log.filter("status = 'matched'"), root)
+    logs.append_log(log.filter("status <> 'matched'"), root)
+    return logs.done_paths(logs.read_log(spark, root))
+
+
+@query
+def plan_allowed_fields(spark, sf):
+    """Planned changes of the fields that a job names."""
+    current, new = _merge_tables(spark, sf)
+    fields = paths.parse_fields(" Genre, ,date,BPM ")
+    return merge.plan_fields(current, new, "seq", fields=fields).select("seq", "field", "new")
+
+
 @query
 def log_roundtrip(spark, sf):
     """Results appended to a log in two parts; the matches with an id are read back."""
