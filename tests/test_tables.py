@@ -275,3 +275,13 @@ def test_verdict_and_stuck(spark):
     finishes = spark.createDataFrame([("y",)], "item string")
     now = F.lit("2024-01-01 00:05:01").cast("timestamp")
     assert [r.item for r in runs.stuck(starts, finishes, "item", now).collect()] == ["x"]
+
+
+def test_private_folder_is_for_local_masters_only():
+    from cratelink.session import check_private
+
+    for master in ("local", "local[4]", "local[*]"):
+        check_private(master)
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]", "k8s://https://host"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            check_private(master)
