@@ -2,4 +2,73 @@
 
 from __future__ import annotations
 
+import string
+
+from cratelink.llm.chat import ESCAPES, HEAD, NECK, TAIL
+from cratelink.llm.queries import CONTROL
+
 ORACLES: dict[str, str] = {}
+
+
+def _lower(text: str) -> str:
+    return f"translate(coalesce({text}, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+
+
+def _words(text: str) -> str:
+    return rf"regexp_extract_all({_lower(text)}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+ORACLES["op1_decontamination"] = f"""
+with items as (select distinct item_id, {_words('text')} as w from benchmark where item_id is not null),
+windows as (
+  select distinct cast(item_id as varchar) as item, least(len(w), 10) as size, array_to_string(w[i : i + 9], ' ') as win
+  from (select item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) as i from items where len(w) > 0)),
+docs as (select row_number() over () as key, doc_id, {_words('text')} as w from documents),
+places as (
+  select key, w, size, unnest(range(1, len(w) - size + 2)) as i
+  from docs cross join (select distinct size from windows) where len(w) >= size),
+spots as (select key, i, size, array_to_string(w[i : i + size - 1], ' ') as win from places),
+met as (select key, i, size, item from spots join windows using (size, win)),
+hit as (select key, count(distinct j) as n from (select distinct key, i, size from met), unnest(range(i, i + size)) as u(j) group by key),
+owner as (
+  select key, count(*) as n, string_agg(item, ',' order by item) as ids from (select distinct key, item from met) group by key)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(hit.n, 0) as n_hit, coalesce(owner.n, 0) as n_items,
+  sha256(coalesce(owner.ids, '')) as items_sha256, coalesce(hit.n, 0) > 0 as contaminated
+from docs left join hit using (key) left join owner using (key)"""
+
+ORACLES["op7_near_copies"] = f"""
+with recursive texts as (
+  select doc_id, list_filter(string_split_regex({_lower('text')}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+sets as (
+  select distinct doc_id, case when len(w) < 5 then array_to_string(w, ' ') else array_to_string(w[i : i + 4], ' ') end as s
+  from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) as i from texts where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from sets group by doc_id),
+pairs as (
+  select a.doc_id as a, b.doc_id as b, count(*) as shared from sets a join sets b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+links as (
+  select a, b from pairs join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * shared >= 75 * (x.n + y.n - shared)),
+reach(doc_id, other) as (
+  select doc_id, doc_id from sizes union select reach.doc_id, links.b from reach join links on links.a = reach.other)
+select t.doc_id, coalesce(n, 0) as n_shingles, coalesce(least_id, t.doc_id) as component_id
+from texts t left join sizes using (doc_id)
+left join (select doc_id, min(other) as least_id from reach group by doc_id) using (doc_id)"""
+
+
+def _escaped(text: str) -> str:
+    for plain, sign in ESCAPES:
+        text = f"replace({text}, '{plain}', '{sign}')"
+    return text
+
+
+_TURN = len(HEAD + NECK + TAIL)
+ORACLES["op10_chat"] = f"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '{CONTROL}' union all select -7, 1, 'assistant', '{CONTROL}'),
+sums as (
+  select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as t,
+    coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '') as loss,
+    sum({_TURN} + length({_escaped('role')}) + length({_escaped('text')})) as chars
+  from turns group by conv_id)
+select conv_id, n_turns, sha256(t) as turns_sha256, cast(length(loss) as bigint) as loss_chars, sha256(loss) as loss_sha256,
+  cast(chars as bigint) as formatted_chars from sums"""
