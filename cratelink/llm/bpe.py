@@ -32,7 +32,7 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: A space beside other white space or at an end, where plain splitting would cut wrongly.
 _ODD = re.compile(r"\A | \Z| \s|\s ")
 #: Chunks and pre-tokens a worker remembers before it starts anew.
-CACHE = 400_000
+CACHE = 300_000
 #: Longer texts of either kind are not remembered.
 SHORT = 64
 

@@ -13,6 +13,9 @@ from pyspark.sql.types import DataType, StructType
 
 #: Text bytes handled at once by vectorised code; a longer text is one batch of its own.
 SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch, at most.
+BATCH_ROWS = 1000
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Distinct keys a task counts before it hands its counts on.
 COUNTER_KEYS = 200_000
 
@@ -26,7 +29,13 @@ LOWER_TABLE = _UPPER
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers find this package where they share the driver's code path."""
+    """Let Python workers find this package where they share the driver's code path.
+
+    Arrow batches are made of fewer rows than usual: texts are long, and a batch is held
+    by the executor and by its worker at once.
+    """
+    if int(spark.conf.get(_BATCH_ROWS)) > BATCH_ROWS:
+        spark.conf.set(_BATCH_ROWS, BATCH_ROWS)
     root = str(Path(__file__).resolve().parents[2])
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(":"):
@@ -108,7 +117,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers["up"]) < n:
-        size = max(n, 2 * SLICE_BYTES)
+        size = max(n, SLICE_BYTES + (SLICE_BYTES >> 3))
         for key, base in (("up", _BASE), ("down", _INVERSE)):
             table = np.empty(size, dtype=np.uint64)
             table[0] = 1

@@ -49,7 +49,7 @@ KEYS, AGREE = 6, 3
 CROWD = 16
 #: Frequent shingles that the order knows; shingles counted together before counts of one are dropped.
 FREQUENT = 1 << 18
-COUNTED = 1 << 22
+COUNTED = 1 << 21
 #: Bits of the filters on shingles and on documents.
 SHINGLE_BITS, DOC_BITS = 26, 24
 

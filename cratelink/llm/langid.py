@@ -30,7 +30,7 @@ PENALTY = 12.0
 SCRIPT_SHARE = 0.01
 UNKNOWN = "und"
 #: Word scores a worker remembers before it starts anew.
-CACHE = 300_000
+CACHE = 150_000
 
 #: First code points of the scripts told apart (fixed values of the Unicode blocks).
 _SCRIPTS = (
