@@ -4,7 +4,8 @@ A node is a turn with all turns before it, named by a chained hash; conversation
 begin alike share nodes. A tree holds all conversations with the same first turn. Its
 nodes are laid out depth-first in one sequence of characters. Every node carries its
 place there, its position ids (which run on from its parent's, whatever lies between) and
-the intervals of the sequence that it may attend to: its ancestors and itself.
+the intervals of the sequence that it may attend to: its ancestors and itself. Turns that
+follow one another without a fork are one interval, so a long conversation has few.
 
 A tree may hold a third of all conversations, so no tree is ever gathered in one task:
 the order is a range-partitioned sort on paths, and places are running sums over blocks.
@@ -46,7 +47,7 @@ def unescape(text: str) -> str:
 
 
 def paths(conversations: DataFrame) -> DataFrame:
-    """One row per turn: ``conv_id``, ``place``, ``node``, ``parent``, ``tree``, ``path``, ``role``, ``text``."""
+    """One row per turn: ``conv_id``, ``place``, ``node``, ``parent``, ``tree``, ``role``, ``text``."""
     turn = F.struct(
         F.col("turn"),
         F.coalesce("role", F.lit("")).alias("role"),
@@ -75,70 +76,89 @@ def paths(conversations: DataFrame) -> DataFrame:
             F.get("nodes", F.col("place")).alias("node"),
             F.get("nodes", F.col("place") - 1).alias("parent"),
             F.get("nodes", F.lit(0)).alias("tree"),
-            F.slice("nodes", 1, F.col("place") + 1).alias("path"),
             F.col("t.role").alias("role"),
             F.col("t.text").alias("text"),
         )
     )
 
 
+def with_runs(turns: DataFrame) -> DataFrame:
+    """Turns with ``path``: the first nodes of the unbranched runs from the root to the turn's own.
+
+    A run ends where turns part, so a path is as long as there are forks above a turn,
+    however many turns a conversation has.
+    """
+    known = turns.select("node", "parent").where("parent is not null").dropDuplicates(["node"])
+    forks = known.groupBy("parent").agg(F.count("*").alias("n")).where("n > 1").select(F.col("parent").alias("fork"))
+    forks = stage(forks, "chat-forks")
+    first = turns.join(forks, turns["parent"] == forks["fork"], "left").where("parent is null or fork is not null")
+    # A null conv_id is an id of its own, which a plain join would lose.
+    heads = first.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("place", "node"))).alias("heads"))
+    heads = heads.withColumnRenamed("conv_id", "head_id")
+    own = turns.join(heads, turns["conv_id"].eqNullSafe(heads["head_id"])).drop("head_id")
+    path = F.transform(F.filter("heads", lambda h: h["place"] <= F.col("place")), lambda h: h["node"])
+    return own.withColumn("path", path).drop("heads")
+
+
 def pack(conversations: DataFrame, trained: str = TRAINED) -> tuple[DataFrame, DataFrame]:
-    """The packed trees, and which node each conversation ends in.
+    """The packed trees, and the nodes of each conversation.
 
     Nodes: ``tree``, ``node``, ``parent``, ``start`` and ``length`` (in the tree's
     sequence), ``position`` (of the first character), ``attends`` (intervals of the
-    sequence, root first, the node's own last), ``piece`` (the characters) and
-    ``loss_start``, ``loss_end`` (in the piece; null unless the role is *trained*).
-    Conversations: ``conv_id``, ``place``, ``node`` for every turn, in order.
+    sequence, root first: the runs above, then the own run up to the node's end),
+    ``piece`` (the characters) and ``loss_start``, ``loss_end`` (in the piece; null
+    unless the role is *trained*). Conversations: ``conv_id``, ``place``, ``node``.
     """
     turns = stage(paths(conversations), "chat-turns")
     head = F.concat(F.lit(HEAD), escaped(F.col("role")), F.lit(NECK))
     body = escaped(F.col("text"))
     nodes = (
-        turns.dropDuplicates(["node"])
+        with_runs(turns)
+        .dropDuplicates(["node"])
         .withColumn("head", F.length(head))
         .withColumn("piece", F.concat(head, body, F.lit(TAIL)))
         .withColumn("length", F.length("piece").cast("long"))
         .withColumn("loss_start", F.when(F.col("role") == trained, F.col("head")))
         .withColumn("loss_end", F.when(F.col("role") == trained, F.col("head") + F.length(body)))
-        .select("tree", "node", "parent", "path", "piece", "length", "loss_start", "loss_end")
+        .select("tree", "node", "parent", "path", "place", "piece", "length", "loss_start", "loss_end")
     )
-    placed = in_blocks(nodes, "path")
+    placed = in_blocks(nodes, "path", "place")
     before = Window.partitionBy("_block").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy("_block").agg(F.sum("length").alias("_size"))
     offset = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("_block", F.coalesce(F.sum("_size").over(offset), F.lit(0)).alias("_base"))
-    place = F.col("_base") + F.coalesce(F.sum("length").over(before), F.lit(0))
-    placed = stage(placed.join(F.broadcast(sums), "_block").withColumn("at", place).drop("_block", "_place", "_base"), "chat-placed")
-
-    first = placed.where("parent is null").select("tree", F.col("at").alias("base"))
-    steps = placed.select("node", F.explode("path").alias("above"))
-    spans = placed.select(F.col("node").alias("above"), F.col("at").alias("a"), F.size("path").alias("depth"), F.col("length").alias("n"))
-    attends = (
-        steps.join(spans, "above")
-        .groupBy("node")
-        .agg(F.array_sort(F.collect_list(F.struct("depth", "a", "n"))).alias("above"))
+    at = F.col("_base") + F.coalesce(F.sum("length").over(before), F.lit(0))
+    placed = placed.join(F.broadcast(sums), "_block").withColumn("at", at).drop("_block", "_place", "_base")
+    placed = stage(placed.withColumn("run", F.element_at("path", -1)), "chat-placed")
+
+    runs = placed.groupBy("run").agg(
+        F.max("path").alias("path"), F.min("at").alias("a"), F.max(F.col("at") + F.col("length")).alias("b")
     )
-    packed = (
-        placed.join(stage(first, "chat-roots"), "tree")
-        .join(attends, "node")
-        .select(
-            "tree",
-            "node",
-            "parent",
-            (F.col("at") - F.col("base")).alias("start"),
-            "length",
-            (F.aggregate("above", F.lit(0).cast("long"), lambda s, x: s + x["n"]) - F.col("length")).alias("position"),
-            F.transform(
-                "above",
-                lambda x: F.struct(
-                    (x["a"] - F.col("base")).alias("start"), (x["a"] + x["n"] - F.col("base")).alias("end")
-                ),
-            ).alias("attends"),
-            "piece",
-            "loss_start",
-            "loss_end",
-        )
+    runs = stage(runs.withColumn("depth", F.size("path")), "chat-runs")
+    spans = runs.select(F.col("run").alias("above"), "depth", "a", "b")
+    above = (
+        runs.select("run", F.explode("path").alias("above"))
+        .join(spans, "above")
+        .groupBy("run")
+        .agg(F.array_sort(F.collect_list(F.struct("depth", "a", "b"))).alias("runs"))
+    )
+    above = stage(above, "chat-above")
+    base = F.get("runs", F.lit(0))["a"]
+    others = F.slice("runs", 1, F.size("runs") - 1)
+    mine = F.element_at("runs", -1)["a"]
+    interval = lambda a, b: F.struct((a - base).alias("start"), (b - base).alias("end"))
+    end = F.col("at") + F.col("length")
+    packed = placed.join(above, "run").select(
+        "tree",
+        "node",
+        "parent",
+        (F.col("at") - base).alias("start"),
+        "length",
+        (F.aggregate(others, F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"]) + F.col("at") - mine).alias("position"),
+        F.concat(F.transform(others, lambda x: interval(x["a"], x["b"])), F.array(interval(mine, end))).alias("attends"),
+        "piece",
+        "loss_start",
+        "loss_end",
     )
     return stage(packed, "chat-packed"), turns.select("conv_id", "place", "node")
 

@@ -113,9 +113,10 @@ def test_trees(spark):
     trees = defaultdict(list)
     for n in nodes:
         trees[n.tree].append(n)
-        assert n.length == len(n.piece) and (n.attends[-1].start, n.attends[-1].end) == (n.start, n.start + n.length)
-        above = by[n.parent].attends if n.parent else []
-        assert n.attends[:-1] == above and n.position == sum(s.end - s.start for s in above)
+        assert n.length == len(n.piece)
+        above = [(m.start, m.start + m.length) for m in reversed(list(chain_of(by, n)))]
+        assert n.position == sum(b - a for a, b in above)
+        assert joined([(s.start, s.end) for s in n.attends]) == joined([*above, (n.start, n.start + n.length)])
     for own in trees.values():  # depth first: no gaps, and every subtree in one piece
         own.sort(key=lambda n: n.start)
         assert [n.start for n in own] == [sum(m.length for m in own[:i]) for i in range(len(own))]
@@ -130,3 +131,21 @@ def chain_of(by, node):
     while node.parent:
         node = by[node.parent]
         yield node
+
+
+def joined(spans):
+    out = []
+    for a, b in spans:
+        if out and out[-1][1] == a:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+def test_long_conversations_stay_linear(spark):
+    rows = [(c, i, "user" if i % 2 else "assistant", f"t{i if i < 1500 else (c, i)}") for c in (1, 2) for i in range(3000)]
+    packed, ends = chat.pack(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert packed.count() == 4500 and packed.agg(F.max(F.size("attends"))).first()[0] == 2
+    back = {r.conv_id: r for r in chat.read_back(packed, ends).collect()}
+    assert [len(back[c].turns) for c in (1, 2)] == [3000, 3000] and back[2].turns[2999].text == "t(2, 2999)"
