@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cratelink.llm import ann, bpe, chat, decontam, jaccard, langid, licenses, lm, pii, toxic
+from cratelink.llm import ann, bpe, chat, decontam, jaccard, langid, licenses, pairs, pii, toxic
 from cratelink.llm.common import bucket_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,8 +115,8 @@ def op7_near_copies(spark, sf):
 def op8_language_model(spark, sf):
     """log10 probabilities of every document; a fifth of the documents is held out of learning."""
     docs = table(spark, sf, "documents")
-    words, model = lm.learn(docs.where(bucket_of("doc_id", 5) != 1))
-    return lm.score(docs, words, model).select(
+    model = pairs.learn(docs.where(bucket_of("doc_id", 5) != 1))
+    return pairs.score(docs, model).select(
         "row.doc_id",
         (bucket_of("row.doc_id", 5) == 1).alias("held_out"),
         "n_tokens",
