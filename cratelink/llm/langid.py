@@ -3,8 +3,9 @@
 The script of a word narrows the languages that can have written it. Each language's
 score of a word is the log probability of the word's byte 3-grams. A Viterbi pass over
 the words, with a penalty for each switch of language, labels every word. Where no run of
-words gains more than one penalty in any other language, the constant path is the best
-one, and the pass is not needed.
+words gains more than half a penalty in any other language, the constant path is the best
+one, and the pass is not needed: m runs take at least m - 1 switches, and one run over the
+whole text gains nothing.
 
 A text without letters, or null, is ``und`` with score 0 and no spans; so is every text
 if nothing was learned. Equal scores go to the language named first. Rows are
@@ -133,7 +134,7 @@ class Model:
         best = int(np.argmax(scores.sum(axis=0)))
         gain = np.zeros((len(places) + 1, scores.shape[1]))
         np.cumsum(scores - scores[:, best : best + 1], axis=0, out=gain[1:])
-        if (gain - np.minimum.accumulate(gain, axis=0)).max() <= PENALTY:
+        if (gain - np.minimum.accumulate(gain, axis=0)).max() <= PENALTY / 2:
             return np.full(len(places), best), scores
         return viterbi(scores, PENALTY), scores
 

@@ -89,6 +89,19 @@ def test_viterbi_against_all_paths():
         assert value(langid.viterbi(scores, 3.0).tolist()) == pytest.approx(max(map(value, paths)))
 
 
+def test_labels_are_those_of_the_best_path():
+    """Two languages may share one switch, so the shortcut needs less than half of it."""
+    model = langid.Model(["a", "b", "c"], np.ones((3, langid.BUCKETS)), np.ones((3, len(langid.SCRIPTS))))
+    model.scores = np.array([[0, 10, -10.1], [0, -10.1, 10]])
+    assert model.label(np.arange(2))[0].tolist() == [1, 2]
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        model.scores = rng.normal(0, 5, (int(rng.integers(1, 9)), 3))
+        places = np.arange(len(model.scores))
+        value = lambda p: model.scores[places, p].sum() - langid.PENALTY * np.count_nonzero(np.diff(p))  # noqa: E731, B023
+        assert value(model.label(places)[0]) == pytest.approx(value(langid.viterbi(model.scores, langid.PENALTY)))
+
+
 def test_spans_scripts_and_edges(spark):
     en, de = "the house of the man with this thing and that", "das haus und der mann mit diesem ding nicht auch"
     ru = "этот дом и человек"
