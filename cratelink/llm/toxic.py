@@ -28,8 +28,6 @@ from pyspark.sql import functions as F
 
 from cratelink.llm.common import COUNTER_KEYS, WORD_TABLE, batch_of, map_text, row_of, schema_of, strings
 
-#: Size of the lexicon: the words of the highest weights.
-TERMS = 4096
 #: Labelled documents that are learned from; of more, a sample of this expected size.
 SAMPLE = 200_000
 #: Least toxic documents of a word of the lexicon, and its least weight.
@@ -179,7 +177,6 @@ def learn(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    terms: int = TERMS,
     exceptions: Sequence[str] = EXCEPTIONS,
     sample: int = SAMPLE,
 ) -> Lexicon:
@@ -187,7 +184,7 @@ def learn(
 
     At most about *sample* of them are used, chosen by a hash of the id.
 
-    To the driver come *terms* words and a table of rounded weights.
+    To the driver come all terms that pass the floors, bounded by the sample, and a table of rounded weights.
     """
     taught = _labelled(docs, labels, id_col, text_col, label_col, sample)
     schema = pa.schema([("word", pa.string()), ("bad", pa.int64()), ("good", pa.int64())])
@@ -216,10 +213,9 @@ def learn(
         words.where("word <> ''")
         .select("word", lower.alias("weight"))
         .where(F.col("weight") >= LEAST_WEIGHT)
-        .orderBy(F.col("weight").desc(), "word")
-        .limit(terms)
+        .toArrow()
     )
-    lexicon = Lexicon({r["word"]: r["weight"] for r in top.collect()}, exceptions)
+    lexicon = Lexicon(dict(sorted(zip(*(c.to_pylist() for c in top.columns), strict=True))), exceptions)
     lexicon.fit = _fitted(taught, lexicon)
     return lexicon
 

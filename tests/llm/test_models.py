@@ -182,6 +182,16 @@ def test_neighbour_edges(spark):
     assert ann.neighbours(df.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def test_common_terms_stay_in_a_long_lexicon(spark):
+    """5,000 words of few toxic documents outweigh a common term; all are kept."""
+    rare = " ".join(f"{chr(97 + i % 26)}{i}x" for i in range(5000))
+    rows = [(i, f"{rare if i < 4 else 'quite'} {'zog' if i < 30 else 'day'}", 1) for i in range(40)]
+    rows += [(i, "a good day " + ("zog" if i < 100 else "to you"), 0) for i in range(40, 440)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxic.learn(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+    assert len(lexicon.weights) > 5000 and lexicon.weights["zog"] < min(w for t, w in lexicon.weights.items() if t[0] == "c")
+
+
 # --- language model -------------------------------------------------------------
 
 
