@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cratelink.llm import ann, bpe, chat, decontam, jaccard, langid, licenses, pairs, pii, toxic
+from cratelink.llm import ann, bpe, chat, decontam, jaccard, langid, lexical, licenses, minhash, pairs, pii, repair, toxic
 from cratelink.llm.common import bucket_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -160,3 +160,39 @@ def op10_chat(spark, sf):
         F.sha2(loss, 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query
+def op11_repair(spark, sf):
+    """Every conversation after damage: its faults, and the cheapest edits that mend it."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    found, rows = repair.repair(repair.damaged(turns))
+    found = found.withColumnRenamed("conv_id", "c")
+    mended = repair.digests(rows).withColumnRenamed("conv_id", "d")
+    out = turns.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    out = out.join(mended, F.col("conv_id").eqNullSafe(F.col("d")), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return out.select(
+        "conv_id",
+        *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+@query
+def op12_search(spark, sf):
+    """The twenty best documents of every benchmark item."""
+    return lexical.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op13_minhash(spark, sf):
+    """Shingles of every document, the least id that links reach, and whether it is its own."""
+    out = minhash.linked(table(spark, sf, "documents"))
+    return out.select(
+        F.col("id").alias("doc_id"),
+        "n_shingles",
+        F.col("component").alias("component_id"),
+        F.col("id").eqNullSafe(F.col("component")).alias("kept"),
+    )
