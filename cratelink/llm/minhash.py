@@ -11,11 +11,12 @@ Groups are never expanded into pairs. Texts of equal sets are one node. In every
 that holds several nodes one pivot is compared with all others: the node whose buckets
 are the fullest, so the middle of a group of near copies, and then the fullest one outside
 the first pivot's class. What is left are buckets of several classes. Their nodes are
-joined by prefixes: with shingles ordered by rarity, two similar sets share one of the
-first n - need + 1 of either, and one that shares a class already is not looked at. Copies
-with many changes begin with shingles of their own, which meet nothing, while copies with
-few changes are in the class of the pivot by then. That join is exact, so no link that
-any table shows is lost.
+joined by prefixes: shingles that one class alone has cannot be shared, the others are
+ordered by rarity, and a shingle at place p can only be the first one that is shared with a
+set whose size leaves room for the overlap in what follows. Pairs meet where both sizes fit
+at the shingle. Copies with many changes have too few shingles that others have, so they
+meet nothing, while copies with few changes are in the class of the pivot by then. That
+join is exact, so no link that any table shows is lost.
 
 * Null and empty texts have no shingles and link with nothing; a text of fewer words than
   a shingle is one shingle. Very long texts are hashed by pieces.
@@ -168,11 +169,14 @@ def _rest(live: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> D
     # Shingles of one class only can neither be met nor decide: in the order they come first, by themselves.
     shared = stage(counts.where("low <> high").select("item", "df"), "minhash-shared")
     known = items.join(shared, "item").groupBy("node", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("items"))
-    need = F.ceil(F.col("n") * percent / 100)
-    # Of n - need + 1 places, those taken by shingles of one class come first.
-    left = F.col("n") - need + 1 - (F.col("n") - F.size("items"))
-    rows = known.where(left > 0).select("node", "comp", "n", F.explode(F.slice("items", F.lit(1), left.cast("int"))).alias("z"))
-    rows = stage(rows.select("node", "comp", "n", F.col("z.item").alias("item")), "minhash-prefixes")
+    # Where only the shingles from place p on can still be shared, a partner may have so many shingles at most.
+    cap = F.expr(f"cast(floor((size(items) - pos) * {100 + percent} / {percent}) as long) - n")
+    places = known.select("node", "comp", "n", "items", F.posexplode("items").alias("pos", "z")).withColumn("cap", cap)
+    rows = places.where(100 * F.col("cap") >= percent * F.col("n")).select("node", "comp", "n", "cap", F.col("z.item").alias("item"))
+    rows = stage(rows, "minhash-prefixes")
+    # Who is too long or too short for everyone else with the shingle meets nobody.
+    fits = rows.groupBy("item").agg(F.min("n").alias("least_n"), F.max("cap").alias("most_n"))
+    rows = rows.join(fits, "item").where("cap >= least_n and n <= most_n").drop("least_n", "most_n")
     # The largest class of a shingle meets all others, but never itself.
     sizes = rows.groupBy("item", "comp").agg(F.count("*").alias("c"))
     tops = sizes.groupBy("item").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("classes"))
@@ -180,8 +184,7 @@ def _rest(live: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> D
     rows = rows.join(tops, "item")
     x, y = rows.alias("x"), rows.where("comp <> top").alias("y")
     once = "(x.comp = x.top or x.node < y.node)"
-    fits = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-    met = x.join(y, F.expr(f"x.item = y.item and x.comp <> y.comp and {once} and {fits}"))
+    met = x.join(y, F.expr(f"x.item = y.item and x.comp <> y.comp and {once} and x.n <= y.cap and y.n <= x.cap"))
     pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     return stage(verified(stage(pairs, "minhash-pairs"), sets.select("node", "items"), percent), "minhash-links")
 
