@@ -9,9 +9,10 @@ way goes through its title. Every way yields all rows that satisfy its own condi
 and the other conditions are tested on them, so the choice never changes the result.
 
 Catalog rows with a blank title or album fit any title or album. They would make both
-conditions useless, so rows are classed by what is blank, a query visits each class
-separately, and the blank dimension is dropped from its key there, which also folds
-queries that differ only in it.
+conditions useless, so rows are classed by what is blank, and a query visits each class
+separately. Rows without an album drop it from their key, which also folds queries that
+differ only in it. Untitled rows are no rows to be met at all: of each name, or name and
+album, only the first one can win, so they are reduced to that one and looked up.
 """
 
 from __future__ import annotations
@@ -31,20 +32,43 @@ FAN_LIMIT = 2000
 
 FULL, NO_ALBUM, NO_TITLE, NEITHER = 1, 2, 3, 4
 _KEY = ("cls", "album", "artist", "clean")
+#: Whether a title condition holds for every untitled row. Other conditions are tested.
+_UNTITLED = {TITLE_PREFIX: True, TITLE_NEAR: False, TITLE_INSIDE: False}
 
 
-def _classed(queries: DataFrame) -> DataFrame:
-    """Each open query once per class, without the dimension that class ignores."""
-    return queries.selectExpr(
-        "qid",
-        "artist",
-        "names",
-        f"""inline(array(
-            struct({FULL} as cls, album, clean),
-            struct({NO_ALBUM} as cls, '' as album, clean),
-            struct({NO_TITLE} as cls, album, '' as clean),
-            struct({NEITHER} as cls, '' as album, '' as clean)))""",
-    )
+def _classed(queries: DataFrame, untitled: bool) -> DataFrame:
+    """Each open query once per class, without the album where rows have none."""
+    classes = [f"struct({FULL} as cls, album, clean)", f"struct({NO_ALBUM} as cls, '' as album, clean)"]
+    if untitled:
+        classes += [f"struct({NO_TITLE} as cls, album, clean)", f"struct({NEITHER} as cls, '' as album, clean)"]
+    return queries.selectExpr("qid", "artist", "names", f"inline(array({', '.join(classes)}))")
+
+
+def untitled_hits(
+    queries: DataFrame, rows: DataFrame, albums: DataFrame, names: DataFrame, level: int
+) -> DataFrame:
+    """Hits of *level* among untitled rows, all of whose titles fit: (qid, level, hit).
+
+    Rows become the first one of each name (blank album) or of each album and name, and
+    both lookups are N:1. A name or album held by most rows is one row. The texts a query
+    asks for are the related ones, met through its distinct names and albums; the
+    relation that a query has fewer of is followed first, and only pairs that rows
+    really have go on.
+    """
+    posted = rows.select("album", "best", F.explode("names").alias("name"))
+    first = posted.groupBy("album", "name").agg(F.min("best").alias("best"))
+    # The first row of a related name, per asked name: names that fit are settled once, not per query.
+    fits = names.join(first.withColumnRenamed("name", "r"), "r")
+    per_name = fits.groupBy(F.col("l").alias("name"), "album").agg(F.min("best").alias("best"))
+    loose = per_name.filter("album = ''").select("name", "best")
+    asked = queries.select("qid", "album", F.explode("names").alias("name"))
+    hits = asked.select("qid", "name").join(loose, "name").select("qid", "best")
+    tied = per_name.filter("album <> ''").withColumnRenamed("album", "r")
+    wanted = asked.select("album", "name").distinct()
+    near = wanted.join(albums.withColumnRenamed("l", "album"), "album").join(tied, ["name", "r"])
+    near = near.groupBy("album", "name").agg(F.min("best").alias("best"))
+    hits = hits.unionByName(asked.join(near, ["album", "name"]).select("qid", "best"))
+    return hits.groupBy("qid").agg(F.min("best").alias("hit")).select("qid", F.lit(level).alias("level"), "hit")
 
 
 def _reduced_catalog(catalog: DataFrame, strict: bool) -> DataFrame:
@@ -80,16 +104,18 @@ def residual_hits(
     job that brings another condition.
     """
     rules = tuple(rules)
-    by_title_too = {rule for _, rule in rules} <= {TITLE_PREFIX, TITLE_NEAR, TITLE_INSIDE}
-    open_q = queries.filter("album <> '' and clean <> ''").filter(F.size("names") > 0)
-    visits = stage(_classed(open_q), "visits")
+    by_title_too = {rule for _, rule in rules} <= set(_UNTITLED)
+    open_q = stage(queries.filter("album <> '' and clean <> ''").filter(F.size("names") > 0), "open")
+    visits = _classed(open_q, untitled=not by_title_too)
     q = visits.drop("qid").dropDuplicates(list(_KEY))
-    r = stage(_reduced_catalog(catalog, strict), "reduced")
+    every = stage(_reduced_catalog(catalog, strict), "reduced")
+    # Untitled rows are met one by one only by conditions that are not known.
+    r = every.filter("clean <> ''") if by_title_too else every
     q_names = q.select(*_KEY, F.explode("names").alias("name"))
     r_names = r.select("cls", "artist", "album", "clean", F.explode("names").alias("name"))
 
-    albums = stage(_pairs(q, r, "album"), "albums")
-    names = stage(_pairs(q_names, r_names, "name"), "names")
+    albums = stage(_pairs(open_q, every, "album"), "albums")
+    names = stage(_pairs(_named(open_q), _named(every), "name"), "names")
 
     album_rows = r.groupBy("cls", F.col("album").alias("r")).count()
     name_rows = r_names.groupBy("cls", F.col("name").alias("r")).count()
@@ -100,7 +126,6 @@ def residual_hits(
     q_fan = q_names.join(name_fan, ["cls", "name"]).groupBy(*_KEY).agg(F.sum("n").alias("by_name"))
 
     has_album = F.col("cls").isin(FULL, NO_TITLE)
-    has_title = F.col("cls").isin(FULL, NO_ALBUM)
     least = F.when(has_album, F.least("by_album", "by_name")).otherwise(F.col("by_name"))
     routed = (
         q.join(q_fan, list(_KEY))  # no fan at all: nothing can match
@@ -108,7 +133,7 @@ def residual_hits(
         .filter(~has_album | F.col("by_album").isNotNull())
         .withColumn(
             "way",
-            F.when(has_title & (least > fan_limit) & F.lit(by_title_too), "title")
+            F.when((least > fan_limit) & F.lit(by_title_too), "title")
             .when(has_album & (F.col("by_album") <= F.col("by_name")), "album")
             .otherwise("name"),
         )
@@ -152,7 +177,16 @@ def residual_hits(
         met = met.unionByName(candidates(with_titles, ["cls=cls", "r_clean=clean"], r))
 
     best = met.groupBy(*_KEY, "level").agg(F.min("best").alias("best"))
-    return visits.join(best, list(_KEY)).select("qid", "level", F.col("best").alias("hit"))
+    hits = visits.join(best, list(_KEY)).select("qid", "level", F.col("best").alias("hit"))
+    if by_title_too and not strict:
+        untitled = every.filter("clean = ''")
+        for level in [level for level, rule in rules if _UNTITLED[rule]]:
+            hits = hits.unionByName(untitled_hits(open_q, untitled, albums, names, level))
+    return hits
+
+
+def _named(df: DataFrame) -> DataFrame:
+    return df.select(F.explode("names").alias("name"))
 
 
 def _title_pairs(q: DataFrame, r: DataFrame) -> DataFrame:

@@ -190,6 +190,20 @@ def test_edit_pairs_are_complete(spark):
     assert got == {(a, b) for a in left for b in right if distance(a, b) <= max(2, len(a) // 5)}
 
 
+@pytest.mark.parametrize("limit", [2000, 5, 0])
+def test_edit_pairs_by_form_and_by_part(spark, limit):
+    """Titles told apart by numbers meet by their form, or by parts where a form is crowded."""
+    rng = random.Random(limit)
+    base = [f"{a} {b} {rng.randrange(10**k)}" for a in ("red", "small", "cold") for b in ("ring", "plate") for k in (1, 3, 5)]
+    left = sorted({*base, "1", "22", "7" * 30, "room 101 " * 5})
+    right = {t.replace("1", "", 1) for t in base} | {t + "x" for t in base} | {"z" + t.replace("e", "3") for t in base}
+    right |= {t[:-1] for t in base} | {f"{t[:-2]}{rng.randrange(100)}" for t in base} | {"2", "12", "7" * 27, "room 1o1 " * 5}
+    right = sorted(right)
+    frame = lambda v: spark.createDataFrame([(x,) for x in v], "v string")
+    got = {(r.l, r.r) for r in edit_pairs(frame(left), frame(right), limit).collect()}
+    assert got == {(a, b) for a in left for b in right if distance(a, b) <= max(2, len(a) // 5)}
+
+
 def test_plans_hold_no_python_and_no_pair_comparison(spark):
     q, r = fixture(spark, 9)
     plan = cascade.lookup_hits(q, r, cascade.STRATEGIES)._jdf.queryExecution().toString()
