@@ -695,3 +695,9 @@ with bounds as (select least(max(ts), max({_DONE_AT}) filter (where event_type <
 select event_id as item, 'stuck' as status from events, bounds
 where (event_type = 'error' or {_DONE_AT} > ts + interval 300 seconds) and ts + interval 300 seconds < seen"""
 ORACLES["stream_counts"] = f"with {_BASE} select status, count(*) as n from fx_run_log group by 1"
+ORACLES["stream_resume"] = ORACLES["pick_best"]
+ORACLES["stream_progress"] = f"""
+with {_BASE} select count(*) as done, count(*) filter (where status = 'matched') as matched,
+  coalesce('item ' || cast(arg_max(seq, (ts, seq)) filter (where status = 'matched') as varchar), '') as last_matched,
+  cast(100 as double) as pct from fx_run_log"""
+ORACLES["stream_watchdog"] = "select event_id as item, 'stuck' as status from events where event_type = 'error'"

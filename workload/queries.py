@@ -1114,28 +1114,79 @@ def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf}/{name[:-1]}[{name[-1]}].parquet")
 
 
-@query
-def stream_enrich(spark, sf):
-    """Files arrive as a stream; each is picked for once and logged."""
-    part = _stream(spark, sf, "part")
-    files = part.select(
+#: Parts a table arrives in where a stream has to last over several batches.
+PARTS = 4
+
+
+def _landed(spark: SparkSession, sf: str, name: str, *order: str, again: Column | None = None) -> Callable[[int], DataFrame]:
+    """The table *name* as files that land one after the other, in order of *order*.
+
+    Gives a function that lands all parts up to a number and returns the stream of
+    them, one file a batch. Rows that *again* picks land a second time with the last part.
+    """
+    rows = table(spark, sf, name)
+    root, landed = new_path(spark, f"landing-{name}"), []
+    first = rows.schema[order[0]].dataType.simpleString()
+    place = F.unix_micros(F.col(order[0]).cast("timestamp")) if first.startswith("timestamp") else F.col(order[0])
+    cuts = rows.select(F.percentile_approx(place, [n / PARTS for n in range(1, PARTS)], 10_000).alias("c")).first()["c"] or []
+    part = F.lit(0)
+    for cut in cuts:
+        part = part + F.when(place > cut, 1).otherwise(0)
+    parted = rows.withColumn("_part", part)
+
+    def land(upto: int) -> DataFrame:
+        for n in range(len(landed), upto):
+            own = parted.filter(F.col("_part") == n).drop("_part")
+            if again is not None and n == PARTS - 1:
+                own = own.unionByName(rows.filter(again))
+            own.coalesce(1).write.mode("append").parquet(root)
+            landed.append(n)
+        return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(root)
+
+    return land
+
+
+def _manifest(part: DataFrame) -> DataFrame:
+    return part.select(
         F.col("p_partkey").alias("seq"),
         F.concat(F.lit("Artist "), "p_brand").alias("artist"),
         F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("title"),
         F.when(F.col("p_partkey") % 9 == 0, F.lit(0)).otherwise(180000 + (F.col("p_partkey") % 60) * 1000).alias("duration_ms"),
     )
+
+
+def _resolver(spark: SparkSession, sf: str) -> Callable[[DataFrame], DataFrame]:
     c = view(spark, sf, "fx_candidates")
 
     def resolve(batch: DataFrame) -> DataFrame:
         met = batch.join(c, (batch.title == c.name) & (batch.artist == c.artists)).select("seq", "duration_ms", *c.columns)
         return gates.pick_best(batch, met, "seq").select("seq", F.coalesce("pick.id", F.lit(-1)).alias("id"), "reason")
 
+    return resolve
+
+
+@query
+def stream_enrich(spark, sf):
+    """Files arrive as a stream; each is picked for once and logged."""
     root = new_path(spark, "enrich-log")
-    jobs.enrich_stream(files, resolve, root, new_path(spark, "enrich-checkpoint"), key="seq").awaitTermination()
+    files = _manifest(_stream(spark, sf, "part"))
+    jobs.enrich_stream(files, _resolver(spark, sf), root, new_path(spark, "enrich-checkpoint"), key="seq").awaitTermination()
+    return jobs.read_log(spark, root)
+
+
+@query
+def stream_resume(spark, sf):
+    """A manifest in several files, some rows twice: stopped after two, resumed, then run anew from the start."""
+    root, checkpoint = new_path(spark, "resume-log"), new_path(spark, "resume-checkpoint")
+    land = _landed(spark, sf, "part", "p_partkey", again=F.col("p_partkey") % 3 == 0)
+    resolve = _resolver(spark, sf)
+    for upto in (2, PARTS):
+        jobs.enrich_stream(_manifest(land(upto)), resolve, root, checkpoint, key="seq").awaitTermination()
+    jobs.enrich_stream(_manifest(land(PARTS)), resolve, root, new_path(spark, "resume-again"), key="seq").awaitTermination()
     return jobs.read_log(spark, root)
 
 
-def _streamed_log(spark, sf) -> DataFrame:
+def _log_of(events: DataFrame) -> DataFrame:
     status = (
         F.when(F.col("event_type") == "error", "error")
         .when(F.col("event_type") == "purchase", "matched")
@@ -1143,22 +1194,48 @@ def _streamed_log(spark, sf) -> DataFrame:
         .when(F.col("event_type") == "click", "skipped")
         .otherwise("ambiguous")
     )
-    return _stream(spark, sf, "events").select(
+    return events.select(
         F.col("event_id").alias("seq"), "ts", F.col("user_id").alias("run_id"), status.alias("status")
     )
 
 
 @query
 def stream_breaker(spark, sf):
-    root = new_path(spark, "breaker-log")
-    job = jobs.breaker_stream(
-        _streamed_log(spark, sf), "run_id", ("ts", "seq"), root, new_path(spark, "breaker-state"),
-        new_path(spark, "breaker-checkpoint"), limit=3,
-    )
-    job.awaitTermination()
+    """Runs over four batches; streaks and trips carry over."""
+    root, state, checkpoint = (new_path(spark, f"breaker-{n}") for n in ("log", "state", "checkpoint"))
+    land = _landed(spark, sf, "events", "ts")
+    for upto in (2, PARTS):
+        log = _log_of(land(upto))
+        jobs.breaker_stream(log, "run_id", ("ts", "seq"), root, state, checkpoint, limit=3).awaitTermination()
     return jobs.read_log(spark, root).select("run_id", "seq", "status", F.col("streak").cast("bigint").alias("streak"))
 
 
+@query
+def stream_progress(spark, sf):
+    """Progress of all runs after the last of four batches, from what was observed in each."""
+    root, metrics = new_path(spark, "progress-log"), new_path(spark, "progress-metrics")
+    log = _log_of(_landed(spark, sf, "events", "ts")(PARTS))
+    log = log.withColumn("label", F.concat(F.lit("item "), F.col("seq").cast("string")))
+    jobs.progress_stream(log, root, metrics, new_path(spark, "progress-checkpoint")).awaitTermination()
+    seen = spark.read.option("basePath", metrics).parquet(f"{metrics}/batch=*")
+    rows = jobs.batch_progress(seen, F.lit(table(spark, sf, "events").count()), F.current_timestamp())
+    return rows.orderBy(F.desc("batch")).limit(1).select("done", "matched", "last_matched", "pct")
+
+
+@query
+def stream_watchdog(spark, sf):
+    """Items without a finish, reported by a timer although no later event arrives."""
+    events = _stream(spark, sf, "events")
+    starts = events.select(F.col("event_id").alias("item"), F.lit("start").alias("event"), F.col("ts").alias("at"))
+    ends = events.filter("event_type <> 'error'").select(F.col("event_id").alias("item"), F.lit("finish").alias("event"), F.col("ts").alias("at"))
+    root = new_path(spark, "watchdog")
+    with jobs.on_rocksdb(spark):
+        overdue = jobs.watchdog_stream(starts.unionByName(ends), "item").writeStream.format("parquet").option("path", root)
+        job = overdue.option("checkpointLocation", new_path(spark, "watchdog-checkpoint")).start()
+    jobs.stop_when_quiet(job)
+    return spark.read.schema("item bigint, status string").parquet(root)
+
+
 @query
 def stream_stuck(spark, sf):
     events = _stream(spark, sf, "events")
@@ -1177,15 +1254,8 @@ def stream_stuck(spark, sf):
 
 @query
 def stream_counts(spark, sf):
-    name = f"counts_{abs(hash(new_path(spark, 'c')))}"
-    (
-        jobs.counts_stream(_streamed_log(spark, sf))
-        .writeStream.outputMode("complete")
-        .format("memory")
-        .queryName(name)
-        .option("checkpointLocation", new_path(spark, "counts-checkpoint"))
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
-    return spark.table(name)
+    """Status counts over four batches, kept in files."""
+    root = new_path(spark, "counts")
+    log = _log_of(_landed(spark, sf, "events", "ts")(PARTS))
+    jobs.counts_sink(log, root, new_path(spark, "counts-checkpoint")).awaitTermination()
+    return jobs.last_counts(spark, root)
