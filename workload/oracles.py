@@ -701,3 +701,4 @@ with {_BASE} select count(*) as done, count(*) filter (where status = 'matched')
   coalesce('item ' || cast(arg_max(seq, (ts, seq)) filter (where status = 'matched') as varchar), '') as last_matched,
   cast(100 as double) as pct from fx_run_log"""
 ORACLES["stream_watchdog"] = "select event_id as item, 'stuck' as status from events where event_type = 'error'"
+ORACLES["stream_breaker_batches"] = ORACLES["breaker_prefix"]

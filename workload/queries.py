@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -1199,15 +1199,25 @@ def _log_of(events: DataFrame) -> DataFrame:
     )
 
 
+def _broken(spark: SparkSession, logs: Iterable[Callable[[], DataFrame]]) -> DataFrame:
+    """What the breaker logs when the streams of *logs* run one after the other on one checkpoint."""
+    root, state, checkpoint = (new_path(spark, f"breaker-{n}") for n in ("log", "state", "checkpoint"))
+    for log in logs:
+        jobs.breaker_stream(_log_of(log()), "run_id", ("ts", "seq"), root, state, checkpoint, limit=3).awaitTermination()
+    return jobs.read_log(spark, root).select("run_id", "seq", "status", F.col("streak").cast("bigint").alias("streak"))
+
+
 @query
 def stream_breaker(spark, sf):
-    """Runs over four batches; streaks and trips carry over."""
-    root, state, checkpoint = (new_path(spark, f"breaker-{n}") for n in ("log", "state", "checkpoint"))
+    """The run log as one file, so one batch."""
+    return _broken(spark, [lambda: _stream(spark, sf, "events")])
+
+
+@query
+def stream_breaker_batches(spark, sf):
+    """The run log over four batches and a restart; streaks and trips carry over."""
     land = _landed(spark, sf, "events", "ts")
-    for upto in (2, PARTS):
-        log = _log_of(land(upto))
-        jobs.breaker_stream(log, "run_id", ("ts", "seq"), root, state, checkpoint, limit=3).awaitTermination()
-    return jobs.read_log(spark, root).select("run_id", "seq", "status", F.col("streak").cast("bigint").alias("streak"))
+    return _broken(spark, [lambda: land(2), lambda: land(PARTS)])
 
 
 @query
