@@ -140,23 +140,25 @@ class Model:
 
 
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
-    """The labels of the highest sum of scores, less *penalty* for each switch."""
-    n, langs = scores.shape
-    switched = np.zeros((n, langs), dtype=bool)
-    source = np.zeros(n, dtype=np.int64)
-    value = scores[0].copy()
-    for t in range(1, n):
-        top = int(value.argmax())
-        moved = value[top] - penalty
-        switched[t] = value < moved
-        source[t] = top
-        value = np.maximum(value, moved) + scores[t]
-    out = np.empty(n, dtype=np.int64)
-    out[-1] = at = int(value.argmax())
-    for t in range(n - 1, 0, -1):
-        if switched[t, at]:
-            at = int(source[t])
-        out[t - 1] = at
+    """The labels of the highest sum of scores, less *penalty* for each switch.
+
+    Rows hold one number per language, so plain lists are quicker than arrays.
+    """
+    rows = scores.tolist()
+    value = rows[0]
+    values = [value]
+    for row in rows[1:]:
+        moved = max(value) - penalty
+        value = [(v if v > moved else moved) + s for v, s in zip(value, row)]  # noqa: B905
+        values.append(value)
+    out = np.empty(len(rows), dtype=np.int64)
+    out[-1] = at = value.index(max(value))
+    for t in range(len(rows) - 2, -1, -1):
+        value = values[t]
+        high = max(value)
+        if value[at] < high - penalty:
+            at = value.index(high)
+        out[t] = at
     return out
 
 

@@ -113,7 +113,8 @@ def test_spans_scripts_and_edges(spark):
     q = spark.createDataFrame(asked, "doc_id long, text string").withColumn("lang", F.lit("xx"))
     got = sorted(((r.row.doc_id, r) for r in langid.identify(q, model).collect()), key=lambda x: str(x[0]))
     named = [(i, r.lang) for i, r in got]
-    assert named == [(1, "de"), (2, "ru"), (3, "und"), (4, "und"), (5, "und"), (6, "en"), (6, "en"), (7, "en"), (None, "de")] or named[0] == (1, "en")
+    assert named[0] in ((1, "en"), (1, "de"))  # half of each
+    assert named[1:] == [(2, "ru"), (3, "und"), (4, "und"), (5, "und"), (6, "en"), (6, "en"), (7, "en"), (None, "de")]
     by = dict(got)
     assert [(s.lang, s.end - s.start) for s in by[1].spans] == [("en", 20), ("de", 20)]
     assert [s.lang for s in by[7].spans] == ["en", "ru"] and by[3].score == 0 and by[6].letters > 0
