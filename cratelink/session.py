@@ -5,9 +5,16 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether Spark deletes the shuffle files of a query when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Paths staged in the open ``scratch`` blocks, innermost last.
+_scratch: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
@@ -39,16 +46,43 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{app}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables staged inside the block when it ends.
+
+    What is read after the block must be staged with ``keep``, and so depends on none of
+    the deleted ones: a lost executor never needs them again.
+    """
+    paths: list[str] = []
+    _scratch.append(paths)
+    try:
+        yield
+    finally:
+        _scratch.pop()
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for path in map(hadoop, paths):
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stage(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write *df* once and read it back.
 
     Cuts the lineage (a lost executor re-reads files instead of recomputing the
     upstream joins), lets several consumers share one computation, and gives the
-    optimizer true sizes, so broadcast decisions rest on measured bytes.
+    optimizer true sizes, so broadcast decisions rest on measured bytes. The shuffle
+    files of the write go when it ends, since nothing reads them again. In a ``scratch``
+    block the table goes at the end of the block, with *keep* of the block around it.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    if len(_scratch) > keep:
+        _scratch[-1 - keep].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cratelink.operators import gates, merge, playlists, position, runs, search, waterfall
 from cratelink.schemas import MATCHED_COLUMNS, PURCHASE_COLUMNS
+from cratelink.session import scratch, shared_dir, stage
 from cratelink.sinks import playlists as playlist_sink
 from cratelink.sinks import tables
 from cratelink.sources import candidates, catalog, logs, purchases, remote
@@ -285,3 +286,18 @@ def test_private_folder_is_for_local_masters_only():
     for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]", "k8s://https://host"):
         with pytest.raises(ValueError, match="checkpoint"):
             check_private(master)
+
+
+def test_scratch_keeps_what_is_asked_for(spark):
+    def folders(label):
+        return list(Path(shared_dir(spark), spark.sparkContext.applicationId).glob(f"{label}-*"))
+
+    rows = spark.range(50).groupBy((F.col("id") % 7).alias("k")).count()
+    with scratch(spark):
+        with scratch(spark):
+            stage(rows, "inner")
+            kept = stage(rows, "kept", keep=True)
+        assert not folders("inner") and kept.count() == 7
+        lasting = stage(kept, "lasting", keep=True)
+    assert not folders("kept") and lasting.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
