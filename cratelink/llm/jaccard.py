@@ -10,8 +10,9 @@ m of both, and if lengths, places, and what comes after the prefix that ends fir
 room for the overlap needed.
 
 Groups of thousands of near copies are not expanded into pairs. Before the join, nodes
-that share a min-hash with many others are compared with one changing member of each such
-group; the links found make classes, and the join then only looks at pairs across classes. This
+that share a min-hash with many others are compared with one member of the largest class of
+each such group, another one each time, until that finds no more links; the links make
+classes, and the join then only looks at pairs across classes. This
 loses no link between classes, so the classes are exact: prefixes only skip pairs that
 cannot reach the threshold or are in one class already.
 
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cratelink.llm.common import LOWER_TABLE, SLICE_BYTES, batch_of, map_text, mixed, prepare, word_hashes
-from cratelink.session import stage
+from cratelink.session import scratch, stage
 
 SHINGLE = 5
 #: Similarity, in hundredths.
@@ -43,8 +44,8 @@ PERCENT = 75
 MATCHES = 4
 #: Cost of verifying a candidate, in met prefix shingles.
 VERIFY = 20
-#: Min-hashes of a set, and how many two sets must agree in to be compared early.
-KEYS, AGREE = 6, 3
+#: Min-hashes of a set, how many two sets must agree in to be compared early, and rounds of that.
+KEYS, AGREE, TURNS = 6, 3, 4
 #: Nodes of one min-hash above which they are compared early; fewer are left to the join.
 CROWD = 16
 #: Frequent shingles that the order knows; shingles counted together before counts of one are dropped.
@@ -233,7 +234,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
     a = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a"))
     b = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
-    both = pairs.join(a, "a").join(b, "b")
+    # Only the wanted sets are exchanged.
+    both = pairs.join(a, "a").join(b.join(pairs.select("b").distinct(), "b"), "b")
     shared = F.size(F.array_intersect("items_a", "items_b"))
     union = F.size("items_a") + F.size("items_b") - shared
     return both.where(100 * shared >= percent * union).select("a", "b")
@@ -255,37 +257,51 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _early_links(nodes: DataFrame, docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links between nodes that agree in min-hashes, enough to hold large groups together."""
-    own = nodes.select("node", F.posexplode("keys").alias("j", "key"))
-    seat = F.struct(F.xxhash64("node", "j").alias("h"), F.col("node").alias("rep"))
-    groups = own.groupBy("j", "key").agg(F.count("*").alias("n"), F.min(seat).alias("seat"))
-    groups = groups.where(F.col("n") > CROWD)
-    groups = stage(groups.select("j", "key", F.col("seat.rep").alias("rep")), "join-groups")
-    met = own.join(groups, ["j", "key"]).where("node <> rep").groupBy("node", "rep")
-    met = met.agg(F.count("*").alias("agree"), F.min("j").alias("j")).where(F.col("agree") >= AGREE)
-    sizes = nodes.select(F.col("node").alias("rep"), F.col("n").alias("rep_n"))
-    met = met.join(nodes.select("node", "n"), "node").join(sizes, "rep").where(_fits("n", "rep_n", percent))
-    met = stage(met.select(F.col("node").alias("a"), F.col("rep").alias("b"), "j"), "join-early")
-    wanted = met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct()
-    sets = stage(gathered(docs, wanted.join(nodes.select("node", "rep"), "node")), "join-sets")
-    edges = labels = None
-    for j in range(0, KEYS, 2):
-        pairs = met.where(F.col("j").isin(j, j + 1)).select("a", "b")
-        if labels is not None:
-            pairs = _across(pairs, labels)
-        found = stage(verified(pairs, sets, percent), "join-links")
-        edges = found if edges is None else edges.unionByName(found)
-        labels = components(edges)
-    return edges, labels
-
-
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends are not in one class already."""
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (a class for every node) after *links*: only classes are linked, not their members."""
     of = lambda end: labels.select(F.col("node").alias(end), F.col("comp").alias(f"comp_{end}"))
-    out = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    same = F.coalesce(F.col("comp_a") == F.col("comp_b"), F.lit(False))
-    return out.where(~same).select("a", "b")
+    between = links.join(of("a"), "a").join(of("b"), "b").where("comp_a <> comp_b")
+    between = between.select(F.least("comp_a", "comp_b").alias("a"), F.greatest("comp_a", "comp_b").alias("b"))
+    new = components(between).select(F.col("node").alias("comp"), F.col("comp").alias("new"))
+    out = labels.join(new, "comp", "left").select("node", F.coalesce("new", "comp").alias("comp"))
+    return stage(out, "join-labels")
+
+
+def _early_classes(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Classes of the nodes that agree in min-hashes with many others (``node``, ``comp``).
+
+    In every group of a min-hash a member of the largest class, another one each time, is
+    compared with all nodes outside that class, until no comparison finds a link. So the
+    few that a member is too far from are met by the next ones, and what is left over is
+    far from most of the class. The work of a round is linear in the nodes of the groups.
+    """
+    own = nodes.select("node", F.posexplode("keys").alias("j", "key"))
+    sizes = own.groupBy("j", "key").agg(F.count("*").alias("size")).where(F.col("size") > CROWD)
+    live = own.join(stage(sizes, "join-groups"), ["j", "key"])
+    # Two nodes that agree in so many keys share so many groups.
+    full = live.groupBy("node").agg(F.count("*").alias("keys"), F.sum("size").alias("degree")).where(F.col("keys") >= AGREE)
+    live = stage(live.join(full.select("node", "degree"), "node").select("j", "key", "node", "degree"), "join-crowds")
+    known = stage(live.select("node").distinct().join(nodes, "node").select("node", "rep", "n", "keys"), "join-early")
+    sets = stage(gathered(docs, known), "join-sets")
+    labels = stage(known.select("node", F.col("node").alias("comp")), "join-labels")
+    other = known.select(F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("keys").alias("pivot_keys"))
+    agree = F.size(F.filter(F.arrays_zip("keys", "pivot_keys"), lambda z: z["keys"] == z["pivot_keys"]))
+    for turn in range(TURNS):
+        rows = live.join(labels, "node")
+        # The middle of a group has the fullest groups; later on any member will do.
+        seat = F.col("degree") if turn == 0 else F.xxhash64("node", F.lit(turn))
+        parts = rows.groupBy("j", "key", "comp").agg(F.count("*").alias("c"), F.max(F.struct(seat.alias("seat"), "node")).alias("of"))
+        best = F.struct("c", "of.seat", F.col("of.node").alias("node"), "comp")
+        tops = parts.groupBy("j", "key").agg(F.max(best).alias("top"), F.count("*").alias("classes")).where("classes > 1")
+        met = rows.join(tops.select("j", "key", "top"), ["j", "key"]).where("comp <> top.comp")
+        met = met.select("node", F.col("top.node").alias("pivot")).distinct().join(known.drop("rep"), "node").join(other, "pivot")
+        met = met.where(_fits("n", "m", percent) & (agree >= AGREE))
+        met = stage(met.select(F.col("node").alias("a"), F.col("pivot").alias("b")), "join-pairs")
+        links = stage(verified(met, sets, percent), "join-links")
+        if links.isEmpty():
+            break
+        labels = merged(labels, links)
+    return labels
 
 
 def _fits(n: str, m: str, percent: int) -> Column:
@@ -362,7 +378,7 @@ def _candidates(docs: DataFrame, nodes: DataFrame, order: Order, labels: DataFra
     )
     # Up to where the first of the two prefixes ends, both sets were looked at whole.
     enough = (F.col("shared") >= F.col("matches")) & (F.col("shared") + F.col("end.rest") >= F.col("need"))
-    return stage(sums.where(enough).select("a", "b"), "join-candidates")
+    return stage(sums.where(enough).select("a", "b"), "join-candidates", keep=True)
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -372,21 +388,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     if it has no links) and ``same_set`` (the least id of the documents of an equal set).
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = stage(described(source), "join-described")
-    own = found.where("kind = 0")
-    nodes = own.where("n > 0 and id is not null").groupBy("node")
-    nodes = stage(nodes.agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("keys").alias("keys")), "join-nodes")
-    order = _order(found)
-    edges, labels = _early_links(nodes, source, percent)
-    pairs = _candidates(source, nodes, order, labels, percent)
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = stage(gathered(source, ends.join(nodes.select("node", "rep"), "node")), "join-sets")
-    edges = edges.unionByName(verified(pairs, sets, percent))
-    labels = components(edges)
-    classes = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
-    classes = stage(classes, "join-classes")
-    least = stage(classes.groupBy("comp").agg(F.min("rep").alias("component")), "join-least")
-    classes = stage(classes.join(least, "comp").select("node", "rep", "component"), "join-classes")
+    with scratch(docs.sparkSession):
+        own, classes = _classes(source, percent)
     out = own.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("node")).alias("node"))
     lone = out.where("node is null").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component"), F.col("id").alias("same_set"))
     return (
@@ -395,3 +398,23 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
         .select("id", F.col("n").alias("n_shingles"), "component", F.col("rep").alias("same_set"))
         .unionByName(lone)
     )
+
+
+def _classes(source: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Size and node of every row, and of every node its least id (``rep``) and that of its class."""
+    found = stage(described(source), "join-described")
+    own = stage(found.where("kind = 0").select("id", "n", "node"), "join-own", keep=True)
+    nodes = found.where("kind = 0 and n > 0 and id is not null").groupBy("node")
+    nodes = stage(nodes.agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("keys").alias("keys")), "join-nodes")
+    with scratch(source.sparkSession):
+        labels = stage(_early_classes(nodes, source, percent), "join-early-classes", keep=True)
+    nodes = nodes.drop("keys")
+    with scratch(source.sparkSession):
+        pairs = _candidates(source, nodes, _order(found), labels, percent)
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = stage(gathered(source, ends.join(nodes.select("node", "rep"), "node")), "join-sets")
+    every = nodes.join(labels, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+    labels = merged(stage(every, "join-labels"), stage(verified(pairs, sets, percent), "join-links"))
+    classes = stage(nodes.join(labels, "node").select("node", "rep", "comp"), "join-classes")
+    least = classes.groupBy("comp").agg(F.min("rep").alias("component"))
+    return own, stage(classes.join(least, "comp").select("node", "rep", "component"), "join-classes", keep=True)
