@@ -31,7 +31,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cratelink.llm.common import LOWER_TABLE, SLICE_BYTES, batch_of, map_text, mixed, prepare, word_hashes
@@ -356,14 +356,19 @@ def _candidates(docs: DataFrame, nodes: DataFrame, order: Order, labels: DataFra
     sizes = entries.groupBy("shingle", "comp").agg(F.count("*").alias("c"))
     tops = sizes.groupBy("shingle").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("classes"))
     tops = stage(tops.where("classes > 1").select("shingle", F.col("top.comp").alias("top")), "join-shared")
-    entries = stage(entries.join(tops, "shingle"), "join-contested")
+    # What two classes share before a place is contested in both prefixes, so the contested before it bound that.
+    order_of = Window.partitionBy("node").orderBy("place")
+    entries = entries.join(tops, "shingle").withColumn("before", F.dense_rank().over(order_of) - 1)
+    # No partner asks for less than this.
+    entries = entries.where(100 * (F.col("before") + F.col("n") - F.col("place")) >= percent * F.col("n"))
+    entries = stage(entries, "join-contested")
     # The largest class of a shingle meets all others, but never itself.
     rest = entries.where("comp <> top")
     left = entries.alias("x")
     right = rest.alias("y")
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     need = F.ceil(percent * (x("n") + y("n")) / (100 + percent))
-    room = F.least(x("place"), y("place")) + F.least(x("n") - x("place"), y("n") - y("place"))
+    room = F.least(x("before"), y("before")) + F.least(x("n") - x("place"), y("n") - y("place"))
     once = (x("comp") == x("top")) | (x("node") < y("node"))
     on = (x("shingle") == y("shingle")) & (x("comp") != y("comp")) & once & _fits("x.n", "y.n", percent) & (room >= need)
     pairs = left.join(right, on).select(
