@@ -416,6 +416,7 @@ ORACLES["props_snapshot"] = """
 select cast(json_extract_string(props, '$.k') as bigint) as id, arg_max(event_type, event_id) as name,
   cast(arg_max(case event_id % 6 when 0 then 1 when 2 then 7 when 5 then cast(json_extract_string(props, '$.k') as int) else 0 end, event_id) as integer) as bpm,
   max(event_id) as length_ms, max(event_id) as version from events group by 1"""
+ORACLES["cache_landings"] = ORACLES["props_snapshot"]
 ORACLES["snapshot_lookup"] = """
 with c as (select o_orderkey as id from orders where o_orderkey % 5 <> 0)
 select case when c.id is null then 'error' else 'matched' end as status, count(*) as n, count(distinct l_orderkey) as ids
@@ -598,6 +599,7 @@ with {_BASE} select seq, '{{"path":"' || cast(seq as varchar) || '","status":"'
 ORACLES["upsert_first_wins"] = """
 select conv_id, turn, role, md5(text) as text_key from conversations
 qualify row_number() over (partition by conv_id order by turn) = 1"""
+ORACLES["catalog_landings"] = ORACLES["upsert_first_wins"]
 ORACLES["purchase_flatten"] = f"""
 with {_BASE} select case when id = 0 then '' else cast(id as varchar) end as track_id, name as title, artists || ', Guest' as artists,
   '' as remixers, case when id % 2 = 0 then 'House' else '' end as genre, case when id % 3 = 0 then '$1.49' else '' end as price,
@@ -620,6 +622,7 @@ ORACLES["csv_roundtrip"] = f"""
 with {_BASE} select case when id = 0 then '' else cast(id as varchar) end as track_id,
   name || chr(13) || chr(10) || '"x", y' as title, case when id % 2 = 0 then 'House' else '' end as genre,
   case when id % 4 = 0 then '' else cast(id % 4 as varchar) end as bpm from fx_candidates"""
+ORACLES["csv_blocks"] = ORACLES["csv_roundtrip"]
 ORACLES["matched_roundtrip"] = f"""
 with {_BASE} select t as track_id, '/m/' || t as path, 18 as n_columns
 from (select case when id = 0 then '' else cast(id as varchar) end as t from fx_candidates)"""
@@ -638,6 +641,7 @@ where status = 'matched' and ((seq % 2 = 0 and seq <> 0) or seq % 4 = 1)"""
 ORACLES["manifest_roundtrip"] = f"""
 with {_TAGS} select path, artist, title, duration_ms, array_to_string(missing, '|') as missing
 from profile join tags using (path) where len(missing) > 0"""
+ORACLES["manifest_blocks"] = ORACLES["manifest_roundtrip"]
 ORACLES["merge_publish"] = ORACLES["merge_result"].rsplit("select f.seq,", 1)[0] + """
 select f.seq, case when f.seq % 10 = 0 then f.artist else coalesce(w.artist, f.artist) end as artist,
   case when f.seq % 10 = 0 then f.title else coalesce(w.title, f.title) end as title,
@@ -645,6 +649,7 @@ select f.seq, case when f.seq % 10 = 0 then f.artist else coalesce(w.artist, f.a
   case when f.seq % 10 = 0 then f.genre else coalesce(w.genre, f.genre) end as genre,
   case when f.seq % 10 = 0 then f.date else coalesce(w.date, f.date) end as date
 from fx_files f left join wide w using (seq)"""
+ORACLES["publish_versions"] = ORACLES["merge_publish"]
 
 # --- playlists --------------------------------------------------------------------
 

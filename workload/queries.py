@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from contextlib import suppress
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,9 +20,10 @@ from cratelink.plans import enrich
 from cratelink.session import new_path, stage
 from cratelink.sinks import playlists as playlist_sink
 from cratelink.sinks import tables as table_sink
+from cratelink.sinks import versions
 from cratelink.sources import candidates as candidate_source
 from cratelink.sources import catalog as catalog_source
-from cratelink.sources import logs, purchases, remote
+from cratelink.sources import blocks, logs, purchases, remote
 from cratelink.streaming import jobs
 from workload.views import CATALOG_FIELDS, PURCHASE_FIELDS, table, view
 
@@ -527,9 +529,8 @@ def snapshot_roundtrip(spark, sf):
     return candidate_source.parse_snapshots(texts).select("id", "name", "mix_name", "bpm", "length_ms", "artwork_url")
 
 
-@query
-def props_snapshot(spark, sf):
-    """Loose snapshots out of the event properties; the latest per id stays in the cache."""
+def _loose_snapshots(spark, sf) -> DataFrame:
+    """Snapshots out of the event properties, of loose types; the event is their version."""
     events = table(spark, sf, "events")
     k = F.get_json_object("props", "$.k")
     forms = ["true", '"bad"', "7.9", '"7.9"', '"true"']
@@ -541,9 +542,38 @@ def props_snapshot(spark, sf):
     body = F.concat_ws(", ", *[F.concat(F.lit(f'"{n}": '), v) for n, v in parts])
     loose = F.concat(F.lit("{"), body, F.lit("}"))
     rows = candidate_source.parse_snapshots(events.select("event_id", loose.alias("value")), keep=("event_id",))
-    cache = rows.filter("event_id % 2 = 0").select("id", "name", "bpm", "length_ms", F.col("event_id").alias("version"))
-    landed = rows.filter("event_id % 2 = 1").select("id", "name", "bpm", "length_ms", F.col("event_id").alias("version"))
-    return candidate_source.merge_cache(cache, landed)
+    return rows.select("id", "name", "bpm", "length_ms", F.col("event_id").alias("version"))
+
+
+@query
+def props_snapshot(spark, sf):
+    """Loose snapshots out of the event properties; the latest per id stays in the cache."""
+    rows = _loose_snapshots(spark, sf)
+    return candidate_source.merge_cache(rows.filter("version % 2 = 0"), rows.filter("version % 2 = 1"))
+
+
+@query
+def cache_landings(spark, sf):
+    """The same cache kept in buckets: one large landing, then those of each tenth id and the rest."""
+    rows = stage(_loose_snapshots(spark, sf), "snapshots")
+    root = new_path(spark, "cache")
+    for part in ("version % 2 = 0", "version % 2 = 1 and id % 10 = 0", "version % 2 = 1 and id % 10 <> 0"):
+        versions.update(rows.filter(part), root, "id", candidate_source.merge_cache)
+    return versions.read(spark, root)
+
+
+@query
+def catalog_landings(spark, sf):
+    """Turns landed twice into a bucketed catalog; the first of each conversation stays."""
+    turns = stage(table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"), "turns")
+    root = new_path(spark, "catalog")
+
+    def first_wins(old: DataFrame, new: DataFrame) -> DataFrame:
+        return old.unionByName(catalog_source.upsert(old, new, "conv_id", "turn"))
+
+    for part in (turns.filter("conv_id % 3 = 0"), turns):
+        versions.update(part, root, "conv_id", first_wins)
+    return versions.read(spark, root).select("conv_id", "turn", "role", F.md5("text").alias("text_key"))
 
 
 @query
@@ -950,6 +980,19 @@ def csv_roundtrip(spark, sf):
     )
 
 
+@query
+def csv_blocks(spark, sf):
+    """The same files cut into blocks of 64 KB, whose records are put together again."""
+    rows = purchases.parse_tracks(_track_json(spark, sf))
+    rows = rows.withColumn("Title", F.concat("Title", F.lit('\r\n"x", y')))
+    path = new_path(spark, "purchases-csv")
+    table_sink.write_purchases(rows, path)
+    back = blocks.read_csv(spark, path, block_bytes=1 << 16)
+    return back.select(
+        F.col("`Track ID`").alias("track_id"), F.col("Title").alias("title"), F.col("Genre").alias("genre"), F.col("BPM").alias("bpm")
+    )
+
+
 @query
 def matched_roundtrip(spark, sf):
     """Purchases with their path written as the matched table and read back."""
@@ -1028,6 +1071,38 @@ def manifest_roundtrip(spark, sf):
     return back.select("path", "artist", "title", "duration_ms", _joined("missing").alias("missing"))
 
 
+@query
+def manifest_blocks(spark, sf):
+    """Sparse entries written as JSON arrays on one line each, read in blocks of 64 KB."""
+    entries = enrich.sparse(_tag_table(spark, sf)).select("path", "artist", "title", "duration_ms", "missing")
+    entries = stage(entries, "entries")
+    # Arrays of about 200 entries, however many there are.
+    array = F.pmod(F.xxhash64("path"), F.lit(entries.count() // 200 + 1)).alias("array")
+    texts = entries.select(array, F.to_json(F.struct(*entries.columns)).alias("entry"))
+    lines = texts.groupBy("array").agg(F.concat(F.lit("[1, "), F.array_join(F.collect_list("entry"), ", "), F.lit("]")).alias("value"))
+    root = new_path(spark, "manifest-array")
+    lines.select("value").write.text(root)
+    back = blocks.read_manifest(spark, root, block_bytes=1 << 16)
+    return back.select("path", "artist", "title", "duration_ms", _joined("missing").alias("missing"))
+
+
+@query
+def publish_versions(spark, sf):
+    """A published table after a publish that the audit refuses, and one that it lets pass."""
+    current, new = _merge_tables(spark, sf)
+    columns = ["seq", "artist", "title", "album", "genre", "date"]
+    root = new_path(spark, "published")
+    versions.publish(current.select(*columns), root, "seq")
+    before = versions.read(spark, root)
+    after = merge.merged(before, new, "seq").drop("updated").select(*columns)
+    with suppress(versions.Refused):
+        versions.publish(after.filter("seq % 2 = 0"), root, "seq", audit=versions.same_keys("seq"))
+    verdict = before.select("seq", (F.col("seq") % 10 != 0).alias("ok"))
+    out = merge.publishable(before, after, verdict, "seq")
+    versions.publish(out, root, "seq", audit=versions.same_keys("seq"))
+    return versions.read(spark, root)
+
+
 @query
 def merge_publish(spark, sf):
     """Rows as published: merged where the check passed, as before where it did not."""
