@@ -1,28 +1,41 @@
 """Personal data: pattern rules give seeds, and contexts learned from them find more.
 
-Seeds are the spans that the four base rules accept. Every seed, and every other token
-that looks like an identifier (it holds a digit, ``@`` or ``_``), is an instance; the
-words around it make its lexical patterns. The graph of patterns and instances is scored
+Seeds are the spans that the four base rules accept. Every seed, and everything else that
+looks like an identifier, is an instance: tokens of four characters or more that hold a
+digit, ``@`` or ``_``, and runs of neighbouring numbers, such as ``(555) 123-4567``. A
+token over LONG characters is an instance, and so is each such part of it that punctuation
+cuts off. The words around an instance (of the NEAR characters on either side) make its
+lexical patterns. The graph of patterns and instances is scored
 in rounds: a pattern is as good for a kind as its instances are, an instance as good as
 the good patterns it stands in make it. Tokens met by patterns of high confidence are
-spans of that kind too. Base spans always stay; an added span never overlaps one.
+spans of that kind too. Base spans always stay; an added span never overlaps one. Where a long
+token and parts of it are found, all are spans.
 
 Nulls and empty texts have no spans. Rows are independent but for the learned patterns:
 repeated rows repeat their result and count once per distinct instance. Ties between kinds
-go to the kind named first. An empty table gives an empty result.
+go to the kind named first. An empty table gives an empty result. Kept columns may have any
+names, as they travel in ``row``. A text of any length is one row of one task; instances over
+LONG characters are told apart by their SHA-256. Only texts with added spans, and those few
+that a bit filter takes for such, are exchanged to meet them.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterable, Iterator, Sequence
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import groupby
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cratelink.llm.common import batch_of, map_text, row_of, schema_of, strings
-from cratelink.session import stage
+from cratelink.llm.jaccard import DOC_BITS, _bits, _held
+from cratelink.session import scratch, stage
 
 KINDS = ("email", "ip", "card", "phone")
 #: Distinct instances, seeds among them, that a pattern must stand around.
@@ -39,10 +52,14 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@_]")
 _EDGE = "\"'()[]{}<>.,;:!?"
-#: Characters on either side of a token in which its neighbours are looked for.
-_NEAR = 80
-#: Longest token that can be an instance; longer runs are blobs, not identifiers.
-_LONGEST = 128
+#: Characters on either side of an instance in which its neighbours are looked for.
+NEAR = 80
+#: Tokens longer than this are also looked into at their punctuation.
+LONG = 128
+_PART = re.compile(r"[^\s\"'()\[\]{}<>,;:|=&!?]+")
+#: Neighbouring numbers, each of them a whole token.
+_NUMBER = r"\(?\+?[0-9][0-9().+/-]*+(?=[\s,;:!?\"'\]}>]|\Z)"
+_NUMBERS = re.compile(rf"(?<![^\s\"'\[{{<:;,]){_NUMBER}(?:[\x20\t]{{1,2}}{_NUMBER})+")
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -98,14 +115,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return [(k, a, b) for k, rule in enumerate(RULES.values()) for a, b in rule(text)]
 
 
-def _words(text: str) -> list[str]:
-    return [w for w in (x.strip(_EDGE).lower() for x in text.split()) if w]
+def _words(text: str, inside: bool = False) -> list[str]:
+    words = _PART.findall(text) if inside else text.split()
+    return [w for w in (x.strip(_EDGE).lower() for x in words) if w]
 
 
-def patterns(text: str, start: int, end: int) -> list[str]:
-    """The lexical contexts of a span: words before, after, and on both sides."""
-    before = _words(text[max(0, start - _NEAR) : start])[-2:]
-    after = _words(text[end : end + _NEAR])[:1]
+def patterns(text: str, start: int, end: int, inside: bool = False) -> list[str]:
+    """The lexical contexts of a span: words before, after, and on both sides.
+
+    *inside* a long token, punctuation parts words as white space does.
+    """
+    before = _words(text[max(0, start - NEAR) : start], inside)[-2:]
+    after = _words(text[end : end + NEAR], inside)[:1]
     out = []
     if before:
         out.append(f"{before[-1]} *")
@@ -116,10 +137,46 @@ def patterns(text: str, start: int, end: int) -> list[str]:
     return out
 
 
-def other_tokens(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Identifier-like tokens, without the punctuation at their ends, outside *taken*."""
-    blocked = sorted((a, b) for _, a, b in taken)
-    done = at = 0
+class Taken:
+    """Parts of a text that are spoken for."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end in sorted(spans):
+            if self.ends and start <= self.ends[-1]:
+                self.ends[-1] = max(end, self.ends[-1])
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def free(self, start: int, end: int) -> bool:
+        at = bisect_right(self.ends, start)
+        return at == len(self.ends) or end <= self.starts[at]
+
+
+def _numbers(text: str, base: Taken) -> Iterator[tuple[int, int]]:
+    """Runs of two or more neighbouring numbers outside *base*, without brackets and points that do not belong."""
+    for m in _NUMBERS.finditer(text):
+        tokens = (t.span() for t in re.finditer(r"\S+", m[0]))
+        tokens = ((m.start() + a, m.start() + b) for a, b in tokens)
+        for free, group in groupby(tokens, lambda t: base.free(*t)):
+            run = list(group)
+            if not free or len(run) < 2:
+                continue
+            start, end = run[0][0], run[-1][1]
+            while text[end - 1] in ".(+/-":
+                end -= 1
+            if text[end - 1] == ")" and text.rfind("(", start, end) < 0:
+                end -= 1
+            if text[start] == "(" and text.find(")", start, end) < 0:
+                start += 1
+            yield start, end
+
+
+def _tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Tokens between white space that hold a mark."""
+    done = 0
     for m in _MARK.finditer(text):
         if m.start() < done:
             continue
@@ -130,14 +187,36 @@ def other_tokens(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple
         while end < len(text) and not text[end].isspace():
             end += 1
         done = end
-        while start < end and text[start] in _EDGE:
-            start += 1
-        while end > start and text[end - 1] in _EDGE:
-            end -= 1
-        while at < len(blocked) and blocked[at][1] <= start:
-            at += 1
-        if 4 <= end - start <= _LONGEST and not (at < len(blocked) and blocked[at][0] < end):
-            yield start, end
+        yield start, end
+
+
+def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    while start < end and text[start] in _EDGE:
+        start += 1
+    while end > start and text[end - 1] in _EDGE:
+        end -= 1
+    return start, end
+
+
+def others(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, bool]]:
+    """What looks like an identifier outside *spans*: start, end, and whether it is inside a token."""
+    base = Taken((a, b) for _, a, b in spans)
+    runs = list(_numbers(text, base))
+    yield from ((a, b, False) for a, b in runs)
+    in_runs = Taken(runs)
+    for start, end in _tokens(text):
+        a, b = _trimmed(text, start, end)
+        if b - a >= 4 and base.free(a, b) and in_runs.free(a, b):
+            yield a, b, False
+        if b - a > LONG:
+            for part in _PART.finditer(text, a, b):
+                c, d = _trimmed(text, *part.span())
+                if 4 <= d - c < b - a and _MARK.search(text, c, d) and base.free(c, d):
+                    yield c, d, True
+
+
+def _instance(text: str) -> str:
+    return text if len(text) <= LONG else hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 _SPAN = "struct<kind:int,start:int,end:int>"
@@ -174,12 +253,11 @@ def extracted(docs: DataFrame, keep: Sequence[str], text_col: str) -> DataFrame:
             for text in strings(batch.column(1)):
                 spans = base_spans(text)
                 base.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
-                rest = [(-1, a, b) for a, b in other_tokens(text, spans)]
+                every = [(*s, False) for s in spans] + [(-1, *s) for s in others(text, spans)]
                 found.append(
                     [
-                        {"kind": k, "start": a, "end": b, "instance": text[a:b], "patterns": patterns(text, a, b)}
-                        for k, a, b in spans + rest
-                        if b - a <= _LONGEST
+                        {"kind": k, "start": a, "end": b, "instance": _instance(text[a:b]), "patterns": patterns(text, a, b, inside)}
+                        for k, a, b, inside in every
                     ]
                 )
             fields = [("key", pa.int64()), ("row", batch.schema.field(0).type), ("base", _SPAN_PA), ("found", _FOUND_PA)]
@@ -197,7 +275,7 @@ def scored(edges: DataFrame, rounds: int, support: int, confidence: float) -> Da
     edges = stage(edges.join(size, "pattern"), "pii-edges")
     seeds = edges.where("seed >= 0").groupBy("instance", F.col("seed").alias("kind")).agg(F.lit(1.0).alias("score"))
     scores = seeds
-    for _ in range(rounds):
+    for turn in range(rounds):
         good = (
             edges.join(scores, "instance")
             .groupBy("pattern", "kind")
@@ -209,6 +287,8 @@ def scored(edges: DataFrame, rounds: int, support: int, confidence: float) -> Da
             .select("pattern", "kind", "weight")
         )
         good = stage(good, "pii-patterns")
+        if turn == rounds - 1:
+            break
         learned = (
             edges.where("seed < 0")
             .join(good, "pattern")
@@ -234,21 +314,35 @@ def find(
     the base spans and what the learned patterns add.
     """
     table = stage(extracted(docs, keep, text_col), "pii-found")
-    met = table.select("key", F.explode("found").alias("f")).select("key", "f.*")
-    met = met.select("key", "kind", "start", "end", "instance", F.explode("patterns").alias("pattern"))
-    edges = met.groupBy("pattern", "instance").agg(F.max("kind").alias("seed"))
-    good = scored(edges, rounds, support, confidence)
-    added = (
-        met.where("kind < 0")
-        .select("key", "start", "end", "pattern")
-        .join(good, "pattern")
-        .groupBy("key", "start", "end")
-        .agg(F.min(F.struct(-F.col("weight"), "kind")).alias("best"))
-        .groupBy("key")
-        .agg(F.collect_list(F.struct(F.col("best.kind").alias("kind"), "start", "end")).alias("added"))
-    )
+    with scratch(docs.sparkSession):
+        met = table.select("key", F.explode("found").alias("f")).select("key", "f.*")
+        met = met.select("key", "kind", "start", "end", "instance", F.explode("patterns").alias("pattern"))
+        edges = met.groupBy("pattern", "instance").agg(F.max("kind").alias("seed"))
+        good = scored(edges, rounds, support, confidence)
+        best = (
+            met.where("kind < 0")
+            .select("key", "start", "end", "pattern")
+            .join(good, "pattern")
+            .groupBy("key", "start", "end")
+            .agg(F.min(F.struct(-F.col("weight"), "kind")).alias("best"))
+        )
+        added = best.groupBy("key").agg(F.collect_list(F.struct(F.col("best.kind").alias("kind"), "start", "end")).alias("added"))
+        added = stage(added, "pii-added", keep=True)
+    rows, maybe = table.drop("found"), _among(added)
     spans = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(f"array<{_SPAN}>"))))
-    return table.join(added, "key", "left").select("row", "base", spans.alias("spans"))
+    with_added = rows.where(maybe("key")).join(added, "key", "left").select("row", "base", spans.alias("spans"))
+    return with_added.unionByName(rows.where(~maybe("key")).select("row", "base", F.array_sort("base").alias("spans")))
+
+
+def _among(added: DataFrame) -> Callable[[str], Column]:
+    """Whether a key may be one of *added*: a bit filter of fixed size, which errs towards yes."""
+    bits = added.sparkSession.sparkContext.broadcast(_bits(added, "key", DOC_BITS))
+
+    @F.pandas_udf("boolean")
+    def among(keys: pd.Series) -> pd.Series:
+        return pd.Series(_held(bits.value, keys.to_numpy().astype(np.int64), DOC_BITS))
+
+    return among
 
 
 def span_texts(spans: str) -> F.Column:

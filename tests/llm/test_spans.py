@@ -1,6 +1,7 @@
 """Decontamination, personal data, licenses: against plain Python over whole small tables."""
 
 import hashlib
+import random
 import re
 from pathlib import Path
 
@@ -159,6 +160,69 @@ def test_contexts_find_unseen_identifiers(spark):
     assert pii.find(d.limit(0)).count() == 0
 
 
+def learned(spark, docs):
+    """Added spans of each document, as texts."""
+    got = pii.find(spark.createDataFrame(docs, "doc_id long, text string"), keep=["doc_id", "text"]).collect()
+    out = {}
+    for r in got:
+        base = {(s.start, s.end) for s in r.base}
+        out[r.row.doc_id] = [r.row.text[s.start : s.end] for s in r.spans if (s.start, s.end) not in base]
+    return out
+
+
+def test_contexts_find_numbers_with_blanks(spark):
+    docs = [(i, f"noise word{i}x my phone number is +1 555 {1000 + i} {2000 + i} today") for i in range(40)]
+    forms = ["555 123 4567", "(555) 123-4567", "555-123-4567", "4111 1111 1111 1112"]
+    docs += [(100 + i, f"so my phone number is {form} today, or 12 or 13") for i, form in enumerate(forms)]
+    docs += [(200, "in the year 555 123 4567 nothing"), (201, "my phone number is 555 123 4567.")]
+    got = learned(spark, docs)
+    assert [got[100 + i] for i in range(len(forms))] == [[f] for f in forms]
+    assert got[200] == [] and got[201] == ["555 123 4567"] and not any(got[i] for i in range(40))
+
+
+def test_contexts_reach_into_long_tokens(spark):
+    docs = [(i, f"noise word{i}x sent account mail is user{i}@site{i}.org thanks") for i in range(40)]
+    glued = ",".join(f"k{i}=v{i}" for i in range(40))
+    docs += [(100, f"so {glued};sent;account;mail;is;jo_at_site9;{glued} end")]
+    docs += [(101, "so sent account mail is " + "ab_9" * 100 + " thanks")]
+    got = learned(spark, docs)
+    assert got[100] == ["jo_at_site9"] and got[101] == ["ab_9" * 100]
+
+
+def others_by_hand(text, spans):
+    """Single tokens and runs of numbers outside *spans*, token by token."""
+    free = lambda a, b: not any(a < y and x < b for _, x, y in spans)
+    number = re.compile(r"\(?\+?[0-9][0-9().+/-]*")
+    tokens = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+    out, i = set(), 0
+    while i < len(tokens):
+        j = i
+        while j < len(tokens) and free(*tokens[j]) and number.fullmatch(text[slice(*tokens[j])]) and (
+            j == i or re.fullmatch("[ ]{1,2}", text[tokens[j - 1][1] : tokens[j][0]])
+        ):
+            j += 1
+        if j > i + 1:
+            out.add((tokens[i][0], tokens[j - 1][1]))
+            i = j
+            continue
+        a, b = tokens[i]
+        if b - a >= 4 and re.search("[0-9@_]", text[a:b]) and free(a, b):
+            out.add((a, b))
+        i += 1
+    return out
+
+
+def test_other_instances_against_a_plain_scan():
+    rng = random.Random(3)
+    parts = ["12", "5551", "123-45", "(555) 12", "word", "a_b1", "x@y", "é9é9", "10.0.0.1", "1/2/33", "4x44"]
+    for _ in range(300):
+        text = "".join(p + rng.choice([" ", "  ", "   ", "\n"]) for p in rng.choices(parts, k=rng.randint(0, 12)))
+        spans = pii.base_spans(text)
+        assert {(a, b) for a, b, _ in pii.others(text, spans)} == others_by_hand(text, spans), text
+    assert list(pii.others("9" * 200_000, [])) == [(0, 200_000, False)]
+    assert len(list(pii.others("12 " * 100_000, []))) == 1
+
+
 # --- licenses -------------------------------------------------------------------
 
 
