@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet
 and read again as the next stage's docs. All but the last return the columns of
-documents; rows with a null doc_id pass every stage like any others.
+documents; rows with a null doc_id are treated in every stage like any others.
 """
 
 from __future__ import annotations
@@ -34,17 +34,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the least id of each class of linked documents.
+    """Keep one document of each class of linked documents: that of the least doc_id.
 
-    Rows that share an id stay or go together; of equal rows one stays.
+    Rows are told apart by keys of their own, so repeated and null ids are linked like any
+    others. Null ids come last, and of equal ids one row stays. Texts without words link
+    with nothing and stay.
     """
-    rows = docs.select(*COLUMNS)
-    found = jaccard.linked(rows).where("id is not null").groupBy("id")
-    found = found.agg(F.max(F.col("id") == F.col("component")).alias("kept"), F.count("*").alias("n"))
-    odd = stage(found.where("not kept or n > 1"), "pipeline-copies")
-    on = rows["doc_id"] == odd["id"]
-    repeated = rows.join(odd.where("kept"), on).select(*COLUMNS).dropDuplicates()
-    return rows.join(odd, on, "left_anti").unionByName(repeated)
+    rows = stage(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("key")), "pipeline-rows")
+    found = jaccard.linked(rows, id_col="key").select(F.col("id").alias("key"), "component")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    found = found.join(rows.select("key", "doc_id"), "key").select("key", "component", order.alias("place"))
+    found = stage(found, "pipeline-classes")
+    first = found.groupBy("component").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
+    gone = found.join(first, "component").where("place.key <> first.key").select("key")
+    return rows.join(gone, "key", "left_anti").select(*COLUMNS)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
