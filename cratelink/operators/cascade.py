@@ -25,7 +25,7 @@ from cratelink.operators.keys import (
     raw_keys,
 )
 from cratelink.operators.strategies import ALBUM_FITS, OVERLAP, SEP, STRATEGIES, Strategy
-from cratelink.session import stage
+from cratelink.session import shuffled, stage
 
 #: Distinct values per equality group up to which pairs are compared directly.
 GROUP_LIMIT = 64
@@ -79,7 +79,7 @@ def lookup_hits(queries: DataFrame, catalog: DataFrame, strategies: Iterable[Str
     asked = queries.select(
         "qid", F.explode(F.concat(*[_ranked(s) for s in chosen])).alias("o")
     ).select("qid", F.col("o.level").alias("level"), F.col("o.k").alias("k"), F.col("o.sub").alias("sub"))
-    return asked.join(first_rows(offered, "level", "k"), ["level", "k"]).select(
+    return asked.join(shuffled(first_rows(offered, "level", "k")), ["level", "k"]).select(
         "qid", "level", F.expr(f"shiftleft(cast(sub as bigint), {_SUB_SHIFT}) + best").alias("hit")
     )
 
@@ -111,7 +111,7 @@ def grouped_hits(
     asked = spread(queries, "query", "qid")
     wanted = asked.select("grp").distinct()
     offered = first_rows(
-        spread(catalog.withColumn("code", rank_code()), "catalog", "code").join(wanted, "grp", "left_semi"), "grp", "v"
+        spread(catalog.withColumn("code", rank_code()), "catalog", "code").join(shuffled(wanted), "grp", "left_semi"), "grp", "v"
     )
     offered = stage(offered, "grouped")
     crowded = offered.groupBy("grp").count().filter(F.col("count") > group_limit).select("grp")
@@ -122,7 +122,7 @@ def grouped_hits(
     fits = F.contains("q.v", "r.v") | F.contains("r.v", "q.v")
     calm = offered.join(crowded, "grp", "left_anti") if has_crowds else offered
     hits = (
-        q.join(calm.alias("r"), F.col("q.grp") == F.col("r.grp"))
+        q.join(shuffled(calm.alias("r")), F.col("q.grp") == F.col("r.grp"))
         .filter(fits)
         .select("q.qid", "q.grp", "r.best")
     )
@@ -135,13 +135,13 @@ def grouped_hits(
         )
         # One best row per asked value before it meets the queries that ask it.
         best = (
-            pairs.join(busy.withColumnRenamed("v", "r"), ["grp", "r"])
+            pairs.join(shuffled(busy.withColumnRenamed("v", "r")), ["grp", "r"])
             .groupBy("grp", "l")
             .agg(F.min("best").alias("best"))
             .withColumnRenamed("l", "v")
         )
         blank = busy.filter("v = ''").select("grp", "best")
-        hits = hits.unionByName(busy_q.join(best, ["grp", "v"]).select("qid", "grp", "best"))
+        hits = hits.unionByName(busy_q.join(shuffled(best), ["grp", "v"]).select("qid", "grp", "best"))
         hits = hits.unionByName(busy_q.join(blank, "grp").select("qid", "grp", "best"))
     level = F.substring_index("grp", SEP, 1).cast("int")
     return hits.select("qid", level.alias("level"), F.col("best").alias("hit"))
@@ -250,7 +250,7 @@ def link_keys(
     found = None
     if early:
         found = stage(resolve(equality_hits(queries, catalog, early, group_limit), [s.level for s in early]), "found")
-        queries = queries.join(found.select("qid"), "qid", "left_anti")
+        queries = queries.join(shuffled(found.select("qid")), "qid", "left_anti")
     rest = residual.residual_hits(queries, catalog, rules, fan_limit=fan_limit, strict=strict)
     if late:
         rest = rest.unionByName(equality_hits(queries, catalog, late, group_limit))
@@ -260,7 +260,7 @@ def link_keys(
 
 def with_path(found: DataFrame, catalog: DataFrame) -> DataFrame:
     """Links with the path of their catalog row."""
-    return found.join(catalog.select("seq", "path"), "seq")
+    return found.join(shuffled(catalog.select("seq", "path")), "seq")
 
 
 def link(

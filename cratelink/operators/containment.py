@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cratelink.session import stage
+from cratelink.session import shuffled, stage
 
 EXACT = 16
 #: Window lengths: all short ones, then ever coarser steps.
@@ -52,7 +52,7 @@ def inside_pairs(needles: DataFrame, hays: DataFrame) -> DataFrame:
         F.col("v").alias("hay"),
         F.explode(windows("v", "asked")).alias("piece"),
     )
-    return n.join(h, ["grp", "piece"]).filter(F.contains("hay", "needle")).select("grp", "needle", "hay")
+    return n.join(shuffled(h), ["grp", "piece"]).filter(F.contains("hay", "needle")).select("grp", "needle", "hay")
 
 
 def contained_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -124,7 +124,7 @@ def edit_candidates(left: DataFrame, right: DataFrame) -> DataFrame:
         l.filter("n > t")
         .selectExpr("*", f"explode(sequence(t + 1, least(n, t + 1 + {MORE_PARTS}))) as m")
         .selectExpr("l", "n", "t", "m", f"inline({_CUTS})")
-        .join(held, "part", "left")
+        .join(shuffled(held), "part", "left")
         .groupBy("l", "n", "t", "m")
         .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "k", "start", "part"))).alias("parts"))
         .selectExpr("l", "n", "t", "m", "slice(parts, 1, t + 1) as parts")
@@ -137,7 +137,7 @@ def edit_candidates(left: DataFrame, right: DataFrame) -> DataFrame:
         cuts.selectExpr("*", f"explode({_LENGTHS_NEAR}) as d")
         .selectExpr("l", "part", "d.bucket", f"explode({_PLACES}) as place")
     )
-    cut = asked.join(offered, ["bucket", "part", "place"]).select("l", "r")
+    cut = asked.join(shuffled(offered), ["bucket", "part", "place"]).select("l", "r")
     short_l = l.filter("n <= t").withColumn("w", F.expr("explode(sequence(1, 2 + n))"))
     short_r = right.selectExpr("v as r", "length(v) as w").filter("w <= 4")
     return cut.unionByName(short_l.join(short_r, "w").select("l", "r"))
@@ -159,18 +159,18 @@ def edit_pairs(left: DataFrame, right: DataFrame, form_limit: int = FORM_LIMIT)
     forms = stage(_near(edit_candidates(_forms(left), _forms(right))).distinct(), "forms")
     l, r = left.selectExpr("v as l", f"{_FORM} as l_form"), right.selectExpr("v as r", f"{_FORM} as r_form")
     held = r.groupBy("r_form").count()
-    fans = forms.join(held, forms["r"] == held["r_form"]).groupBy(F.col("l").alias("l_form")).agg(F.sum("count").alias("fan"))
+    fans = forms.join(shuffled(held), forms["r"] == held["r_form"]).groupBy(F.col("l").alias("l_form")).agg(F.sum("count").alias("fan"))
     few = fans.filter(F.col("fan") <= form_limit).select("l_form")
     many = fans.filter(F.col("fan") > form_limit).select("l_form")
     by_form = (
-        l.join(few, "l_form")
-        .join(forms.selectExpr("l as l_form", "r as r_form"), "l_form")
-        .join(r, "r_form")
+        l.join(shuffled(few), "l_form")
+        .join(shuffled(forms.selectExpr("l as l_form", "r as r_form")), "l_form")
+        .join(shuffled(r), "r_form")
         .select("l", "r")
     )
     near = _near(by_form)
     if not many.isEmpty():
-        own = l.join(many, "l_form", "left_semi").selectExpr("l as v")
+        own = l.join(shuffled(many), "l_form", "left_semi").selectExpr("l as v")
         near = near.unionByName(_near(edit_candidates(own, right)))
     return near.distinct()
 

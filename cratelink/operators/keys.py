@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cratelink.functions import text
+from cratelink.session import shuffled
 
 QUERY_FIELDS = {"isrc": "ISRC", "artist": "Artists", "title": "Title", "album": "Release Title"}
 CATALOG_FIELDS = {"isrc": "ISRC", "artist": "Artist", "title": "Title", "album": "Album", "path": "File Path"}
@@ -68,9 +69,9 @@ def query_keys(purchases: DataFrame, fields: dict[str, str] = QUERY_FIELDS) -> D
 def join_links(purchases: DataFrame, raw: DataFrame, links: DataFrame, fields: dict[str, str] = QUERY_FIELDS) -> DataFrame:
     """Every purchase with the columns its key tuple was linked to (null when none)."""
     parts = ("isrc", "artist", "album", "title")
-    found = raw.join(links, "qid").drop("qid", *KEY_COLUMNS)
+    found = raw.join(shuffled(links), "qid").drop("qid", *KEY_COLUMNS)
     condition = [_field(fields[p]) == F.col(f"raw_{p}") for p in parts]
-    return purchases.join(found, condition, "left").drop(*[f"raw_{p}" for p in parts])
+    return purchases.join(shuffled(found), condition, "left").drop(*[f"raw_{p}" for p in parts])
 
 
 def catalog_keys(catalog: DataFrame, fields: dict[str, str] = CATALOG_FIELDS) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from cratelink.functions.text import artist_names
 from cratelink.operators.containment import contained_pairs, edit_pairs
 from cratelink.operators.strategies import ALBUM_FITS, OVERLAP, TITLE_INSIDE, TITLE_NEAR, TITLE_PREFIX
-from cratelink.session import stage
+from cratelink.session import shuffled, stage
 
 #: Catalog rows a query may meet through album or artist before its title is used.
 FAN_LIMIT = 2000
@@ -58,16 +58,16 @@ def untitled_hits(
     posted = rows.select("album", "best", F.explode("names").alias("name"))
     first = posted.groupBy("album", "name").agg(F.min("best").alias("best"))
     # The first row of a related name, per asked name: names that fit are settled once, not per query.
-    fits = names.join(first.withColumnRenamed("name", "r"), "r")
+    fits = names.join(shuffled(first.withColumnRenamed("name", "r")), "r")
     per_name = fits.groupBy(F.col("l").alias("name"), "album").agg(F.min("best").alias("best"))
     loose = per_name.filter("album = ''").select("name", "best")
     asked = queries.select("qid", "album", F.explode("names").alias("name"))
-    hits = asked.select("qid", "name").join(loose, "name").select("qid", "best")
+    hits = asked.select("qid", "name").join(shuffled(loose), "name").select("qid", "best")
     tied = per_name.filter("album <> ''").withColumnRenamed("album", "r")
     wanted = asked.select("album", "name").distinct()
-    near = wanted.join(albums.withColumnRenamed("l", "album"), "album").join(tied, ["name", "r"])
+    near = wanted.join(shuffled(albums.withColumnRenamed("l", "album")), "album").join(shuffled(tied), ["name", "r"])
     near = near.groupBy("album", "name").agg(F.min("best").alias("best"))
-    hits = hits.unionByName(asked.join(near, ["album", "name"]).select("qid", "best"))
+    hits = hits.unionByName(asked.join(shuffled(near), ["album", "name"]).select("qid", "best"))
     return hits.groupBy("qid").agg(F.min("best").alias("hit")).select("qid", F.lit(level).alias("level"), "hit")
 
 
@@ -120,16 +120,16 @@ def residual_hits(
     album_rows = r.groupBy("cls", F.col("album").alias("r")).count()
     name_rows = r_names.groupBy("cls", F.col("name").alias("r")).count()
     album_fan = (
-        albums.join(album_rows, "r").groupBy("cls", F.col("l").alias("album")).agg(F.sum("count").alias("by_album"))
+        albums.join(shuffled(album_rows), "r").groupBy("cls", F.col("l").alias("album")).agg(F.sum("count").alias("by_album"))
     )
-    name_fan = names.join(name_rows, "r").groupBy("cls", F.col("l").alias("name")).agg(F.sum("count").alias("n"))
-    q_fan = q_names.join(name_fan, ["cls", "name"]).groupBy(*_KEY).agg(F.sum("n").alias("by_name"))
+    name_fan = names.join(shuffled(name_rows), "r").groupBy("cls", F.col("l").alias("name")).agg(F.sum("count").alias("n"))
+    q_fan = q_names.join(shuffled(name_fan), ["cls", "name"]).groupBy(*_KEY).agg(F.sum("n").alias("by_name"))
 
     has_album = F.col("cls").isin(FULL, NO_TITLE)
     least = F.when(has_album, F.least("by_album", "by_name")).otherwise(F.col("by_name"))
     routed = (
-        q.join(q_fan, list(_KEY))  # no fan at all: nothing can match
-        .join(album_fan, ["cls", "album"], "left")
+        q.join(shuffled(q_fan), list(_KEY))  # no fan at all: nothing can match
+        .join(shuffled(album_fan), ["cls", "album"], "left")
         .filter(~has_album | F.col("by_album").isNotNull())
         .withColumn(
             "way",
@@ -144,7 +144,7 @@ def residual_hits(
     def candidates(way: DataFrame, on: list[str], rows: DataFrame) -> DataFrame:
         """Met rows, tested on every condition, best per level."""
         met = way.alias("q").join(
-            rows.alias("r"),
+            shuffled(rows.alias("r")),
             [F.col(f"q.{a}") == F.col(f"r.{b}") for a, b in (pair.split("=") for pair in on)],
         )
         marks = ", ".join(
@@ -157,14 +157,14 @@ def residual_hits(
         )
         return met.select(*_KEY, "m.level", "m.best")
 
-    by_album = routed.filter("way = 'album'").join(albums, F.col("album") == F.col("l")).withColumnRenamed("r", "r_album")
+    by_album = routed.filter("way = 'album'").join(shuffled(albums), F.col("album") == F.col("l")).withColumnRenamed("r", "r_album")
     met = candidates(by_album, ["cls=cls", "r_album=album"], r)
 
-    r_by_name = r_names.join(r, ["cls", "artist", "album", "clean"])
+    r_by_name = r.withColumn("name", F.explode("names"))
     by_name = (
         routed.filter("way = 'name'")
         .withColumn("name", F.explode("names"))
-        .join(names, F.col("name") == F.col("l"))
+        .join(shuffled(names), F.col("name") == F.col("l"))
         .withColumnRenamed("r", "r_name")
         .dropDuplicates([*_KEY, "r_name"])
     )
@@ -173,11 +173,11 @@ def residual_hits(
     by_title = routed.filter("way = 'title'")
     if not by_title.isEmpty():
         titles = stage(_title_pairs(by_title, r), "titles")
-        with_titles = by_title.join(titles, F.col("clean") == F.col("l")).withColumnRenamed("r", "r_clean")
+        with_titles = by_title.join(shuffled(titles), F.col("clean") == F.col("l")).withColumnRenamed("r", "r_clean")
         met = met.unionByName(candidates(with_titles, ["cls=cls", "r_clean=clean"], r))
 
     best = met.groupBy(*_KEY, "level").agg(F.min("best").alias("best"))
-    hits = visits.join(best, list(_KEY)).select("qid", "level", F.col("best").alias("hit"))
+    hits = visits.join(shuffled(best), list(_KEY)).select("qid", "level", F.col("best").alias("hit"))
     if by_title_too and not strict:
         untitled = every.filter("clean = ''")
         for level in [level for level, rule in rules if _UNTITLED[rule]]:

@@ -1,12 +1,13 @@
 """Linkage against a brute force that compares every pair."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from cratelink.operators import cascade
-from cratelink.operators.containment import contained_pairs, edit_pairs
+from cratelink.operators.containment import contained_pairs, edit_candidates, edit_pairs
 from cratelink.operators.keys import catalog_keys, query_keys
 from cratelink.schemas import CATALOG_COLUMNS
 from cratelink.session import stage
@@ -220,3 +221,13 @@ def test_copies_collapse_before_linking(spark):
     assert query_keys(p).count() == 1
     out = cascade.link(p, _tracks(spark, ("/a", "A1", "Album", "Song")))
     assert out.filter(F.col("`Local File Path`") == "/a").count() == 500
+
+
+def test_exploded_texts_are_never_broadcast(spark):
+    # Staged, since only files have a size that the optimizer can judge.
+    texts = stage(spark.createDataFrame([("", f"some title {n}") for n in range(20)], "grp string, v string"), "texts")
+    titles = texts.select("v")
+    for pairs in (contained_pairs(texts, texts), edit_candidates(titles, titles)):
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan
+        assert not re.search(r"BroadcastHashJoin \[(grp|piece|part|bucket)", plan)
