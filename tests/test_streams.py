@@ -103,6 +103,39 @@ def test_watchdog_needs_no_later_event(spark, scratch):
     assert [tuple(r) for r in found] == [("hung", "stuck")]
 
 
+class SlowQuery:
+    """A query whose first batch takes longer than the wait for input."""
+
+    isActive, stopped, error = True, None, None
+
+    def __init__(self):
+        self.began = time.monotonic()
+
+    @property
+    def recentProgress(self):
+        took = time.monotonic() - self.began
+        return [{"numInputRows": 5}] * (took > 1.5) + [{"numInputRows": 0}] * (took > 2)
+
+    @property
+    def status(self):
+        return {"isDataAvailable": not self.recentProgress}
+
+    def exception(self):
+        return self.error
+
+    def stop(self):
+        self.stopped = time.monotonic() - self.began
+
+
+def test_quiet_comes_after_the_last_batch_however_long():
+    query = SlowQuery()
+    jobs.stop_when_quiet(query, seconds=1)
+    assert query.stopped > 2
+    query.isActive, query.error = False, ValueError("batch failed")
+    with pytest.raises(ValueError, match="batch failed"):
+        jobs.stop_when_quiet(query)
+
+
 def test_progress_of_every_batch(spark, scratch):
     schema = "run int, ts timestamp, seq int, status string, label string"
     land = landing(spark, scratch, schema)
