@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cratelink.functions.search import title_agrees
+from cratelink.session import shuffled
 
 #: Fixed tolerances, in ms.
 LENGTH_TOLERANCE = 7_000
@@ -70,7 +71,7 @@ def pick_best(
     )
     return (
         files.select(key)
-        .join(best.withColumn("_met", F.lit(True)), key, "left")
+        .join(shuffled(best.withColumn("_met", F.lit(True))), key, "left")
         .withColumn("_met", F.coalesce("_met", F.lit(False)))
         .withColumn("reason", reason)
         .drop("_met")
@@ -80,7 +81,7 @@ def pick_best(
 def by_id(files: DataFrame, candidates: DataFrame, file_id: str = "file_id") -> DataFrame:
     """Candidates named by the file itself, trusted only when both lengths are known and near."""
     joined = files.filter(F.col(file_id) > 0).join(
-        candidates, files[file_id] == candidates["id"]
+        shuffled(candidates), files[file_id] == candidates["id"]
     )
     near = (
         (F.coalesce("duration_ms", F.lit(0)) > 0)

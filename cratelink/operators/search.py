@@ -15,7 +15,7 @@ from cratelink.functions.search import (
 )
 from cratelink.operators.containment import inside_pairs
 from cratelink.operators.gates import age_order, length_fits
-from cratelink.session import stage
+from cratelink.session import shuffled, stage
 
 #: Candidates a search returns.
 PAGE = 10
@@ -127,21 +127,21 @@ def search_in(asks: DataFrame, c: DataFrame, page: int = PAGE) -> DataFrame:
             f"needle as {ask}", f"hay as {field}"
         )
         rows = c.groupBy(field).agg(F.count("*").alias("n"))
-        return stage(found.join(rows, field), out)
+        return stage(found.join(shuffled(rows), field), out)
 
     titles = pairs("_s_title", "_name", "titles")
     artists = pairs("_s_artist", "_artists", "artists")
     by_title = titles.groupBy("_s_title").agg(F.sum("n").alias("t_fan"))
     by_artist = artists.groupBy("_s_artist").agg(F.sum("n").alias("a_fan"))
     routed = stage(
-        q.join(by_title, "_s_title", "left")
-        .join(by_artist, "_s_artist", "left")
+        q.join(shuffled(by_title), "_s_title", "left")
+        .join(shuffled(by_artist), "_s_artist", "left")
         .filter("(_s_title = '' or t_fan is not null) and (_s_artist = '' or a_fan is not null)")
         .withColumn("way", F.expr("if(t_fan is not null and t_fan <= coalesce(a_fan, t_fan), 'title', 'artist')")),
         "routed",
     )
-    through_title = routed.filter("way = 'title'").join(titles.drop("n"), "_s_title").join(c, "_name")
-    through_artist = routed.filter("way = 'artist'").join(artists.drop("n"), "_s_artist").join(c, "_artists")
+    through_title = routed.filter("way = 'title'").join(shuffled(titles.drop("n")), "_s_title").join(shuffled(c), "_name")
+    through_artist = routed.filter("way = 'artist'").join(shuffled(artists.drop("n")), "_s_artist").join(shuffled(c), "_artists")
     columns = [*_ASK, "_s_artist", "_s_title", "_s_mix", "_name", "_artists", "_mix", *fields]
     met = (
         through_title.select(*columns)
@@ -159,7 +159,7 @@ def search_in(asks: DataFrame, c: DataFrame, page: int = PAGE) -> DataFrame:
 def _usable(variants: DataFrame, prepared: DataFrame, files: DataFrame, key: str, page: int) -> DataFrame:
     """Survivors of each file's first variant that has any."""
     found = search_in(variants, prepared, page)
-    rows = variants.join(found, list(_ASK)).join(files.select(key, "duration_ms"), key)
+    rows = variants.join(shuffled(found), list(_ASK)).join(shuffled(files.select(key, "duration_ms")), key)
     agrees = title_agrees(F.col("s_title"), F.col("name"), F.col("mix_name"))
     rows = rows.filter(
         length_fits(F.col("length_ms"), F.col("duration_ms"))
@@ -185,5 +185,5 @@ def first_usable(
     variants = stage(query_variants(files, key, artist, title), "variants")
     prepared = search_table(candidates, page)
     exact = stage(_usable(variants.filter("not gated"), prepared, files, key, page), "exact")
-    open_variants = variants.filter("gated").join(exact.select(key).distinct(), key, "left_anti")
+    open_variants = variants.filter("gated").join(shuffled(exact.select(key).distinct()), key, "left_anti")
     return exact.unionByName(_usable(open_variants, prepared, files, key, page))

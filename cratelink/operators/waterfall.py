@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cratelink.functions.search import compare_key, split_artists
 from cratelink.functions.text import strip
 from cratelink.functions.times import parse_duration
-from cratelink.session import stage
+from cratelink.session import shuffled, stage
 
 #: Fixed values.
 MIN_SCORE = 80
@@ -189,11 +189,11 @@ def waterfall(files: DataFrame, sources: Sequence[tuple[str, Source]], key: str)
     for name, source in sources:
         if source is None:
             continue
-        rows = source(still_open) if callable(source) else source.join(still_open.select(key), key, "left_semi")
+        rows = source(still_open) if callable(source) else source.join(shuffled(still_open.select(key)), key, "left_semi")
         part = rows.select(key, F.lit(name).alias("source"), F.struct(*CANDIDATE_FIELDS).alias("pick"))
         part = stage(part, f"source-{name}")
-        still_open = stage(still_open.join(part, key, "left_anti"), "still-open")
+        still_open = stage(still_open.join(shuffled(part), key, "left_anti"), "still-open")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return files.select(key, F.lit("").alias("source")).withColumn("pick", F.lit(None))
-    return files.select(key).join(found, key, "left").select(key, F.coalesce("source", F.lit("")).alias("source"), "pick")
+    return files.select(key).join(shuffled(found), key, "left").select(key, F.coalesce("source", F.lit("")).alias("source"), "pick")

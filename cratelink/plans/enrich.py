@@ -14,7 +14,7 @@ from cratelink.operators.gates import by_id, pick_best
 from cratelink.operators.merge import merged, offered
 from cratelink.operators.search import first_usable
 from cratelink.operators.waterfall import CANDIDATE_FIELDS, status_or, waterfall
-from cratelink.session import stage
+from cratelink.session import shuffled, stage
 
 PRIMARY = "catalog"
 _TAGS = ("title", "album", "genre", "artist", "date")
@@ -81,14 +81,14 @@ def resolve(
     searchable = known.filter("artist is not null")
     direct = by_id(searchable.select("path", "file_id", "duration_ms"), candidates)
     direct = direct.select("path", *CANDIDATE_FIELDS)
-    asked = searchable.join(direct.select("path"), "path", "left_anti").select("path", "artist", "title", "duration_ms")
+    asked = searchable.join(shuffled(direct.select("path")), "path", "left_anti").select("path", "artist", "title", "duration_ms")
     found = first_usable(asked, candidates, "path").select("path", "duration_ms", *CANDIDATE_FIELDS)
     best = stage(pick_best(asked, found, "path"), "best")
     searched = best.filter("pick is not null").select("path", "pick.*")
     decided = waterfall(searchable, [(PRIMARY, direct.unionByName(searched)), *fallbacks], "path")
-    rows = known.select("path", "artist", "title", "own_artist", "own_title").join(decided, "path", "left").join(
-        best.select("path", "reason"), "path", "left"
-    )
+    rows = known.select("path", "artist", "title", "own_artist", "own_title").join(
+        shuffled(decided), "path", "left"
+    ).join(shuffled(best.select("path", "reason")), "path", "left")
     status = (
         F.when(F.col("artist").isNull(), F.lit("skipped"))
         .when(F.col("pick").isNotNull(), F.lit("matched"))

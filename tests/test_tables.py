@@ -301,3 +301,12 @@ def test_scratch_keeps_what_is_asked_for(spark):
         lasting = stage(kept, "lasting", keep=True)
     assert not folders("kept") and lasting.count() == 7
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_staged_rows_are_never_broadcast(spark):
+    files = stage(spark.range(20).selectExpr("id as seq", "id as file_id", "200000 as duration_ms"), "files")
+    offers = stage(spark.range(20).selectExpr("id", "'' as publish_date", "200000 as length_ms"), "offers")
+    met = offers.withColumn("seq", F.col("id")).withColumn("duration_ms", F.lit(200000))
+    for rows in (gates.pick_best(files, met, "seq"), gates.by_id(files, offers)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
