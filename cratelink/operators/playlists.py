@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cratelink.functions.paths import extension, file_uri
 from cratelink.functions.times import purchase_parts
 from cratelink.operators.position import first_per_key, numbered
+from cratelink.session import shuffled
 
 MONTH, YEAR = "month", "year"
 HEADER = "#EXTM3U"
@@ -97,7 +98,7 @@ def references(unique_rows: DataFrame, tracks: DataFrame, path: str, ordinal: st
     A path listed twice in the collection is known by its last number.
     """
     last = tracks.groupBy("path").agg(F.max("TrackID").alias("key"))
-    return unique_rows.join(last, unique_rows[path] == last["path"]).select(
+    return unique_rows.join(shuffled(last), unique_rows[path] == last["path"]).select(
         "kind", "period", F.col(ordinal).alias("ordinal"), "key"
     )
 

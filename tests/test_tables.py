@@ -310,3 +310,11 @@ def test_staged_rows_are_never_broadcast(spark):
     for rows in (gates.pick_best(files, met, "seq"), gates.by_id(files, offers)):
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_references_are_never_broadcast(spark):
+    rows = stage(spark.range(20).selectExpr("'year' as kind", "'2020' as period", "cast(id as string) as file_path", "id"), "rows")
+    tracks = stage(spark.range(20).selectExpr("cast(id as string) as path", "id as TrackID"), "tracks")
+    refs = playlists.references(rows, tracks, "file_path", "id")
+    assert "Broadcast" not in refs._jdf.queryExecution().executedPlan().toString()
+    assert refs.filter("ordinal = key").count() == 20
