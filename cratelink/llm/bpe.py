@@ -15,7 +15,8 @@ import base64
 import hashlib
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,12 @@ from cratelink.llm.common import batch_of, map_text, strings
 _SPACE = r"\p{White_Space}"
 #: A space between two characters that are none: no pre-token reaches over its left side.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: A space beside other white space or at an end, where plain splitting would cut wrongly.
-_ODD = re.compile(r"\A | \Z| \s|\s ")
-#: Chunks and pre-tokens a worker remembers before it starts anew.
-CACHE = 300_000
+#: A space beside other white space, where plain splitting would cut wrongly; it also does at an end.
+_ODD = re.compile(r"\s(?:(?<= )\s| )")
+#: Chunks and pre-tokens of one generation; a worker remembers the last two.
+CACHE = 100_000
+#: Bytes of pre-tokens merged through one queue; a longer one is merged alone.
+BLOCK = 1 << 18
 #: Longer texts of either kind are not remembered.
 SHORT = 64
 
@@ -43,6 +46,34 @@ def read_ranks(path: str) -> bytes:
         return f.read()
 
 
+class Memory:
+    """Ids of texts met before: those of this generation and of the one before it."""
+
+    def __init__(self) -> None:
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.long: list[str] = []
+
+    def recall(self, texts: set[str], make: Callable[[list[str]], list[bytes]]) -> dict[str, bytes]:
+        """A table that holds at least *texts*, until ``forget``; *make* gives what is not known."""
+        now, before = self.now, self.before
+        open_ = texts - now.keys()
+        old = open_ & before.keys()
+        now.update((x, before[x]) for x in old)
+        new = list(open_ - old)
+        now.update(zip(new, make(new), strict=True))
+        self.long += [x for x in new if len(x) >= SHORT]
+        return now
+
+    def forget(self) -> None:
+        """Drop long texts, and what was not met for a generation."""
+        for x in self.long:
+            del self.now[x]
+        self.long = []
+        if len(self.now) > CACHE:
+            self.before, self.now = self.now, {}
+
+
 class Coder:
     """Encodes and decodes texts by one rank file."""
 
@@ -61,8 +92,11 @@ class Coder:
                 self.pairs[token[0] << 8 | token[1]] = rank
         self.low = [0] * ((size >> 8) + 1)
         self.buckets: list[list[int]] = [[] for _ in range(size)]
-        self.chunks: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget the texts met so far."""
+        self.chunks, self.known = Memory(), Memory()
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, little-endian, four bytes each.
@@ -70,38 +104,39 @@ class Coder:
         Texts are cut at single spaces, which start a pre-token of their own, and each
         distinct chunk of the batch is encoded once.
         """
-        if len(self.chunks) > CACHE:
-            self.chunks.clear()
-        if len(self.known) > CACHE:
-            self.known.clear()
-        seen = self.chunks
         cut = []
-        new: dict[str, None] = {}
+        distinct: set[str] = set()
         for text in texts:
-            first, *rest = _CUT.split(text) if _ODD.search(text) else text.split(" ")
+            odd = text[:1] == " " or text[-1:] == " " or _ODD.search(text)
+            first, *rest = _CUT.split(text) if odd else text.split(" ")
             rest = [" " + x for x in rest]
             rest.insert(0, first)
             cut.append(rest)
-            new.update(dict.fromkeys(x for x in rest if x not in seen))
-        found = self._chunks(list(new))
-        out = []
-        for rest in cut:
-            out.append(b"".join([found[x] if x in found else seen[x] for x in rest]))
-        seen.update((x, ids) for x, ids in found.items() if len(x) < SHORT)
+            distinct.update(rest)
+        found = self.chunks.recall(distinct, self._chunks)
+        out = [b"".join([found[x] for x in rest]) for rest in cut]
+        self.chunks.forget()
         return out
 
-    def _chunks(self, chunks: list[str]) -> dict[str, bytes]:
-        known, pieces = self.known, self.pieces
-        parts = [pieces(x) for x in chunks]
-        new = list({p: None for part in parts for p in part if p not in known})
-        merged = dict(zip(new, self.merge_all([p.encode() for p in new]), strict=True))
-        out = {
-            x: b"".join([merged[p] if p in merged else known[p] for p in part])
-            for x, part in zip(chunks, parts, strict=True)
-        }
-        known.update((p, ids) for p, ids in merged.items() if len(p) < SHORT)
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        parts = [self.pieces(x) for x in chunks]
+        found = self.known.recall(set(chain.from_iterable(parts)), self._merged)
+        out = [found[part[0]] if len(part) == 1 else b"".join([found[p] for p in part]) for part in parts]
+        self.known.forget()
         return out
 
+    def _merged(self, pieces: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        block: list[bytes] = []
+        held = 0
+        for piece in map(str.encode, pieces):
+            if block and held + len(piece) > BLOCK:
+                out += self.merge_all(block)
+                block, held = [], 0
+            block.append(piece)
+            held += len(piece)
+        return out + self.merge_all(block)
+
     def merge_all(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of many pre-tokens, merged through one queue.
 
@@ -130,11 +165,10 @@ class Coder:
         ranks = np.full(n, -1, dtype=np.int32)
         ranks[:-1] = self.pairs[raw[:-1].astype(np.int32) << 8 | raw[1:]]
         ranks[ends - 1] = -1
-        fence = fences.tobytes()
-        pair = array("i", ranks.tobytes())
-        token = array("i", self.bytes[raw].tobytes())
-        following = array("i", np.arange(1, n + 1, dtype=np.int32).tobytes())
-        previous = array("i", np.arange(-1, n - 1, dtype=np.int32).tobytes())
+        following, previous = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        columns = (fences, ranks, self.bytes[raw], following, previous)
+        # Lists are quicker; an array holds the places of one very long pre-token in little memory.
+        fence, pair, token, following, previous = (x.tolist() if n <= BLOCK else array(x.dtype.char, x.tobytes()) for x in columns)
         high = 0
         order = np.flatnonzero(ranks >= 0)
         order = order[np.argsort(ranks[order], kind="stable")]
@@ -213,7 +247,7 @@ _coders: dict[tuple[str, str], Coder] = {}
 
 
 def coder(key: str, pattern: str, ranks: bytes) -> Coder:
-    """One coder per worker process and vocabulary, so that what it remembers outlives a task."""
+    """One coder per worker process and vocabulary: its tables are made once, not once a task."""
     if (key, pattern) not in _coders:
         _coders.clear()
         _coders[key, pattern] = Coder(ranks, pattern)
@@ -236,12 +270,15 @@ def encode_decode(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(key, pattern, shared.value)
-        for batch in batches:
-            ids = code.encode_all(strings(batch.column(1)))
-            schema = pa.schema(
-                [("id", batch.schema.field(0).type), ("n", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())]
-            )
-            yield batch_of(schema, batch.column(0), [len(x) // 4 for x in ids], ids, [code.decode(x) for x in ids])
+        try:
+            for batch in batches:
+                ids = code.encode_all(strings(batch.column(1)))
+                schema = pa.schema(
+                    [("id", batch.schema.field(0).type), ("n", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())]
+                )
+                yield batch_of(schema, batch.column(0), [len(x) // 4 for x in ids], ids, [code.decode(x) for x in ids])
+        finally:
+            code.clear()  # other stages of the job use the same worker
 
     out = map_text(source, run, f"id {id_type}, n_tokens long, ids binary, decoded binary")
     return out.withColumnRenamed("id", id_col)

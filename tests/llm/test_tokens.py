@@ -42,6 +42,21 @@ def test_very_long_pre_tokens():
         assert np.frombuffer(code.encode_all([text])[0], "<u4").tolist() == truth.encode_ordinary(text)
 
 
+def test_frequent_words_outlive_a_full_memory(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 4)
+    code, truth = bpe.Coder(bpe.read_ranks(RANKS), public_tokenizers.PATTERN), library()
+    merged = []
+    monkeypatch.setattr(code, "merge_all", lambda pieces, plain=code.merge_all: merged.extend(pieces) or plain(pieces))
+    words = [f"wort{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{i // 26 * 'q'}" for i in range(60)]
+    for i in range(0, 60, 6):
+        text = " ".join(["oftmals", *words[i : i + 6], "z" * 100])
+        assert np.frombuffer(code.encode_all([text])[0], "<u4").tolist() == truth.encode_ordinary(text)
+    assert merged.count(b"oftmals") == 1
+    assert len(code.known.now) + len(code.known.before) < 20
+    code.clear()
+    assert not code.chunks.now and not code.known.before
+
+
 def test_bpe_query(spark):
     truth = library()
     rows = {r.doc_id: r for r in QUERIES["op9_bpe"](spark, SF).collect()}
