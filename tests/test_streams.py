@@ -57,6 +57,20 @@ def test_enrichment_resumes_after_a_failed_batch(spark, scratch):
     assert sorted(r.path for r in jobs.read_log(spark, f"{scratch}/log").collect()) == list("abcdefg")
 
 
+def test_logged_keys_are_not_broadcast(spark, scratch):
+    land = landing(spark, scratch, "path string")
+    plans = []
+
+    def resolve(batch):
+        plans.append(batch._jdf.queryExecution().executedPlan().toString())
+        return batch
+
+    stream = land([("a",)])
+    for checkpoint in ("one", "two"):
+        jobs.enrich_stream(stream, resolve, f"{scratch}/log", f"{scratch}/{checkpoint}").awaitTermination()
+    assert "SortMergeJoin" in plans[1] and not any("Broadcast" in plan for plan in plans)
+
+
 @pytest.mark.parametrize("compact", [50, 2])
 def test_breaker_state_holds_touched_runs_only(spark, scratch, monkeypatch, compact):
     monkeypatch.setattr(jobs, "COMPACT", compact)
