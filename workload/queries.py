@@ -17,7 +17,7 @@ from cratelink.operators.search import first_usable, query_variants
 from cratelink.operators.search import search as search_candidates
 from cratelink.operators.strategies import STRATEGIES, Strategy, names_by_level
 from cratelink.plans import enrich
-from cratelink.session import new_path, stage
+from cratelink.session import new_path, shuffled, stage
 from cratelink.sinks import playlists as playlist_sink
 from cratelink.sinks import tables as table_sink
 from cratelink.sinks import versions
@@ -1231,10 +1231,11 @@ def _manifest(part: DataFrame) -> DataFrame:
 
 
 def _resolver(spark: SparkSession, sf: str) -> Callable[[DataFrame], DataFrame]:
-    c = view(spark, sf, "fx_candidates")
+    # Made once: every batch would join its tables anew and broadcast one of them.
+    c = stage(view(spark, sf, "fx_candidates"), "candidates")
 
     def resolve(batch: DataFrame) -> DataFrame:
-        met = batch.join(c, (batch.title == c.name) & (batch.artist == c.artists)).select("seq", "duration_ms", *c.columns)
+        met = batch.join(shuffled(c), (batch.title == c.name) & (batch.artist == c.artists)).select("seq", "duration_ms", *c.columns)
         return gates.pick_best(batch, met, "seq").select("seq", F.coalesce("pick.id", F.lit(-1)).alias("id"), "reason")
 
     return resolve
