@@ -14,7 +14,9 @@ that share a min-hash with many others are compared with one member of the large
 each such group, another one each time, until that finds no more links; the links make
 classes, and the join then only looks at pairs across classes. This
 loses no link between classes, so the classes are exact: prefixes only skip pairs that
-cannot reach the threshold or are in one class already.
+cannot reach the threshold or are in one class already. Where many nodes share a prefix
+shingle, sketches bound from below how much two sets differ, so a family whose members are
+just too far apart makes no pairs; its members still meet inside the join.
 
 The order, the frequencies and the bit filters have fixed sizes; they decide how much is
 met, never what is found. Shingles are 64-bit hashes, nodes 64-bit sums of them.
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cratelink.llm.common import LOWER_TABLE, SLICE_BYTES, batch_of, map_text, mixed, prepare, word_hashes
-from cratelink.session import scratch, stage
+from cratelink.session import collected, scratch, stage
 
 SHINGLE = 5
 #: Similarity, in hundredths.
@@ -53,6 +56,8 @@ FREQUENT = 1 << 18
 COUNTED = 1 << 21
 #: Bits of the filters on shingles and on documents.
 SHINGLE_BITS, DOC_BITS = 26, 24
+#: Words of 64 bits in the sketch of a set.
+SKETCH = 8
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -113,6 +118,12 @@ def least_hashes(own: np.ndarray) -> list[int]:
     return [int(mixed(own.view(np.uint64) ^ _SALTS[2 + j]).min().view(np.int64)) for j in range(KEYS)]
 
 
+def sketch_of(own: np.ndarray) -> list[int]:
+    """Bits that each shingle of a set turns over: sets differ in as many shingles as their sketches in bits, or in more."""
+    odd = np.bincount(_bit(own, 6 + SKETCH.bit_length() - 1), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 class Order:
     """Frequent shingles with their counts; all others count as one."""
 
@@ -160,7 +171,7 @@ def _bits(df: DataFrame, column: str, log2: int) -> np.ndarray:
 
     prepare(df.sparkSession)
     rows = df.select(column).mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    got = rows.toArrow()
+    got = collected(rows)
     out = np.zeros(1 << (log2 - 6), dtype=np.uint64)
     out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
     return out
@@ -205,7 +216,7 @@ def described(docs: DataFrame) -> DataFrame:
 
 def _order(described_docs: DataFrame) -> Order:
     counts = described_docs.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.col("n").desc(), "id").limit(FREQUENT).toArrow()
+    top = collected(counts.orderBy(F.col("n").desc(), "id").limit(FREQUENT))
     return Order(top.column("id").to_numpy(), top.column("n").to_numpy())
 
 
@@ -327,8 +338,8 @@ def _candidates(docs: DataFrame, nodes: DataFrame, order: Order, labels: DataFra
     met = met.agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     bits = spark.sparkContext.broadcast(_bits(met, "shingle", SHINGLE_BITS))
     long = pa.int64()
-    kinds = [long, long, long, pa.int32(), long, long, long, pa.list_(long), pa.list_(pa.int32())]
-    names = ("rep", "node", "n", "matches", "size", "end_count", "end_shingle", "shingles", "places")
+    kinds = [long, long, long, pa.int32(), long, long, long, pa.list_(long), pa.list_(long), pa.list_(pa.int32())]
+    names = ("rep", "node", "n", "matches", "size", "end_count", "end_shingle", "sketch", "shingles", "places")
     schema = pa.schema(list(zip(names, kinds, strict=True)))
 
     def shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,28 +351,39 @@ def _candidates(docs: DataFrame, nodes: DataFrame, order: Order, labels: DataFra
                     at = np.flatnonzero(_held(bits.value, prefix, SHINGLE_BITS))
                     if len(at):
                         end = (int(known.value.frequency(prefix[-1:])[0]), int(prefix[-1]))
-                        rows.append((rep, node_of(own), len(own), matches, len(prefix), *end, prefix[at], at.astype(np.int32)))
+                        rows.append(
+                            (rep, node_of(own), len(own), matches, len(prefix), *end, sketch_of(own), prefix[at], at.astype(np.int32))
+                        )
             if rows:
                 yield batch_of(schema, *map(list, zip(*rows, strict=True)))
 
-    sql = "rep long, node long, n long, matches int, size long, end_count long, end_shingle long, shingles array<long>, places array<int>"
+    sql = (
+        "rep long, node long, n long, matches int, size long, end_count long, end_shingle long, "
+        "sketch array<long>, shingles array<long>, places array<int>"
+    )
     rows = map_text(docs.where("id is not null"), shared, sql)
     comp = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     rows = rows.join(stage(comp, "join-comps"), ["node", "rep"])
     # Where a prefix ends in the order, and how much of the set comes after it.
     end = F.struct("end_count", "end_shingle", (F.col("n") - F.col("size")).alias("rest")).alias("end")
-    rows = rows.select("node", "n", "matches", end, "comp", F.explode(F.arrays_zip("shingles", "places")).alias("z"))
-    entries = rows.select("node", "n", "matches", "end", "comp", F.col("z.shingles").alias("shingle"), F.col("z.places").alias("place"))
-    entries = stage(entries, "join-entries")
+    rows = stage(rows.select("node", "n", "matches", end, "comp", "sketch", "shingles", "places"), "join-entries")
+    entries = rows.select("node", "n", "matches", "end", "comp", F.explode(F.arrays_zip("shingles", "places")).alias("z"))
+    entries = entries.select("*", F.col("z.shingles").alias("shingle"), F.col("z.places").alias("place")).drop("z")
     sizes = entries.groupBy("shingle", "comp").agg(F.count("*").alias("c"))
-    tops = sizes.groupBy("shingle").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("classes"))
-    tops = stage(tops.where("classes > 1").select("shingle", F.col("top.comp").alias("top")), "join-shared")
+    tops = sizes.groupBy("shingle").agg(
+        F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("classes"), F.sum("c").alias("met")
+    )
+    tops = stage(tops.where("classes > 1").select("shingle", F.col("top.comp").alias("top"), "met"), "join-shared")
     # What two classes share before a place is contested in both prefixes, so the contested before it bound that.
     order_of = Window.partitionBy("node").orderBy("place")
     entries = entries.join(tops, "shingle").withColumn("before", F.dense_rank().over(order_of) - 1)
     # No partner asks for less than this.
     entries = entries.where(100 * (F.col("before") + F.col("n") - F.col("place")) >= percent * F.col("n"))
     entries = stage(entries, "join-contested")
+    # Only where many meet, their sketches are worth the bytes.
+    crowd = entries.where(F.col("met") > CROWD).join(rows.select("node", "sketch"), "node")
+    calm = entries.where(F.col("met") <= CROWD).withColumn("sketch", F.lit(None).cast("array<long>"))
+    entries = calm.unionByName(crowd).drop("met")
     # The largest class of a shingle meets all others, but never itself.
     rest = entries.where("comp <> top")
     left = entries.alias("x")
@@ -370,7 +392,9 @@ def _candidates(docs: DataFrame, nodes: DataFrame, order: Order, labels: DataFra
     need = F.ceil(percent * (x("n") + y("n")) / (100 + percent))
     room = F.least(x("before"), y("before")) + F.least(x("n") - x("place"), y("n") - y("place"))
     once = (x("comp") == x("top")) | (x("node") < y("node"))
-    on = (x("shingle") == y("shingle")) & (x("comp") != y("comp")) & once & _fits("x.n", "y.n", percent) & (room >= need)
+    differ = reduce(add, [F.bit_count(F.get(x("sketch"), F.lit(i)).bitwiseXOR(F.get(y("sketch"), F.lit(i)))) for i in range(SKETCH)])
+    alike = F.coalesce(differ, F.lit(0)) <= x("n") + y("n") - 2 * need
+    on = (x("shingle") == y("shingle")) & (x("comp") != y("comp")) & once & _fits("x.n", "y.n", percent) & (room >= need) & alike
     pairs = left.join(right, on).select(
         F.least(x("node"), y("node")).alias("a"),
         F.greatest(x("node"), y("node")).alias("b"),

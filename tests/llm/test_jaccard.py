@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +110,33 @@ def test_join_alone_loses_nothing(spark, monkeypatch):
     assert found(spark.createDataFrame(pairs, "doc_id long, text string")) == classes(pairs)
 
 
+def test_family_too_far_apart_makes_few_pairs(spark):
+    """Texts that each change three words of their own are alike, but hardly two of them enough."""
+    rng = random.Random(4)
+    texts = []
+    for d in range(40):
+        own = rng.sample(range(150), 3)
+        texts.append([f"x{d}" if i in own else f"w{i}" for i in range(150)])
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "id long, text string")
+    described = jaccard.described(docs)
+    nodes = described.where("kind = 0").select("node", F.col("id").alias("rep"), "n")
+    none = nodes.select("node", F.col("node").alias("comp")).limit(0)
+    order = jaccard.Order(*(c.to_numpy() for c in described.where("kind = 1").select("id", "n").toArrow().columns))
+    assert jaccard._candidates(docs, nodes, order, none, 75).count() < 2 * len(texts)
+    assert found(docs.toDF("doc_id", "text")) == classes(list(enumerate(" ".join(t) for t in texts)))
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(5)
+    pool = rng.integers(-(1 << 62), 1 << 62, 400)
+    bits = lambda own: np.unpackbits(np.array(jaccard.sketch_of(own)).view(np.uint8))
+    for size in (0, 1, 30, 200, 399):
+        a, b = (np.unique(rng.choice(pool, size, replace=False)) for _ in range(2))
+        apart = int((bits(a) != bits(b)).sum())
+        assert apart <= len(np.setxor1d(a, b))
+        assert size == 0 or len(np.setxor1d(a, b)) == 0 or apart > 0
+
+
 def test_edges(spark):
     d = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "x")], "doc_id long, text string")
     rows = sorted(((r.id, r.n_shingles, r.component) for r in jaccard.linked(d).collect()), key=str)
