@@ -34,7 +34,7 @@ def _variant(artist: Column, title: Column, mix: Column, gated: bool) -> Column:
 def query_variants(files: DataFrame, key: str, artist: str = "artist", title: str = "title") -> DataFrame:
     """(key, ordinal, s_artist, s_title, s_mix, gated): each distinct query once, in order.
 
-    Exact, full title and swapped roles come first. Per-artist, featuring-free and
+    *key* tells the rows of *files* apart, so copies of a query are found within its row. Exact, full title and swapped roles come first. Per-artist, featuring-free and
     title-artist variants follow and are gated, because they are loose.
     """
     f = files.select(
@@ -80,9 +80,12 @@ def query_variants(files: DataFrame, key: str, artist: str = "artist", title: st
             F.transform("_in_title", lambda n: _variant(n, base, blank, True)),
         ).otherwise(none),
     )
-    rows = f.select(key, F.posexplode(variants).alias("ordinal", "v")).select(key, "ordinal", "v.*")
-    first = rows.groupBy(key, *_ASK).agg(F.min(F.struct("ordinal", "gated")).alias("o"))
-    return first.select(key, "o.ordinal", *_ASK, "o.gated")
+    rows = f.select(key, variants.alias("_variants"))
+    asks = F.transform("_variants", lambda v: F.struct(*[v[a] for a in _ASK]))
+    rows = rows.withColumn("_asks", asks)
+    first = F.transform("_asks", lambda a, i: F.array_position("_asks", a) == i + 1)
+    kept = rows.select(key, F.posexplode(F.arrays_zip("_variants", first.alias("_first"))).alias("ordinal", "z")).filter("z._first")
+    return kept.select(key, "ordinal", *[F.col(f"z._variants.{a}").alias(a) for a in (*_ASK, "gated")])
 
 
 def search_table(candidates: DataFrame, page: int = PAGE) -> DataFrame:

@@ -318,3 +318,13 @@ def test_references_are_never_broadcast(spark):
     refs = playlists.references(rows, tracks, "file_path", "id")
     assert "Broadcast" not in refs._jdf.queryExecution().executedPlan().toString()
     assert refs.filter("ordinal = key").count() == 20
+
+
+def test_query_variants_are_distinct_without_a_shuffle(spark):
+    rows = [(1, "Ann & Bob", "Song (feat. Ann)"), (2, "Ann", "Ann"), (3, "", ""), (4, "Bob", "Bob - Song (Dub Mix)")]
+    got = search.query_variants(spark.createDataFrame(rows, "seq long, artist string, title string"), "seq")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    asks = [(r.seq, r.s_artist, r.s_title, r.s_mix) for r in got.collect()]
+    assert len(asks) == len(set(asks))
+    assert {r.seq: r.ordinal for r in got.orderBy(F.desc("ordinal")).collect()} == dict.fromkeys((1, 2, 3, 4), 0)
+    assert [(r.ordinal, r.s_artist, r.gated) for r in got.filter("seq = 2").orderBy("ordinal").collect()] == [(0, "Ann", False)]
