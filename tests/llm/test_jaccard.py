@@ -1,6 +1,7 @@
 """The Jaccard join against all pairs of plain sets."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -162,3 +163,16 @@ def test_prefix_bound():
         if len(other) and 100 * len(np.intersect1d(base, other)) >= 75 * len(np.union1d(base, other)):
             (p, m), (q, k) = order.prefix(base, 75), order.prefix(other, 75)
             assert len(np.intersect1d(p, q)) >= min(m, k)
+
+
+def test_filters_leave_no_shuffle_files(spark):
+    def files():
+        return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+
+    before = files()
+    jaccard._bits(spark.range(10000).groupBy(F.xxhash64("id").alias("x")).count(), "x", 12)
+    for _ in range(50):  # they are deleted in the background
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
