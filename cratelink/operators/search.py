@@ -99,7 +99,7 @@ def search_table(candidates: DataFrame, page: int = PAGE) -> DataFrame:
     )
     copies = Window.partitionBy("_name", "_artists", "_mix").orderBy(age_order(F.col("publish_date"), F.col("id")))
     c = c.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= page)
-    return stage(c.drop("_copy"), "candidates")
+    return stage(c.drop("_copy", "_name", "_artists", "_mix"), "candidates")
 
 
 def search(asks: DataFrame, candidates: DataFrame, page: int = PAGE) -> DataFrame:
@@ -116,40 +116,47 @@ def search_in(asks: DataFrame, c: DataFrame, page: int = PAGE) -> DataFrame:
     window, whose per-task group limit keeps a query with many hits off one task.
     A query without artist and title asks nothing and returns nothing.
     """
-    low = {a: F.lower(F.col(a)) for a in _ASK}
-    q = asks.select(*_ASK).distinct().withColumns({f"_{a}": c for a, c in low.items()})
+    # Lower-cased texts are made where they are used: no table or shuffle holds a text twice.
+    q = asks.select(*_ASK).distinct()
     q = stage(q.filter("s_artist <> '' or s_title <> ''"), "asks")
     age = age_order(F.col("publish_date"), F.col("id"))
-    fields = [f for f in c.columns if f not in ("_name", "_artists", "_mix")]
+    fields = c.columns
 
     def texts(df: DataFrame, col: str) -> DataFrame:
-        return df.select(F.lit("").alias("grp"), F.col(col).alias("v")).filter("v <> ''").distinct()
+        return df.select(F.lit("").alias("grp"), F.lower(F.col(col)).alias("v")).filter("v <> ''").distinct()
 
     def pairs(ask: str, field: str, out: str) -> DataFrame:
         found = inside_pairs(texts(q, ask), texts(c, field)).selectExpr(
-            f"needle as {ask}", f"hay as {field}"
+            f"needle as _{ask}", f"hay as _{field}"
         )
-        rows = c.groupBy(field).agg(F.count("*").alias("n"))
-        return stage(found.join(shuffled(rows), field), out)
+        rows = c.groupBy(F.lower(F.col(field)).alias(f"_{field}")).agg(F.count("*").alias("n"))
+        return stage(found.join(shuffled(rows), f"_{field}"), out)
 
-    titles = pairs("_s_title", "_name", "titles")
-    artists = pairs("_s_artist", "_artists", "artists")
+    titles = pairs("s_title", "name", "titles")
+    artists = pairs("s_artist", "artists", "artists")
     by_title = titles.groupBy("_s_title").agg(F.sum("n").alias("t_fan"))
     by_artist = artists.groupBy("_s_artist").agg(F.sum("n").alias("a_fan"))
+    asks_title, asks_artist = (F.lower(F.col(a)) == F.col(f"_{a}") for a in ("s_title", "s_artist"))
     routed = stage(
-        q.join(shuffled(by_title), "_s_title", "left")
-        .join(shuffled(by_artist), "_s_artist", "left")
-        .filter("(_s_title = '' or t_fan is not null) and (_s_artist = '' or a_fan is not null)")
-        .withColumn("way", F.expr("if(t_fan is not null and t_fan <= coalesce(a_fan, t_fan), 'title', 'artist')")),
+        q.join(shuffled(by_title), asks_title, "left")
+        .join(shuffled(by_artist), asks_artist, "left")
+        .filter("(s_title = '' or t_fan is not null) and (s_artist = '' or a_fan is not null)")
+        .withColumn("way", F.expr("if(t_fan is not null and t_fan <= coalesce(a_fan, t_fan), 'title', 'artist')"))
+        .select(*_ASK, "way"),
         "routed",
     )
-    through_title = routed.filter("way = 'title'").join(shuffled(titles.drop("n")), "_s_title").join(shuffled(c), "_name")
-    through_artist = routed.filter("way = 'artist'").join(shuffled(artists.drop("n")), "_s_artist").join(shuffled(c), "_artists")
-    columns = [*_ASK, "_s_artist", "_s_title", "_s_mix", "_name", "_artists", "_mix", *fields]
+    through_title = routed.filter("way = 'title'").join(shuffled(titles.drop("n")), asks_title)
+    through_title = through_title.join(shuffled(c), F.lower("name") == F.col("_name"))
+    through_artist = routed.filter("way = 'artist'").join(shuffled(artists.drop("n")), asks_artist)
+    through_artist = through_artist.join(shuffled(c), F.lower("artists") == F.col("_artists"))
+    columns = [*_ASK, *fields]
     met = (
         through_title.select(*columns)
         .unionByName(through_artist.select(*columns))
-        .filter("contains(_name, _s_title) and contains(_artists, _s_artist) and contains(_mix, _s_mix)")
+        .filter(
+            "contains(lower(name), lower(s_title)) and contains(lower(artists), lower(s_artist)) "
+            "and contains(lower(mix_name), lower(s_mix))"
+        )
     )
     order = Window.partitionBy(*_ASK).orderBy(age)
     return (

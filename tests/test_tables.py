@@ -328,3 +328,13 @@ def test_query_variants_are_distinct_without_a_shuffle(spark):
     assert len(asks) == len(set(asks))
     assert {r.seq: r.ordinal for r in got.orderBy(F.desc("ordinal")).collect()} == dict.fromkeys((1, 2, 3, 4), 0)
     assert [(r.ordinal, r.s_artist, r.gated) for r in got.filter("seq = 2").orderBy("ordinal").collect()] == [(0, "Ann", False)]
+
+
+def test_search_tables_hold_no_text_twice(spark):
+    rows = [(1, "Big SONG", "Dix", "DJ Éa", "2020-01-01", 1000), (2, "other", "", "dj", None, 0), (3, None, None, None, None, 0)]
+    c = spark.createDataFrame(rows, "id bigint, name string, mix_name string, artists string, publish_date string, length_ms bigint")
+    prepared = search.search_table(c)
+    assert set(prepared.columns) == set(c.columns)
+    asks = spark.createDataFrame([("Dj É", "song", ""), ("", "OTHER", ""), ("dj", "", "DI"), ("", "", ""), ("x", "song", "")], "s_artist string, s_title string, s_mix string")
+    got = {(r.s_artist, r.s_title, r.s_mix, r.place, r.id) for r in search.search_in(asks, prepared).collect()}
+    assert got == {("Dj É", "song", "", 1, 1), ("", "OTHER", "", 1, 2), ("dj", "", "DI", 1, 1)}
