@@ -10,6 +10,7 @@ what is still open reaches the residual levels.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -172,23 +173,37 @@ def equality_hits(
     catalog: DataFrame,
     strategies: Iterable[Strategy] = STRATEGIES,
     group_limit: int = GROUP_LIMIT,
+    fan_limit: int = residual.FAN_LIMIT,
 ) -> DataFrame:
     """Hits of every level that has an equality."""
     strategies = tuple(strategies)
-    hits = None
+    parts = []
     if _select("lookup", strategies):
-        hits = lookup_hits(queries, catalog, strategies)
+        parts.append(lookup_hits(queries, catalog, strategies))
     if _select("grouped", strategies):
-        grouped = grouped_hits(queries, catalog, strategies, group_limit)
-        hits = grouped if hits is None else hits.unionByName(grouped)
-    return hits
+        parts.append(grouped_hits(queries, catalog, strategies, group_limit))
+    for s in _select("titled", strategies):
+        passed = any(t.any_title and t.level < s.level for t in strategies)
+        rows = _undecided(catalog) if passed else catalog
+        if rows is not None:
+            parts.append(album_title_hits(queries, rows, fan_limit, s.level))
+    return reduce(DataFrame.unionByName, parts)
+
 
+def _undecided(catalog: DataFrame) -> DataFrame | None:
+    """Rows of titles whose first row has no path: there a rule that takes any row of a
+    title misses, and a later rule with the same title may decide. None if there are none."""
+    first = first_rows(catalog.filter("clean <> ''").withColumn("code", rank_code()), "clean")
+    pathless = stage(first.filter("best & 1 = 1").select("clean"), "pathless")
+    return None if pathless.isEmpty() else catalog.join(shuffled(pathless), "clean", "left_semi")
 
-def album_title_hits(queries: DataFrame, catalog: DataFrame, fan_limit: int = residual.FAN_LIMIT) -> DataFrame:
-    """Hits of the level that cannot decide (equal title, fitting album, artists overlap).
 
-    Kept for explaining a link. A title held by more than *fan_limit* distinct catalog
-    rows is narrowed by album first.
+def album_title_hits(
+    queries: DataFrame, catalog: DataFrame, fan_limit: int = residual.FAN_LIMIT, level: int = 90
+) -> DataFrame:
+    """Hits of a titled level (equal title, fitting album, artists overlap).
+
+    A title held by more than *fan_limit* distinct catalog rows is narrowed by album first.
     """
     q = queries.filter("album <> '' and clean <> '' and artist <> ''").select("qid", "album", "clean", "names")
     rows = stage(
@@ -223,7 +238,7 @@ def album_title_hits(queries: DataFrame, catalog: DataFrame, fan_limit: int = re
             .select(*columns)
         )
     return met.groupBy("qid").agg(F.min("best").alias("best")).select(
-        "qid", F.lit(90).alias("level"), F.col("best").alias("hit")
+        "qid", F.lit(level).alias("level"), F.col("best").alias("hit")
     )
 
 
@@ -240,20 +255,20 @@ def link_keys(
     *strict* keeps untitled catalog rows out of the residual levels.
     """
     strategies = tuple(strategies)
-    equal = [s for s in strategies if s.kind in ("lookup", "grouped")]
+    equal = [s for s in strategies if s.kind != "residual"]
     rules = [(s.level, s.title) for s in _select("residual", strategies)]
     if not rules:
-        return resolve(equality_hits(queries, catalog, equal, group_limit), [s.level for s in equal])
+        return resolve(equality_hits(queries, catalog, equal, group_limit, fan_limit), [s.level for s in equal])
     first = min(level for level, _ in rules)
     early = [s for s in equal if s.level < first]
     late = [s for s in equal if s.level > first]
     found = None
     if early:
-        found = stage(resolve(equality_hits(queries, catalog, early, group_limit), [s.level for s in early]), "found")
+        found = stage(resolve(equality_hits(queries, catalog, early, group_limit, fan_limit), [s.level for s in early]), "found")
         queries = queries.join(shuffled(found.select("qid")), "qid", "left_anti")
     rest = residual.residual_hits(queries, catalog, rules, fan_limit=fan_limit, strict=strict)
     if late:
-        rest = rest.unionByName(equality_hits(queries, catalog, late, group_limit))
+        rest = rest.unionByName(equality_hits(queries, catalog, late, group_limit, fan_limit))
     rest = resolve(rest, [level for level, _ in rules] + [s.level for s in late])
     return rest if found is None else found.unionByName(rest)
 
@@ -292,7 +307,7 @@ def strategy_hits(queries: DataFrame, catalog: DataFrame, name: str, **options)
     levels = [s.level for s in chosen]
     if chosen[0].kind == "residual":
         hits = residual.residual_hits(queries, catalog, [(s.level, s.title) for s in chosen], **options)
-    elif chosen[0].kind == "never":
+    elif chosen[0].kind == "titled":
         hits = album_title_hits(queries, catalog, **options)
     else:
         hits = equality_hits(queries, catalog, chosen, **options)

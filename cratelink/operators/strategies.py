@@ -1,9 +1,10 @@
 """The linkage policy as data: an ordered list of strategies.
 
-Three shapes cover the policy. A *lookup* is decided by equality alone, so each side
+Four shapes cover the policy. A *lookup* is decided by equality alone, so each side
 emits key texts and the catalog keeps its first row per key. A *grouped* strategy
-adds "one text inside another" within an equality group. A *residual* strategy has no
-equality and is planned by :mod:`cratelink.operators.residual`.
+adds "one text inside another" within an equality group. A *titled* one compares albums
+and artists under an equal title. A *residual* strategy has no equality and is planned by
+:mod:`cratelink.operators.residual`.
 """
 
 from __future__ import annotations
@@ -66,7 +67,9 @@ class Strategy:
 
     ``query`` keys are listed in order of preference when ``ranked``; ``values`` name
     the columns compared for containment by a grouped strategy. ``title`` is the SQL
-    condition on the titles of a pair aliased (q, r) of a residual strategy.
+    condition on the titles of a pair aliased (q, r) of a residual strategy. A *titled*
+    strategy asks for an equal title, a fitting album and overlapping artists.
+    ``any_title`` says that every row of an equal title is accepted.
     """
 
     name: str
@@ -77,6 +80,7 @@ class Strategy:
     ranked: bool = False
     values: Callable[[], Column] | None = None
     title: str | None = None
+    any_title: bool = False
 
 
 # --- predicates over a pair aliased (q, r) ----------------------------------
@@ -128,6 +132,7 @@ STRATEGIES: tuple[Strategy, ...] = (
         "s05", 50, "lookup",
         lambda: _one(F.col("clean"), _present("clean")),
         lambda: _one(F.col("clean"), _present("clean")),
+        any_title=True,
     ),
     Strategy(
         "s06", 60, "lookup",
@@ -154,8 +159,9 @@ STRATEGIES: tuple[Strategy, ...] = (
             _key(F.col("album"), F.col("condensed")), _present("condensed", "album") & _SPACED()
         ),
     ),
-    # Needs an equal title, which s05 accepts from any artist: it never decides.
-    Strategy("s09", 90, "never"),
+    # Needs an equal title, which s05 accepts from any artist: it decides where s05 comes
+    # later, or where the first row of the title has no path.
+    Strategy("s09", 90, "titled"),
     Strategy(
         "s10", 100, "grouped",
         lambda: _one(F.col("condensed"), _present("condensed")),

@@ -2,6 +2,7 @@
 
 import random
 import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,6 +117,23 @@ def test_cascade_equals_brute_force(spark, seed, limits):
     assert len({level for level, _ in got.values()}) > 4
 
 
+@pytest.mark.parametrize("fan_limit", [2000, 0])
+def test_titled_rule_decides(spark, fan_limit):
+    """s09 decides where the rule that takes any row of a title comes later, or misses for want of a path."""
+    buy = _purchase(spark, "B1 & A1", "Song", "Album")
+    rows = [("/any", "C1", "Other", "Song"), ("/mine", "A1", "Album Deluxe", "Song")]
+    s05 = next(s for s in cascade.STRATEGIES if s.name == "s05")
+    own = tuple(s for s in cascade.STRATEGIES if s is not s05) + (replace(s05, name="s14", level=140),)
+
+    def linked(tracks, **options):
+        out = cascade.link(buy, _tracks(spark, *tracks), level_column="level", fan_limit=fan_limit, **options)
+        return [(r["Local File Path"], r["level"]) for r in out.collect()]
+
+    assert linked(rows) == [("/any", 50)]
+    assert linked(rows, strategies=own) == [("/mine", 90)]
+    assert linked([("", "C1", "Other", "Song"), rows[1]]) == [("/mine", 90)]
+
+
 def test_single_strategies_do_not_depend_on_limits(spark):
     q, r = fixture(spark, 7)
     for name in ("s02", "s08", "s09", "s10", "s11", "s12", "s13"):
