@@ -74,7 +74,8 @@ MORE_PARTS = 2
 FORM_LIMIT = 2000
 EDIT_LIMIT = "cast(greatest(2, floor(length({0}) / 5)) as int)"
 #: A title with its digits alike. Numbers tell titles apart, but hardly tell far from near.
-_FORM = "regexp_replace(v, '[0-9]', '0')"
+FORM = "regexp_replace({0}, '[0-9]', '0')"
+_FORM = FORM.format("v")
 #: Lengths that share a key: each one alone while short, then steps of a twenty-fourth of e.
 _BUCKET = "if({0} < 24, {0}, cast(floor(24 * ln({0})) as int))"
 
@@ -103,7 +104,9 @@ filter(sequence(cast(start - t as int), cast(start + t as int)),
 
 
 def edit_candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(l, r) that share a part at a fitting place; inputs are distinct titles (column v).
+    """(grp, l, r) that share a part at a fitting place; inputs are distinct titles (column v).
+
+    Titles with a column grp meet within their group only.
 
     If at most t edits turn l into r, of m disjoint parts of l at least m - t survive in r, so
     any t + 1 of them hold one that does. Each title picks the cut and the parts that
@@ -111,36 +114,38 @@ def edit_candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     no more than t edits. Titles of t characters or fewer cannot be cut; they meet
     the few titles short enough.
     """
-    l = left.selectExpr("v as l", "length(v) as n", f"{EDIT_LIMIT.format('v')} as t")
+    grp = "grp" if "grp" in left.columns else "'' as grp"
+    l = left.selectExpr(grp, "v as l", "length(v) as n", f"{EDIT_LIMIT.format('v')} as t")
     offered = right.selectExpr(
+        grp,
         "v as r",
         f"{_BUCKET.format('length(v)')} as bucket",
         f"""explode(flatten(transform(filter(sequence(1, {MAX_PART}), w -> w <= length(v)),
             w -> transform(sequence(1, length(v) - w + 1),
                            i -> struct(i as place, substring(v, i, w) as part))))) as w""",
-    ).selectExpr("r", "bucket", "w.part", "w.place")
-    held = offered.groupBy("part").agg(F.count("*").alias("held"))
+    ).selectExpr("grp", "r", "bucket", "w.part", "w.place")
+    held = offered.groupBy("grp", "part").agg(F.count("*").alias("held"))
     cuts = (
         l.filter("n > t")
         .selectExpr("*", f"explode(sequence(t + 1, least(n, t + 1 + {MORE_PARTS}))) as m")
-        .selectExpr("l", "n", "t", "m", f"inline({_CUTS})")
-        .join(shuffled(held), "part", "left")
-        .groupBy("l", "n", "t", "m")
+        .selectExpr("grp", "l", "n", "t", "m", f"inline({_CUTS})")
+        .join(shuffled(held), ["grp", "part"], "left")
+        .groupBy("grp", "l", "n", "t", "m")
         .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "k", "start", "part"))).alias("parts"))
-        .selectExpr("l", "n", "t", "m", "slice(parts, 1, t + 1) as parts")
+        .selectExpr("grp", "l", "n", "t", "m", "slice(parts, 1, t + 1) as parts")
         .withColumn("cost", F.expr("aggregate(parts, 0L, (a, p) -> a + p.held)"))
-        .groupBy("l")
+        .groupBy("grp", "l")
         .agg(F.min_by(F.struct("n", "t", "m", "parts"), F.struct("cost", "m")).alias("c"))
-        .selectExpr("l", "c.n", "c.t", "c.m", "inline(c.parts)")
+        .selectExpr("grp", "l", "c.n", "c.t", "c.m", "inline(c.parts)")
     )
     asked = (
         cuts.selectExpr("*", f"explode({_LENGTHS_NEAR}) as d")
-        .selectExpr("l", "part", "d.bucket", f"explode({_PLACES}) as place")
+        .selectExpr("grp", "l", "part", "d.bucket", f"explode({_PLACES}) as place")
     )
-    cut = asked.join(shuffled(offered), ["bucket", "part", "place"]).select("l", "r")
+    cut = asked.join(shuffled(offered), ["grp", "bucket", "part", "place"]).select("grp", "l", "r")
     short_l = l.filter("n <= t").withColumn("w", F.expr("explode(sequence(1, 2 + n))"))
-    short_r = right.selectExpr("v as r", "length(v) as w").filter("w <= 4")
-    return cut.unionByName(short_l.join(short_r, "w").select("l", "r"))
+    short_r = right.selectExpr(grp, "v as r", "length(v) as w").filter("w <= 4")
+    return cut.unionByName(short_l.join(short_r, ["grp", "w"]).select("grp", "l", "r"))
 
 
 def _near(pairs: DataFrame) -> DataFrame:
@@ -156,7 +161,7 @@ def edit_pairs(left: DataFrame, right: DataFrame, form_limit: int = FORM_LIMIT)
     found first, and titles meet by them. Titles whose near forms hold more than
     *form_limit* titles go by parts of their own. The way never changes the result.
     """
-    forms = stage(_near(edit_candidates(_forms(left), _forms(right))).distinct(), "forms")
+    forms = stage(_near(edit_candidates(_forms(left), _forms(right))).select("l", "r").distinct(), "forms")
     l, r = left.selectExpr("v as l", f"{_FORM} as l_form"), right.selectExpr("v as r", f"{_FORM} as r_form")
     held = r.groupBy("r_form").count()
     fans = forms.join(shuffled(held), forms["r"] == held["r_form"]).groupBy(F.col("l").alias("l_form")).agg(F.sum("count").alias("fan"))
@@ -171,9 +176,14 @@ def edit_pairs(left: DataFrame, right: DataFrame, form_limit: int = FORM_LIMIT)
     near = _near(by_form)
     if not many.isEmpty():
         own = l.join(shuffled(many), "l_form", "left_semi").selectExpr("l as v")
-        near = near.unionByName(_near(edit_candidates(own, right)))
+        near = near.unionByName(_near(edit_candidates(own, right)).select("l", "r"))
     return near.distinct()
 
 
+def near_in_groups(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(grp, l, r) within the edit threshold of l, by parts; inputs are distinct (grp, v)."""
+    return _near(edit_candidates(left, right)).distinct()
+
+
 def _forms(df: DataFrame) -> DataFrame:
     return df.selectExpr(f"{_FORM} as v").distinct()

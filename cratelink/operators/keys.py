@@ -75,8 +75,12 @@ def join_links(purchases: DataFrame, raw: DataFrame, links: DataFrame, fields: d
 
 
 def catalog_keys(catalog: DataFrame, fields: dict[str, str] = CATALOG_FIELDS) -> DataFrame:
-    """Catalog rows as keys. ``seq`` is data: it says which row came first."""
-    keyed = _key_steps(catalog, fields).select(
+    """Catalog rows as keys. ``seq`` is data: it says which row came first.
+
+    Rows are spread first: a catalog is small in bytes, so few splits hold it, and the rules
+    would run on as few cores.
+    """
+    keyed = _key_steps(catalog.repartition("seq"), fields).select(
         "seq",
         _field(fields["path"]).alias("path"),
         *[F.col(f"_{k}").alias(k) for k in KEY_COLUMNS],

@@ -1,78 +1,60 @@
 """The residual levels: album fits, artists overlap, and titles are akin.
 
-No level here has an equality to join on. Each of the three conditions is a relation
-between *distinct* texts (album to album, name to name, title to title), found by
-:mod:`cratelink.operators.containment` at a cost linear in the distinct texts. What a
-query would meet through its album and through its artists is then counted, and the
-query goes the cheaper way; one that would meet more than ``FAN_LIMIT`` rows either
-way goes through its title. Every way yields all rows that satisfy its own condition,
-and the other conditions are tested on them, so the choice never changes the result.
-
-Catalog rows with a blank title or album fit any title or album. They would make both
-conditions useless, so rows are classed by what is blank, and a query visits each class
-separately. Rows without an album drop it from their key, which also folds queries that
-differ only in it. Untitled rows are no rows to be met at all: of each name, or name and
-album, only the first one can win, so they are reduced to that one and looked up.
+No level here has an equality to join on. Album to album and name to name are relations
+between *distinct* texts, found by :mod:`cratelink.operators.containment` at a cost linear in
+the distinct texts. Catalog rows form blocks by album and by each of their names, and the
+two relations together say which blocks an (album, name) pair of a query fits. Every row
+of such a block satisfies both conditions and no other row does, so only titles are left:
+
+* a condition that asks the same expression of both titles is a lookup: the first row of
+  each block and value, N:1;
+* known conditions (prefix, near, inside) compare all titles of the fitting blocks where a
+  pair meets few (``FAN_LIMIT``). Where it meets more, titles go by form: turning digits
+  into zeros keeps one text inside another and turns an edit into at most one, so only
+  titles of related forms are compared. Where a block holds more than ``FORM_LIMIT``
+  titles of the forms related to one, its titles meet by windows and parts of their own;
+* any other condition is tested on all rows of the fitting blocks.
+
+The choice never changes the result. A blank album fits every album: it is a block of its
+own. Untitled rows fit every prefix: of a block only the first one can win.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cratelink.functions.text import artist_names
-from cratelink.operators.containment import contained_pairs, edit_pairs
-from cratelink.operators.strategies import ALBUM_FITS, OVERLAP, TITLE_INSIDE, TITLE_NEAR, TITLE_PREFIX
+from cratelink.operators.containment import FORM, FORM_LIMIT, contained_pairs, edit_pairs, near_in_groups
+from cratelink.operators.strategies import TITLE_INSIDE, TITLE_NEAR, TITLE_PREFIX
 from cratelink.session import shuffled, stage
 
-#: Catalog rows a query may meet through album or artist before its title is used.
-FAN_LIMIT = 2000
+#: Titles an (album, name) pair may meet in its blocks before they go by form.
+FAN_LIMIT = 100
 
-FULL, NO_ALBUM, NO_TITLE, NEITHER = 1, 2, 3, 4
-_KEY = ("cls", "album", "artist", "clean")
 #: Whether a title condition holds for every untitled row. Other conditions are tested.
 _UNTITLED = {TITLE_PREFIX: True, TITLE_NEAR: False, TITLE_INSIDE: False}
 
 
-def _classed(queries: DataFrame, untitled: bool) -> DataFrame:
-    """Each open query once per class, without the album where rows have none."""
-    classes = [f"struct({FULL} as cls, album, clean)", f"struct({NO_ALBUM} as cls, '' as album, clean)"]
-    if untitled:
-        classes += [f"struct({NO_TITLE} as cls, album, clean)", f"struct({NEITHER} as cls, '' as album, clean)"]
-    return queries.selectExpr("qid", "artist", "names", f"inline(array({', '.join(classes)}))")
-
-
-def untitled_hits(
-    queries: DataFrame, rows: DataFrame, albums: DataFrame, names: DataFrame, level: int
-) -> DataFrame:
-    """Hits of *level* among untitled rows, all of whose titles fit: (qid, level, hit).
-
-    Rows become the first one of each name (blank album) or of each album and name, and
-    both lookups are N:1. A name or album held by most rows is one row. The texts a query
-    asks for are the related ones, met through its distinct names and albums; the
-    relation that a query has fewer of is followed first, and only pairs that rows
-    really have go on.
-    """
-    posted = rows.select("album", "best", F.explode("names").alias("name"))
-    first = posted.groupBy("album", "name").agg(F.min("best").alias("best"))
-    # The first row of a related name, per asked name: names that fit are settled once, not per query.
-    fits = names.join(shuffled(first.withColumnRenamed("name", "r")), "r")
-    per_name = fits.groupBy(F.col("l").alias("name"), "album").agg(F.min("best").alias("best"))
-    loose = per_name.filter("album = ''").select("name", "best")
-    asked = queries.select("qid", "album", F.explode("names").alias("name"))
-    hits = asked.select("qid", "name").join(shuffled(loose), "name").select("qid", "best")
-    tied = per_name.filter("album <> ''").withColumnRenamed("album", "r")
-    wanted = asked.select("album", "name").distinct()
-    near = wanted.join(shuffled(albums.withColumnRenamed("l", "album")), "album").join(shuffled(tied), ["name", "r"])
-    near = near.groupBy("album", "name").agg(F.min("best").alias("best"))
-    hits = hits.unionByName(asked.join(shuffled(near), ["album", "name"]).select("qid", "best"))
-    return hits.groupBy("qid").agg(F.min("best").alias("hit")).select("qid", F.lit(level).alias("level"), "hit")
+def _same(rule: str) -> str | None:
+    """The function of ``clean`` that a condition asks to be equal in both titles, or None."""
+    left, _, right = rule.partition(" = ")
+    call = re.fullmatch(r"\w+\(([\w\s.,()+*-]*)\)", left)
+    if not call or right != left.replace("q.clean", "r.clean") or set(re.findall(r"\w+\.\w+", left)) != {"q.clean"}:
+        return None
+    depth = 0
+    for sign in call[1]:
+        depth += (sign == "(") - (sign == ")")
+        if depth < 0:  # the first call ends before the text does
+            return None
+    return left.replace("q.clean", "clean")
 
 
 def _reduced_catalog(catalog: DataFrame, strict: bool) -> DataFrame:
-    blank = (F.col("album") == "").cast("int") + 2 * (F.col("clean") == "").cast("int")
     rows = catalog.filter(F.size("names") > 0)
     if strict:
         rows = rows.filter("clean <> ''")
@@ -80,7 +62,6 @@ def _reduced_catalog(catalog: DataFrame, strict: bool) -> DataFrame:
         rows.groupBy("artist", "album", "clean")
         .agg(F.min(F.expr("shiftleft(seq, 1) + if(path = '', 1, 0)")).alias("best"))
         .withColumn("names", artist_names(F.col("artist")))
-        .withColumn("cls", blank + 1)
     )
 
 
@@ -91,107 +72,179 @@ def _pairs(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
     return contained_pairs(texts(left), texts(right)).select("l", "r")
 
 
+def _fits(wanted: DataFrame, blocks: DataFrame, albums: DataFrame, names: DataFrame) -> DataFrame:
+    """(pair, block, n): the blocks whose album and name fit a pair's.
+
+    The relation that a pair has fewer of is followed first, and only blocks that rows
+    really have go on.
+    """
+    albums = albums.selectExpr("l as album", "r as r_album")
+    albums = stage(albums.unionByName(wanted.selectExpr("album", "'' as r_album").distinct()), "fitting")
+    held = blocks.selectExpr("album as r_album", "name as r", "block", "n")
+    named = stage(names.join(shuffled(held), "r").selectExpr("l as name", "r_album", "block", "n"), "named")
+    counted = (
+        wanted.join(shuffled(named.groupBy("name").agg(F.count("*").alias("by_name"))), "name")
+        .join(shuffled(albums.groupBy("album").agg(F.count("*").alias("by_album"))), "album")
+    )
+    counted = stage(counted, "counted")
+    album_first = counted.filter("by_album <= by_name").join(shuffled(albums), "album").join(shuffled(named), ["name", "r_album"])
+    name_first = counted.filter("by_album > by_name").join(shuffled(named), "name").join(shuffled(albums), ["album", "r_album"])
+    return album_first.select("pair", "block", "n").unionByName(name_first.select("pair", "block", "n"))
+
+
+def _tested(met: DataFrame, rules: Iterable[tuple[int, str]], *keep: str) -> DataFrame:
+    """The best row per *keep* and level among met rows (structs q and r, and ``best``)."""
+    marks = ", ".join(f"if({rule}, {level}, null)" for level, rule in rules)
+    return (
+        met.selectExpr(*keep, f"explode(filter(array({marks}), m -> m is not null)) as level", "best")
+        .groupBy(*keep, "level")
+        .agg(F.min("best").alias("best"))
+    )
+
+
+_TITLES = ("struct(l as clean) as q", "struct(r as clean) as r")
+
+
+def _by_form(
+    titles: DataFrame, fits: DataFrame, posted: DataFrame, rules: list[tuple[int, str]], form_limit: int
+) -> DataFrame:
+    """Hits of known conditions among titles of related forms: (pair, clean, level, best)."""
+    form = FORM.format("clean")
+    fits = fits.select("pair", "block")
+    asked = titles.join(shuffled(fits.select("pair").distinct()), "pair", "left_semi")
+    asked = stage(asked.selectExpr("pair", "clean as l", f"{form} as l_form"), "asked_forms")
+    held = posted.join(shuffled(fits.select("block").distinct()), "block", "left_semi")
+    held = stage(held.selectExpr("block", "clean as r", f"{form} as r_form", "best"), "held_forms")
+
+    conditions = {rule for _, rule in rules}
+    inside, near = bool(conditions & {TITLE_PREFIX, TITLE_INSIDE}), TITLE_NEAR in conditions
+    l_forms, r_forms = asked.selectExpr("l_form as v").distinct(), held.selectExpr("r_form as v").distinct()
+    kinds = [_pairs(l_forms, r_forms, "v")] if inside else []
+    kinds += [edit_pairs(l_forms, r_forms)] if near else []
+    related = stage(reduce(DataFrame.unionByName, kinds).distinct().selectExpr("l as l_form", "r as r_form"), "related")
+
+    offered = held.groupBy("block", "r_form").agg(F.count("*").alias("n")).join(shuffled(related), "r_form")
+    wanted = asked.select("pair", "l_form").distinct().join(shuffled(fits), "pair")
+    meets = stage(wanted.join(shuffled(offered), ["block", "l_form"]), "meets")
+    crowded = meets.groupBy("pair", "block", "l_form").agg(F.sum("n").alias("n")).filter(F.col("n") > form_limit)
+    crowded = stage(crowded.select("pair", "block", "l_form"), "crowded_forms")
+    has_crowds = not crowded.isEmpty()
+
+    calm = meets.join(shuffled(crowded), ["pair", "block", "l_form"], "left_anti") if has_crowds else meets
+    met = (
+        asked.join(shuffled(calm.select("pair", "block", "l_form", "r_form")), ["pair", "l_form"])
+        .join(shuffled(held), ["block", "r_form"])
+        .select("pair", "l", "r", "best")
+    )
+    if has_crowds:
+        own = stage(asked.join(shuffled(crowded), ["pair", "l_form"]).select("pair", "block", "l"), "crowded_titles")
+        left = own.selectExpr("block as grp", "l as v").distinct()
+        right = held.join(shuffled(crowded.select("block").distinct()), "block", "left_semi")
+        right = right.selectExpr("block as grp", "r as v")
+        kinds = [contained_pairs(left, right)] if inside else []
+        kinds += [near_in_groups(left, right)] if near else []
+        pairs = reduce(DataFrame.unionByName, kinds).distinct().withColumnRenamed("grp", "block")
+        crowds = own.join(shuffled(pairs), ["block", "l"]).join(shuffled(held.drop("r_form")), ["block", "r"])
+        met = met.unionByName(crowds.select("pair", "l", "r", "best"))
+    met = met.selectExpr("pair", "l as clean", *_TITLES, "best")
+    return _tested(met, rules, "pair", "clean")
+
+
 def residual_hits(
     queries: DataFrame,
     catalog: DataFrame,
     rules: Iterable[tuple[int, str]],
     fan_limit: int = FAN_LIMIT,
     strict: bool = False,
+    form_limit: int = FORM_LIMIT,
 ) -> DataFrame:
     """Hits of the residual levels as (qid, level, hit); *rules*: level and title condition.
 
-    The title way meets prefixes, near and contained titles only, so it is closed to a
-    job that brings another condition.
+    A condition that is neither known nor a lookup closes no way to the others: it alone is
+    tested on all rows of the fitting blocks.
     """
     rules = tuple(rules)
-    by_title_too = {rule for _, rule in rules} <= set(_UNTITLED)
+    known = [(level, rule) for level, rule in rules if rule in _UNTITLED]
+    same = [(level, _same(rule)) for level, rule in rules if rule not in _UNTITLED and _same(rule)]
+    other = [(level, rule) for level, rule in rules if rule not in _UNTITLED and not _same(rule)]
+
     open_q = stage(queries.filter("album <> '' and clean <> ''").filter(F.size("names") > 0), "open")
-    visits = _classed(open_q, untitled=not by_title_too)
-    q = visits.drop("qid").dropDuplicates(list(_KEY))
     every = stage(_reduced_catalog(catalog, strict), "reduced")
-    # Untitled rows are met one by one only by conditions that are not known.
-    r = every.filter("clean <> ''") if by_title_too else every
-    q_names = q.select(*_KEY, F.explode("names").alias("name"))
-    r_names = r.select("cls", "artist", "album", "clean", F.explode("names").alias("name"))
-
     albums = stage(_pairs(open_q, every, "album"), "albums")
     names = stage(_pairs(_named(open_q), _named(every), "name"), "names")
 
-    album_rows = r.groupBy("cls", F.col("album").alias("r")).count()
-    name_rows = r_names.groupBy("cls", F.col("name").alias("r")).count()
-    album_fan = (
-        albums.join(shuffled(album_rows), "r").groupBy("cls", F.col("l").alias("album")).agg(F.sum("count").alias("by_album"))
-    )
-    name_fan = names.join(shuffled(name_rows), "r").groupBy("cls", F.col("l").alias("name")).agg(F.sum("count").alias("n"))
-    q_fan = q_names.join(shuffled(name_fan), ["cls", "name"]).groupBy(*_KEY).agg(F.sum("n").alias("by_name"))
-
-    has_album = F.col("cls").isin(FULL, NO_TITLE)
-    least = F.when(has_album, F.least("by_album", "by_name")).otherwise(F.col("by_name"))
-    routed = (
-        q.join(shuffled(q_fan), list(_KEY))  # no fan at all: nothing can match
-        .join(shuffled(album_fan), ["cls", "album"], "left")
-        .filter(~has_album | F.col("by_album").isNotNull())
-        .withColumn(
-            "way",
-            F.when((least > fan_limit) & F.lit(by_title_too), "title")
-            .when(has_album & (F.col("by_album") <= F.col("by_name")), "album")
-            .otherwise("name"),
-        )
-        .select(*_KEY, "names", "way")
-    )
-    routed = stage(routed, "routed")
-
-    def candidates(way: DataFrame, on: list[str], rows: DataFrame) -> DataFrame:
-        """Met rows, tested on every condition, best per level."""
-        met = way.alias("q").join(
-            shuffled(rows.alias("r")),
-            [F.col(f"q.{a}") == F.col(f"r.{b}") for a, b in (pair.split("=") for pair in on)],
+    # Ids are written once, so every reader sees the same ones.
+    asked = open_q.select("qid", "album", "clean", F.explode("names").alias("name"))
+    wanted = asked.select("album", "name").distinct().withColumn("pair", F.monotonically_increasing_id())
+    wanted = stage(wanted, "wanted")
+    rows = every.select("album", F.explode("names").alias("name"), "clean", "best")
+    posted = rows.groupBy("album", "name", "clean").agg(F.min("best").alias("best"))
+    # Only names that fit some query's are of use.
+    posted = stage(posted.join(shuffled(names.selectExpr("r as name").distinct()), "name", "left_semi"), "rows")
+    blocks = posted.groupBy("album", "name").agg(F.count("*").alias("n")).withColumn("block", F.monotonically_increasing_id())
+    blocks = stage(blocks, "blocks")
+    fits = stage(_fits(wanted, blocks, albums, names), "fits")
+    posted = stage(posted.join(shuffled(blocks), ["album", "name"]).select("block", "clean", "best"), "posted")
+    asked = asked.join(shuffled(wanted), ["album", "name"]).select("qid", "pair", "clean")
+    asked = stage(asked.join(shuffled(fits.select("pair").distinct()), "pair", "left_semi"), "asked")
+
+    parts = []
+    if known or same:
+        titles = stage(asked.select("pair", "clean").distinct(), "titles")
+    if known:
+        titled = posted.filter("clean <> ''")
+        fan = fits.groupBy("pair").agg(F.sum("n").alias("fan"))
+        few = fits.join(shuffled(fan.filter(F.col("fan") <= fan_limit)), "pair")
+        met = (
+            titles.withColumnRenamed("clean", "l")
+            .join(shuffled(few.select("pair", "block")), "pair")
+            .join(shuffled(titled.withColumnRenamed("clean", "r")), "block")
+            .selectExpr("pair", "l as clean", *_TITLES, "best")
         )
-        marks = ", ".join(
-            f"if({rule}, struct({level} as level, r.best as best), null)"
-            for level, rule in rules
-        )
-        met = met.filter(f"(q.cls in ({NO_ALBUM}, {NEITHER}) or {ALBUM_FITS}) and {OVERLAP}").selectExpr(
-            *[f"q.{k} as {k}" for k in _KEY],
-            f"explode(filter(array({marks}), m -> m is not null)) as m",
-        )
-        return met.select(*_KEY, "m.level", "m.best")
-
-    by_album = routed.filter("way = 'album'").join(shuffled(albums), F.col("album") == F.col("l")).withColumnRenamed("r", "r_album")
-    met = candidates(by_album, ["cls=cls", "r_album=album"], r)
-
-    r_by_name = r.withColumn("name", F.explode("names"))
-    by_name = (
-        routed.filter("way = 'name'")
-        .withColumn("name", F.explode("names"))
-        .join(shuffled(names), F.col("name") == F.col("l"))
-        .withColumnRenamed("r", "r_name")
-        .dropDuplicates([*_KEY, "r_name"])
+        parts.append(_tested(met, known, "pair", "clean"))
+        many = stage(fits.join(shuffled(fan.filter(F.col("fan") > fan_limit)), "pair").select("pair", "block"), "many")
+        if not many.isEmpty():
+            parts.append(_by_form(titles, many, titled, known, form_limit))
+    for level, value in same:
+        first = posted.selectExpr("block", f"{value} as value", "best").groupBy("block", "value").agg(F.min("best").alias("best"))
+        first = fits.select("pair", "block").join(shuffled(first), "block").groupBy("pair", "value").agg(F.min("best").alias("best"))
+        found = titles.withColumn("value", F.expr(value)).join(shuffled(first), ["pair", "value"])
+        parts.append(found.select("pair", "clean", F.lit(level).alias("level"), "best"))
+    hits = []
+    if parts:
+        found = reduce(DataFrame.unionByName, parts)
+        hits.append(asked.join(shuffled(found), ["pair", "clean"]).select("qid", "level", "best"))
+    for level in [level for level, rule in known if _UNTITLED[rule]]:
+        first = posted.filter("clean = ''").select("block", "best")
+        first = fits.select("pair", "block").join(shuffled(first), "block").groupBy("pair").agg(F.min("best").alias("best"))
+        hits.append(asked.join(shuffled(first), "pair").select("qid", F.lit(level).alias("level"), "best"))
+    if other:
+        hits.append(_by_row(open_q, every, asked, fits, blocks, other))
+    best = reduce(DataFrame.unionByName, hits).groupBy("qid", "level").agg(F.min("best").alias("hit"))
+    return best.select("qid", "level", "hit")
+
+
+def _by_row(
+    open_q: DataFrame, every: DataFrame, asked: DataFrame, fits: DataFrame, blocks: DataFrame, rules: list[tuple[int, str]]
+) -> DataFrame:
+    """Hits of conditions that are not known, tested on every row of the fitting blocks: (qid, level, best)."""
+    texts = ("album", "artist", "clean", "names")
+    rows = every.withColumn("name", F.explode("names")).join(shuffled(blocks), ["album", "name"])
+    rows = rows.select("block", F.struct(*texts).alias("r"), "best")
+    # Queries that differ in their ISRC only are asked once.
+    key = F.struct("album", "artist", "clean")
+    once = open_q.withColumn("key", key).groupBy("key").agg(F.min("qid").alias("one"))
+    ones = stage(open_q.withColumn("key", key).join(shuffled(once), "key").select("qid", "one"), "ones")
+    who = open_q.join(shuffled(ones.filter("qid = one")), "qid").select("qid", F.struct(*texts).alias("q"))
+    met = (
+        asked.select("qid", "pair")
+        .join(shuffled(who), "qid")
+        .join(shuffled(fits.select("pair", "block")), "pair")
+        .join(shuffled(rows), "block")
     )
-    met = met.unionByName(candidates(by_name, ["cls=cls", "r_name=name"], r_by_name))
-
-    by_title = routed.filter("way = 'title'")
-    if not by_title.isEmpty():
-        titles = stage(_title_pairs(by_title, r), "titles")
-        with_titles = by_title.join(shuffled(titles), F.col("clean") == F.col("l")).withColumnRenamed("r", "r_clean")
-        met = met.unionByName(candidates(with_titles, ["cls=cls", "r_clean=clean"], r))
-
-    best = met.groupBy(*_KEY, "level").agg(F.min("best").alias("best"))
-    hits = visits.join(shuffled(best), list(_KEY)).select("qid", "level", F.col("best").alias("hit"))
-    if by_title_too and not strict:
-        untitled = every.filter("clean = ''")
-        for level in [level for level, rule in rules if _UNTITLED[rule]]:
-            hits = hits.unionByName(untitled_hits(open_q, untitled, albums, names, level))
-    return hits
+    found = _tested(met, rules, "qid").withColumnRenamed("qid", "one")
+    return ones.join(shuffled(found), "one").select("qid", "level", "best")
 
 
 def _named(df: DataFrame) -> DataFrame:
     return df.select(F.explode("names").alias("name"))
-
-
-def _title_pairs(q: DataFrame, r: DataFrame) -> DataFrame:
-    def texts(df: DataFrame) -> DataFrame:
-        return df.select(F.col("clean").alias("v")).filter("v <> ''").distinct()
-
-    inside = _pairs(q, r, "clean")
-    return inside.unionByName(edit_pairs(texts(q), texts(r))).distinct()

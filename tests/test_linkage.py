@@ -7,7 +7,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from cratelink.operators import cascade
+from cratelink.operators import cascade, residual
 from cratelink.operators.containment import contained_pairs, edit_candidates, edit_pairs
 from cratelink.operators.keys import catalog_keys, query_keys
 from cratelink.schemas import CATALOG_COLUMNS
@@ -134,6 +134,54 @@ def test_titled_rule_decides(spark, fan_limit):
     assert linked([("", "C1", "Other", "Song"), rows[1]]) == [("/mine", 90)]
 
 
+def test_residual_ways_agree(spark):
+    """Titles compared outright, by form, or by windows and parts in a block; own rules looked up or tested."""
+    q, r = fixture(spark, 11)
+    known = [(s.level, s.title) for s in cascade.STRATEGIES if s.kind == "residual"]
+    looked_up = known + [(150, "length(q.clean) = length(r.clean)")]
+    tested = known + [(150, "length(r.clean) = length(q.clean)")]
+
+    def hits(rules, **limits):
+        return sorted(map(tuple, residual.residual_hits(q, r, rules, **limits).collect()))
+
+    plain = hits(looked_up)
+    assert {level for _, level, _ in plain} == {110, 120, 130, 150}
+    assert hits(looked_up, fan_limit=0) == plain
+    assert hits(tested, fan_limit=0, form_limit=0) == plain
+
+
+@pytest.mark.parametrize(
+    ("rule", "value"),
+    [
+        ("length(q.clean) = length(r.clean)", "length(clean)"),
+        ("substring(q.clean, 1, 3) = substring(r.clean, 1, 3)", "substring(clean, 1, 3)"),
+        ("length(q.clean) = length(q.clean)", None),
+        ("length(q.album) = length(r.album)", None),
+        ("not length(q.clean) = length(r.clean)", None),
+        ("length(q.clean) + length(q.clean) = length(r.clean) + length(r.clean)", None),
+        ("length(q.clean) <= length(r.clean)", None),
+    ],
+)
+def test_only_plain_equalities_are_looked_up(rule, value):
+    assert residual._same(rule) == value
+
+
+@pytest.mark.parametrize("limits", [{}, {"fan_limit": 0}])
+def test_titles_meet_inside_their_blocks_only(spark, monkeypatch, limits):
+    """20 names on each of 2 albums, 10 titles each: a title meets those of its album and name, not all of the album."""
+    names, albums, titles = [f"n{chr(97 + i)}x" for i in range(20)], ["first album", "second album"], [f"t {i}" for i in range(10)]
+    cross = [(a, n, t) for a in albums for n in names for t in titles]
+    p = spark.createDataFrame([(n, f"{t} more", a) for a, n, t in cross], "Artists string, Title string, `Release Title` string")
+    c = spark.createDataFrame([(i, f"/{i}", n, t, a) for i, (a, n, t) in enumerate(cross)], "seq bigint, `File Path` string, Artist string, Title string, Album string")
+    q, r = query_keys(p.withColumn("ISRC", F.lit(""))), catalog_keys(c.withColumn("ISRC", F.lit("")))
+    met, test = [], residual._tested
+    monkeypatch.setattr(residual, "_tested", lambda rows, *rest: met.append(rows.count()) or test(rows, *rest))
+    rules = [(s.level, s.title) for s in cascade.STRATEGIES if s.kind == "residual"] + [(150, "length(q.clean) = length(r.clean)")]
+    hits = residual.residual_hits(q, r, rules, **limits)
+    assert hits.filter("level = 110").count() == len(cross)
+    assert sum(met) <= len(cross) * len(titles)
+
+
 def test_single_strategies_do_not_depend_on_limits(spark):
     q, r = fixture(spark, 7)
     for name in ("s02", "s08", "s09", "s10", "s11", "s12", "s13"):
